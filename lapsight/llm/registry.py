@@ -6,18 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lapsight.llm import quality_rules
+from lapsight.llm import language_id, media, quality_rules, secret_scan, source_mix
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_secret_scan": secret_scan.op1_secret_scan,
+        "op2_source_mix": source_mix.op2_source_mix,
+        "op5_media": media.op5_media,
+        "op7_language_id": language_id.op7_language_id,
         "op8_quality_rules": quality_rules.op8_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_source_mix": source_mix.OP2_SQL,
         "op8_quality_rules": quality_rules.OP8_SQL,
     }
