@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lapsight.llm import language_id, media, quality_rules, secret_scan, source_mix
+from lapsight.llm import language_id, media, piece_sampling, quality_rules, secret_scan, source_mix, token_ledger
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,8 @@ def queries() -> dict[str, Query]:
     return {
         "op1_secret_scan": secret_scan.op1_secret_scan,
         "op2_source_mix": source_mix.op2_source_mix,
+        "op3_piece_sampling": piece_sampling.op3_piece_sampling,
+        "op4_token_ledger": token_ledger.op4_token_ledger,
         "op5_media": media.op5_media,
         "op7_language_id": language_id.op7_language_id,
         "op8_quality_rules": quality_rules.op8_quality_rules,
