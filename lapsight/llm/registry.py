@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lapsight.llm import language_id, media, piece_sampling, quality_rules, secret_scan, source_mix, token_ledger
+from lapsight.llm import language_id, media, piece_sampling, quality_rules, secret_scan, source_mix, suffix_dedup, token_ledger
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,7 @@ def queries() -> dict[str, Query]:
         "op5_media": media.op5_media,
         "op7_language_id": language_id.op7_language_id,
         "op8_quality_rules": quality_rules.op8_quality_rules,
+        "op9_repeated_strings": suffix_dedup.op9_repeated_strings,
     }
 
 
