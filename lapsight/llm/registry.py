@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lapsight.llm import language_id, media, piece_sampling, quality_rules, secret_scan, source_mix, suffix_dedup, token_ledger
+from lapsight.llm import class_lm, language_id, media, piece_sampling, quality_rules, secret_scan, source_mix, suffix_dedup, token_ledger
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,7 @@ def queries() -> dict[str, Query]:
         "op7_language_id": language_id.op7_language_id,
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_repeated_strings": suffix_dedup.op9_repeated_strings,
+        "op10_class_lm": class_lm.op10_class_lm,
     }
 
 
