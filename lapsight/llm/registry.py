@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lapsight.llm import class_lm, language_id, media, piece_sampling, quality_rules, secret_scan, source_mix, suffix_dedup, token_ledger
+from lapsight.llm import class_lm, language_id, media, near_duplicates, piece_sampling, quality_rules, secret_scan, source_mix, suffix_dedup, token_ledger
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
         "op3_piece_sampling": piece_sampling.op3_piece_sampling,
         "op4_token_ledger": token_ledger.op4_token_ledger,
         "op5_media": media.op5_media,
+        "op6_near_duplicates": near_duplicates.op6_near_duplicates,
         "op7_language_id": language_id.op7_language_id,
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_repeated_strings": suffix_dedup.op9_repeated_strings,
