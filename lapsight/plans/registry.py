@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("series", "laps", "ranking", "evidence", "relations", "simulations")
+MODULES = ("series", "ranking", "evidence", "relations")
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
