@@ -7,6 +7,7 @@ from statistics import NormalDist
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 EPSILON = 2.220446049250313e-16
 
@@ -48,12 +49,12 @@ def choice(u: Column, choices: Column, probabilities: Column) -> Column:
     return F.get(choices, F.least(at, F.size(choices) - 1))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_quantile(u: pd.Series) -> pd.Series:
     return u.map(lambda x: None if pd.isna(x) else NormalDist().inv_cdf(x))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_probability(z: pd.Series) -> pd.Series:
     return z.map(lambda x: None if pd.isna(x) else NormalDist().cdf(x))
 
