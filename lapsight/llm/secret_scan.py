@@ -273,11 +273,13 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Overlapping spans are one. ``n_chars`` follows the new text.
     """
-    found = scan(docs).where(F.size("found") > 0).select(F.col("doc_id").alias("__id"), "found")
-    one = found.groupBy("__id").agg(F.max("found").alias("found"))
-    joined = docs.join(one, docs["doc_id"].eqNullSafe(one["__id"]), "left")
+    hashed = docs.withColumn("__hash", F.xxhash64("text"))
+    found = scan(hashed, keep=("doc_id", "__hash")).where(F.size("found") > 0)
+    one = found.groupBy(F.col("doc_id").alias("__id"), F.col("__hash").alias("__of")).agg(F.first("found").alias("__found"))
+    same = hashed["doc_id"].eqNullSafe(one["__id"]) & (hashed["__hash"] == one["__of"])
+    joined = hashed.join(one, same, "left")
     cut = F.aggregate(
-        "found",
+        "__found",
         F.struct(F.lit(0).alias("p"), F.lit("").alias("out")),
         lambda a, x: F.struct(
             F.greatest(a["p"], x["e"]).alias("p"),
@@ -287,15 +289,15 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ),
         lambda a: F.concat(a["out"], F.substring(F.col("text"), a["p"] + 1, F.length(F.col("text")))),
     )
-    changed = F.when(F.col("found").isNotNull(), cut).otherwise(F.col("text"))
+    changed = F.when(F.col("__found").isNotNull(), cut).otherwise(F.col("text"))
     out = joined.withColumn("__new", changed)
     return out.select(
         *[
             F.col("__new").alias("text")
             if c == "text"
-            else F.when(F.col("found").isNotNull(), F.length("__new").cast(t)).otherwise(F.col("n_chars")).alias("n_chars")
+            else F.when(F.col("__found").isNotNull(), F.length("__new").cast(t)).otherwise(F.col("n_chars")).alias("n_chars")
             if c == "n_chars"
-            else docs[c]
+            else hashed[c]
             for c, t in docs.dtypes
         ]
     )
