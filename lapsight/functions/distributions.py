@@ -43,7 +43,7 @@ def choice(u: Column, choices: Column, probabilities: Column) -> Column:
     upto = F.aggregate(
         probabilities,
         F.array().cast("array<double>"),
-        lambda a, p: F.concat(a, F.array(F.coalesce(F.element_at(a, -1), F.lit(0.0)) + p)),
+        lambda a, p: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)) + p)),
     )
     at = F.size(F.filter(upto, lambda c: c <= u))
     return F.get(choices, F.least(at, F.size(choices) - 1))

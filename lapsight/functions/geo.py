@@ -13,7 +13,7 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), F.lit(2)) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(
         F.sin(F.radians(lon2 - lon1) / 2), F.lit(2)
     )
-    return 2 * radius * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    return 2 * radius * F.asin(F.when(a > 1, 1.0).otherwise(F.sqrt(a)))  # least() would turn null into 1
 
 
 def with_local_xy(points: DataFrame, lat: str = "latitude_deg", lon: str = "longitude_deg") -> DataFrame:

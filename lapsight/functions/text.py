@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def tokens(value: Column) -> Column:
     """Parts between semicolons, or between commas where there is none; trimmed, without empty ones."""
     separator = F.when(value.contains(";"), F.lit(";")).otherwise(F.lit(","))
-    return F.filter(F.transform(F.split(value, separator), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(value, separator), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def merged_flags(*flags: Column) -> Column:

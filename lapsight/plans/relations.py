@@ -197,8 +197,9 @@ def unit_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 WITH p AS (SELECT c_custkey, c_nationkey, c_acctbal / 1000.0 AS lat, (c_custkey % 180)::DOUBLE AS lon FROM customer),
 l AS (SELECT *, lag(lat) OVER w AS a, lag(lon) OVER w AS o FROM p WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey)),
-h AS (SELECT c_nationkey, 2 * 6371008.8 * asin(least(1, sqrt(sin(radians(lat - a) / 2) ^ 2 + cos(radians(a)) * cos(radians(lat)) * sin(radians(lon - o) / 2) ^ 2))) AS d FROM l)
-SELECT c_nationkey::BIGINT AS c_nationkey, count(d) AS steps, round(sum(d) / 1000, 4) + 0.0 AS path_km FROM h GROUP BY 1""",
+h AS (SELECT c_nationkey, sin(radians(lat - a) / 2) ^ 2 + cos(radians(a)) * cos(radians(lat)) * sin(radians(lon - o) / 2) ^ 2 AS q FROM l),
+d AS (SELECT c_nationkey, 2 * 6371008.8 * asin(CASE WHEN q > 1 THEN 1 ELSE sqrt(q) END) AS d FROM h)
+SELECT c_nationkey::BIGINT AS c_nationkey, count(d) AS steps, round(sum(d) / 1000, 4) + 0.0 AS path_km FROM d GROUP BY 1""",
 )
 def haversine_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window

@@ -218,11 +218,11 @@ def speed_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "circular_intervals",
     """
-WITH d AS (SELECT o_orderkey, (dayofyear(o_orderdate) - 1)::DOUBLE AS a, dayofyear(o_orderdate) - 1 + 30.0 + o_orderkey % 60 AS b FROM orders),
-i AS (SELECT o_orderkey, a, b % 365.0 AS b, a % 365.0 AS s FROM d)
-SELECT o_orderkey, s AS start_day, b AS end_day, (b - s + 365.0) % 365.0 AS length, b < s AS wraps,
+WITH d AS (SELECT o_orderkey, (dayofyear(o_orderdate) - 1)::DOUBLE AS a, (dayofyear(o_orderdate) - 1 + 30 + o_orderkey % 60)::DOUBLE AS b FROM orders),
+i AS (SELECT o_orderkey, a, b % 365.0::DOUBLE AS b, a % 365.0::DOUBLE AS s FROM d)
+SELECT o_orderkey, s AS start_day, b AS end_day, ((b - s + 365.0) % 365.0)::DOUBLE AS length, b < s AS wraps,
        CASE WHEN s <= b THEN 10.0 >= s AND 10.0 < b ELSE 10.0 >= s OR 10.0 < b END AS holds_day_10,
-       least((100.0 - s + 365.0) % 365.0, 365.0 - (100.0 - s + 365.0) % 365.0) AS from_day_100 FROM i""",
+       least((100.0 - s + 365.0) % 365.0, 365.0 - (100.0 - s + 365.0) % 365.0)::DOUBLE AS from_day_100 FROM i""",
 )
 def circular_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = (F.dayofyear("o_orderdate") - 1).cast("double")
