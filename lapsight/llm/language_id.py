@@ -10,15 +10,14 @@ over the next one is marked as a rejection.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapsight.llm.staging import documents
+from lapsight.llm.staging import documents, map_rows
 
 #: Bounds of what is fitted: training documents per language (expected), characters of each, bytes of a dictionary.
 SAMPLE_DOCS = 400
@@ -30,6 +29,7 @@ BLOCK = 1000
 #: Less than this share of the text's bytes between the best two languages is a rejection.
 MARGIN = 0.02
 UNKNOWN = "und"
+OUTPUTS = {"lang_pred": pa.string(), "score": pa.float64(), "rejected": pa.bool_()}
 LETTER = regex.compile(r"\p{L}")
 OTHER = re.compile(r"[\W\d_]+")
 
@@ -80,31 +80,27 @@ def predict(docs: DataFrame, model: dict[str, tuple[bytes, int]], text: str = "t
     """
     order = sorted(model, key=lambda k: (-model[k][1], k))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         tools = []
         for k in order:
             content = zstandard.ZstdCompressionDict(model[k][0], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             content.precompute_compress(level=LEVEL)
             tools.append(zstandard.ZstdCompressor(dict_data=content, write_content_size=False, write_checksum=False, write_dict_id=False))
-        for batch in batches:
-            langs, scores, rejects = [], [], []
-            for value in batch.pop("__text"):
-                if not tools or value is None or not LETTER.search(value):
-                    langs.append(UNKNOWN), scores.append(0.0), rejects.append(True)
-                    continue
-                data = plain(value)
-                blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
-                sizes = [sum(len(t.compress(b)) for b in blocks) for t in tools]
-                best = min(range(len(sizes)), key=sizes.__getitem__)
-                rest = [s for i, s in enumerate(sizes) if i != best]
-                margin = (min(rest) - sizes[best]) / len(data) if rest else 1.0
-                langs.append(order[best]), scores.append(min(1.0, margin / (margin + MARGIN) if margin > 0 else 0.0))
-                rejects.append(margin < MARGIN)
-            yield batch.reset_index(drop=True).assign(lang_pred=langs, score=scores, rejected=rejects)
-
-    rows = docs.select(*[F.col(c) for c in keep], F.col(text).alias("__text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInPandas(run, f"{kept}, lang_pred string, score double, rejected boolean")
+
+        def judge(value: str | None) -> tuple[str, float, bool]:
+            if not tools or value is None or not LETTER.search(value):
+                return UNKNOWN, 0.0, True
+            data = plain(value)
+            blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
+            sizes = [sum(len(t.compress(b)) for b in blocks) for t in tools]
+            best = min(range(len(sizes)), key=sizes.__getitem__)
+            rest = [s for i, s in enumerate(sizes) if i != best]
+            margin = (min(rest) - sizes[best]) / len(data) if rest else 1.0
+            return order[best], min(1.0, margin / (margin + MARGIN) if margin > 0 else 0.0), margin < MARGIN
+
+        return lambda texts: list(zip(*map(judge, texts), strict=True))
+
+    return map_rows(docs, keep, [F.col(text)], OUTPUTS, start)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,14 +12,13 @@ import hashlib
 import io
 import wave
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapsight.llm.staging import documents
+from lapsight.llm.staging import documents, map_rows
 
 UNIT = 192
 RATE = 8000
@@ -33,10 +32,15 @@ FAN_OUT = 3
 #: Frames that are transformed at once, so a text of any length takes bounded memory.
 CHUNK = 2048
 
-SCHEMA = (
-    "payload_bytes long, media binary, frame array<int>, code array<long>, n_frames long, "
-    "payload_sha256 string, tail_crc32 long"
-)
+OUTPUTS = {
+    "payload_bytes": pa.int64(),
+    "media": pa.binary(),
+    "frame": pa.list_(pa.int32()),
+    "code": pa.list_(pa.int64()),
+    "n_frames": pa.int64(),
+    "payload_sha256": pa.string(),
+    "tail_crc32": pa.int64(),
+}
 
 
 def payload(data: bytes) -> bytes:
@@ -98,16 +102,14 @@ def fingerprint(samples: bytes) -> tuple[np.ndarray, np.ndarray, int]:
     return t[order].astype(np.int32), c[order], n_frames
 
 
-def _encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for text in batch.pop("__text"):
-            stored = to_wav(payload((text or "").encode()))
-            back = from_wav(stored)
-            t, c, n = fingerprint(back)
-            rows.append((len(back), stored, t, c, n, hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:])))
-        names = [x.split()[0] for x in SCHEMA.split(", ")]
-        yield pd.concat([batch.reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
+def _encode(texts: list[str | None]) -> list[tuple]:
+    rows = []
+    for text in texts:
+        stored = to_wav(payload((text or "").encode()))
+        back = from_wav(stored)
+        t, c, n = fingerprint(back)
+        rows.append((len(back), stored, t, c, n, hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:])))
+    return list(zip(*rows, strict=True))
 
 
 def media_column(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -116,9 +118,7 @@ def media_column(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     A null text is an empty one; both give one unit of blanks. Equal texts give
     equal rows, whatever batch they are in. Map only: nothing is shuffled.
     """
-    rows = docs.select(*[F.col(c) for c in keep], F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInPandas(_encode, f"{kept}, {SCHEMA}")
+    return map_rows(docs, keep, [F.col(text)], OUTPUTS, lambda: _encode)
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:

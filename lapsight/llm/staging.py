@@ -5,13 +5,28 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Spark 4.1: remove a query's shuffle files as soon as the query has ended.
 CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+_SPARK = {
+    pa.int32(): T.IntegerType(),
+    pa.int64(): T.LongType(),
+    pa.float64(): T.DoubleType(),
+    pa.bool_(): T.BooleanType(),
+    pa.string(): T.StringType(),
+    pa.binary(): T.BinaryType(),
+}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,12 +40,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 @contextmanager
 def shuffles_removed(spark: SparkSession):
-    before = spark.conf.get(CLEAN_SHUFFLES, "false")
-    spark.conf.set(CLEAN_SHUFFLES, "true")
+    """Within, queries remove their shuffle files when they end, and hand rows to Python in small batches."""
+    own = {CLEAN_SHUFFLES: "true", BATCH_ROWS: "1000"}
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(CLEAN_SHUFFLES, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -62,3 +81,48 @@ def group_key(column: Column) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def byte_slices(column: pa.Array, most_bytes: int) -> Iterator[tuple[int, int]]:
+    """First row and number of rows of parts of up to ``most_bytes`` bytes (or list items), or one larger row."""
+    length = pc.list_value_length if pa.types.is_list(column.type) else pc.binary_length
+    upto = np.cumsum(pc.fill_null(length(column), 0).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < len(upto):
+        done = upto[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(upto, done + most_bytes, side="right")))
+        yield first, last - first
+        first = last
+
+
+def map_rows(
+    docs: DataFrame,
+    keep: Sequence[str],
+    inputs: Sequence[Column],
+    outputs: Mapping[str, pa.DataType],
+    start: Callable[[], Callable[..., Sequence]],
+    most_bytes: int = 2 << 20,
+) -> DataFrame:
+    """Columns of ``keep`` as they are, and ``outputs`` computed from ``inputs``, batch by batch.
+
+    ``start`` is called once per task and gives a function from lists of the
+    inputs' values to lists or arrays of the outputs'. The first input is a
+    text or list; it sees rows of up to ``most_bytes`` bytes or items of it at
+    a time, or one larger row. Kept columns stay in Arrow, so nulls and large integers are safe.
+    """
+    names = [*keep, *outputs]
+    kept = len(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = start()
+        for batch in batches:
+            for first, n in byte_slices(batch.column(kept), most_bytes):
+                part = batch.slice(first, n)
+                made = compute(*(c.to_pylist() for c in part.columns[kept:]))
+                arrays = [pa.array(x, type=t) for x, t in zip(made, outputs.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:kept], *arrays], names=names)
+
+    rows = docs.select(*[F.col(c) for c in keep], *[c.alias(f"__in_{i}") for i, c in enumerate(inputs)])
+    made = [T.StructField(n, _SPARK[t] if t in _SPARK else T.ArrayType(_SPARK[t.value_type])) for n, t in outputs.items()]
+    schema = T.StructType([*rows.schema.fields[:kept], *made])
+    return rows.mapInArrow(run, schema)

@@ -25,16 +25,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lapsight.llm.staging import documents, stage
+from lapsight.llm.staging import byte_slices, documents, stage
 
 WIDTH = 50
 GRAM = 16
 #: Bytes whose windows are assigned at once, and of the texts that one suffix array holds.
 SLICE = 1 << 20
-ARRAY_BYTES = 4 << 20
+ARRAY_BYTES = 1 << 20
 _BASE = np.uint64(0xD1342543DE82EF95)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -116,41 +117,34 @@ def _packed(held):
     return data, np.repeat(stops, sizes), number, offset
 
 
-def _all_pieces(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    texts = [t.encode() for t in batch["text"]]
-    docs, tags = batch["doc"].to_numpy(), batch["tag"].to_numpy()
-    for data, ends, number, offset in _slices(texts):
-        first, count, place_hash, text_hash = pieces_of(data, ends)
-        yield pd.DataFrame(
-            {
-                "near": place_hash.view(np.int64),
-                "piece": text_hash.view(np.int64),
-                "doc": docs[number[first]],
-                "tag": tags[number[first]],
-                "at": offset[first].astype(np.int32),
-                "windows": count.astype(np.int16),
-            }
-        )
+def _all_pieces(batches: Iterator[pa.RecordBatch]):
+    """Of rows (doc, tag, text): near, piece, doc, tag, place and number of windows of each piece, a slice at a time."""
+    for batch in batches:
+        for start, n in byte_slices(batch.column("text"), SLICE):
+            part = batch.slice(start, n)
+            texts = part.column("text").cast(pa.binary()).to_pylist()
+            docs, tags = part.column("doc").to_numpy(), part.column("tag").to_numpy()
+            for data, ends, number, offset in _slices(texts):
+                first, count, place_hash, text_hash = pieces_of(data, ends)
+                of = number[first]
+                yield place_hash.view(np.int64), text_hash.view(np.int64), docs[of], tags[of], offset[first].astype(np.int32), count.astype(np.int16)
 
 
-def _owners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Equal pieces of a batch as one, with the smallest and largest document."""
-    for batch in batches:
-        for found in _all_pieces(batch):
-            piece, doc = found["piece"].to_numpy(), found["doc"].to_numpy()
-            order = np.lexsort((doc, piece))
-            piece, doc = piece[order], doc[order]
-            start = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]])) if len(piece) else np.zeros(0, int)
-            stop = np.append(start[1:], len(piece)) - 1 if len(piece) else start
-            yield pd.DataFrame(
-                {"near": found["near"].to_numpy()[order][start], "piece": piece[start], "first": doc[start], "last": doc[stop]}
-            )
-
-
-def _places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for found in _all_pieces(batch):
-            yield found[["piece", "doc", "tag", "at", "windows"]]
+def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Equal pieces of a slice as one, with the smallest and largest document."""
+    for near, piece, doc, *_ in _all_pieces(batches):
+        order = np.lexsort((doc, piece))
+        near, piece, doc = near[order], piece[order], doc[order]
+        opens = np.ones(len(piece), bool)
+        opens[1:] = piece[1:] != piece[:-1]
+        start = np.flatnonzero(opens)
+        stop = np.append(start[1:], len(piece))[: len(start)] - 1
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (near[start], piece[start], doc[start], doc[stop])], names=["near", "piece", "first", "last"])
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, *columns in _all_pieces(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["piece", "doc", "tag", "at", "windows"])
 
 
 def two_stage_sort(text: np.ndarray) -> np.ndarray:
@@ -251,14 +245,19 @@ def earlier_windows(pieces: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def _owned_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Bytes of the pieces that have to be compared by text."""
+def _owned_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bytes of the pieces that have to be compared by text. In Arrow throughout: hashes with nulls among them stay integers."""
+    schema = pa.schema([("near", pa.int64()), ("doc", pa.int64()), ("tag", pa.int32()), ("at", pa.int32()), ("bytes", pa.binary())])
     for batch in batches:
-        rows = []
-        for text, doc, tag, found in batch[["text", "doc", "tag", "found"]].itertuples(index=False):
-            data = text.encode()
-            rows += [(x["near"], doc, tag, x["at"], data[x["at"] : x["at"] + x["windows"] + WIDTH - 1]) for x in found if x["near"] is not None]
-        yield pd.DataFrame(rows, columns=["near", "doc", "tag", "at", "bytes"])
+        for start, n in byte_slices(batch.column("text"), SLICE):
+            rows = []
+            for r in batch.slice(start, n).to_pylist():
+                data = r["text"].encode()
+                for x in r["found"]:
+                    if x["near"] is not None:
+                        rows.append((x["near"], r["doc"], r["tag"], x["at"], data[x["at"] : x["at"] + x["windows"] + WIDTH - 1]))
+            columns = zip(*rows, strict=True) if rows else [[]] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def _kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -295,7 +294,7 @@ def repeated_strings(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     total = known.agg(F.sum("n_bytes")).first()[0] or 0
     parts = max(8, int(total // (16 << 20)))
 
-    counted = long_enough.select("doc", "tag", "text").mapInPandas(_owners, "near long, piece long, first long, last long")
+    counted = long_enough.select("doc", "tag", "text").mapInArrow(_owners, "near long, piece long, first long, last long")
     by_near, by_piece = Window.partitionBy("near"), ["near", "piece"]
     owners = (
         counted.repartition(parts, "near")
@@ -306,7 +305,7 @@ def repeated_strings(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     )
     owners = stage(owners, "repeats-owners")
 
-    places = long_enough.select("doc", "tag", "text").mapInPandas(_places, "piece long, doc long, tag int, at int, windows short")
+    places = long_enough.select("doc", "tag", "text").mapInArrow(_places, "piece long, doc long, tag int, at int, windows short")
     found = (
         places.join(owners, "piece")
         .where("doc > first or variants")
@@ -320,7 +319,7 @@ def repeated_strings(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     to_compare = found.where(F.exists("found", lambda x: x["near"].isNotNull()))
     owned = long_enough.join(to_compare, ["doc", "tag"])
     owned = stage(
-        owned.select("text", "doc", "tag", "found").mapInPandas(_owned_texts, "near long, doc long, tag int, at int, bytes binary"), "repeats-texts"
+        owned.select("text", "doc", "tag", "found").mapInArrow(_owned_texts, "near long, doc long, tag int, at int, bytes binary"), "repeats-texts"
     )
     arrays = max(8, int((owned.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0) // ARRAY_BYTES))
     windows = (

@@ -11,14 +11,13 @@ from __future__ import annotations
 
 import base64
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapsight.llm.staging import documents, shared_dir, shuffles_removed, stage
+from lapsight.llm.staging import documents, map_rows, shared_dir, shuffles_removed, stage
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -86,15 +85,11 @@ def bpe_tokens(docs: DataFrame, text: str = "text", ranks_path: str = RANKS, to:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         encoding = tiktoken.Encoding("ledger", pat_str=PATTERN, mergeable_ranks=shared.value, special_tokens={})
-        for batch in batches:
-            texts = batch.pop(text)
-            yield batch.assign(**{to: [len(encoding.encode_ordinary(t)) if t else 0 for t in texts]})
+        return lambda texts: [[len(encoding.encode_ordinary(t)) if t else 0 for t in texts]]
 
-    kept = [f for f in docs.schema.fields if f.name != text]
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return docs.select(*[F.col(f.name) for f in kept], F.col(text)).mapInPandas(run, f"{columns}, `{to}` long")
+    return map_rows(docs, [c for c in docs.columns if c != text], [F.col(text)], {to: pa.int64()}, start)
 
 
 def op4_token_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
