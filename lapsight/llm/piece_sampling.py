@@ -11,16 +11,17 @@ Random numbers depend on the row key, the word's place and the step only.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapsight.llm.staging import documents
+from lapsight.llm.staging import documents, map_rows
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: A merge rank r becomes a weight (r + ZIPF_OFFSET) ** -ZIPF_POWER; the vocabulary's scores are ranks, not probabilities.
@@ -34,7 +35,7 @@ LITERAL_BLANK = 0x110000
 #: Words up to here step together; longer ones are sampled one by one.
 SHORT = 40
 #: Characters that step together.
-SLICE = 1_500_000
+SLICE = 400_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -238,10 +239,10 @@ def _sample_short(codes, start, size, key, tables: Lattice, out) -> None:
         active, step = active[left[active] > 0], step + 1
 
 
-def decode(ids: np.ndarray, tables: Lattice) -> str:
+def decode(ids: Iterable[int], tables: Lattice) -> str:
     """The text that was encoded: pieces and bytes joined, without the blank put before it."""
     of = tables.bytes_of
-    return b"".join([of[i] for i in ids.tolist()])[1:].decode()
+    return b"".join([of[i] for i in ids])[1:].decode()
 
 
 def encode_column(
@@ -257,20 +258,17 @@ def encode_column(
     with open(model_path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         tables = lattice(shared.value)
-        for batch in batches:
-            texts, keys = batch.pop("__text"), batch.pop("__key").to_numpy(np.int64)
-            ids = encode([t or "" for t in texts], keys, tables)
-            yield batch.reset_index(drop=True).assign(
-                piece_ids=[None if t is None else x for t, x in zip(texts, ids, strict=True)]
-            )
-
-    rows = docs.select(
-        *[F.col(c) for c in keep], F.xxhash64(F.col(key).cast("string")).alias("__key"), F.col(text).alias("__text")
-    )
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-2])
-    return rows.mapInPandas(run, f"{kept}, piece_ids array<int>")
+
+        def sample(texts, keys):
+            ids = encode([t or "" for t in texts], np.array(keys, np.int64), tables)
+            return [[None if t is None else x for t, x in zip(texts, ids, strict=True)]]
+
+        return sample
+
+    inputs = [F.col(text), F.xxhash64(F.col(key).cast("string"))]
+    return map_rows(docs, keep, inputs, {"piece_ids": pa.list_(pa.int32())}, start, most_bytes=1 << 20)
 
 
 def decode_column(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
@@ -278,13 +276,11 @@ def decode_column(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
     with open(model_path, "rb") as f:
         shared = encoded.sparkSession.sparkContext.broadcast(f.read())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         tables = lattice(shared.value)
-        for batch in batches:
-            yield batch.assign(text=[None if x is None else decode(x, tables) for x in batch["piece_ids"]])
+        return lambda ids: [[None if x is None else decode(x, tables) for x in ids]]
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
-    return encoded.mapInPandas(run, f"{kept}, text string")
+    return map_rows(encoded, encoded.columns, [F.col("piece_ids")], {"text": pa.string()}, start, most_bytes=1 << 18)
 
 
 def op3_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
