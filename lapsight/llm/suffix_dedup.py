@@ -21,6 +21,7 @@ repeats.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,8 @@ from lapsight.llm.staging import byte_slices, documents, stage
 
 WIDTH = 50
 GRAM = 16
+#: Of WIDTH - GRAM bytes around a place, at least so many stand on one side of it.
+SIDE = (WIDTH - GRAM) // 2
 #: Bytes whose windows are assigned at once, and of the texts that one suffix array holds.
 SLICE = 1 << 20
 ARRAY_BYTES = 1 << 20
@@ -57,13 +60,13 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def pieces_of(data: np.ndarray, ends: np.ndarray, width: int = WIDTH, gram: int = GRAM):
-    """Runs of windows of ``data`` with one assigned place: start, windows, hash of the place, hash of the run's bytes.
+    """Runs of windows of ``data`` with one assigned place: start, windows, hash of the place, hash of the run's bytes, offset of the place.
 
     ``ends`` gives, for each byte, where its text ends; no window crosses it.
     """
     n = len(data)
     if n < width:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTERS[data] * _DOWN[:n], dtype=np.uint64)])
     h = _mixed((sums[gram:] - sums[:-gram]) * _UP[: n - gram + 1])
     span = width - gram + 1
@@ -88,7 +91,7 @@ def pieces_of(data: np.ndarray, ends: np.ndarray, width: int = WIDTH, gram: int
     bounds = np.cumsum(valid)
     count = np.diff(np.append(bounds[first] - 1, bounds[-1]))
     text = _mixed((sums[first + count + width - 1] - sums[first]) * _UP[first] + count.astype(np.uint64))
-    return first, count, h[place[first]], text
+    return first, count, h[place[first]], text, place[first] - first
 
 
 def _slices(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -118,20 +121,20 @@ def _packed(held):
 
 
 def _all_pieces(batches: Iterator[pa.RecordBatch]):
-    """Of rows (doc, tag, text): near, piece, doc, tag, place and number of windows of each piece, a slice at a time."""
+    """Of rows (doc, tag, text): near, piece, doc, tag, start, windows and offset of the place of each piece, a slice at a time."""
     for batch in batches:
         for start, n in byte_slices(batch.column("text"), SLICE):
             part = batch.slice(start, n)
             texts = part.column("text").cast(pa.binary()).to_pylist()
             docs, tags = part.column("doc").to_numpy(), part.column("tag").to_numpy()
             for data, ends, number, offset in _slices(texts):
-                first, count, place_hash, text_hash = pieces_of(data, ends)
+                first, count, place_hash, text_hash, inside = pieces_of(data, ends)
                 of = number[first]
-                yield place_hash.view(np.int64), text_hash.view(np.int64), docs[of], tags[of], offset[first].astype(np.int32), count.astype(np.int16)
+                yield place_hash.view(np.int64), text_hash.view(np.int64), docs[of], tags[of], offset[first].astype(np.int32), count.astype(np.int16), inside.astype(np.int16)
 
 
 def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Equal pieces of a slice as one, with the smallest and largest document."""
+    """Equal pieces of a slice as one, with the smallest document and how far the largest is from it (mostly 0)."""
     for near, piece, doc, *_ in _all_pieces(batches):
         order = np.lexsort((doc, piece))
         near, piece, doc = near[order], piece[order], doc[order]
@@ -139,12 +142,12 @@ def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opens[1:] = piece[1:] != piece[:-1]
         start = np.flatnonzero(opens)
         stop = np.append(start[1:], len(piece))[: len(start)] - 1
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (near[start], piece[start], doc[start], doc[stop])], names=["near", "piece", "first", "last"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (near[start], piece[start], doc[start], doc[stop] - doc[start])], names=["near", "piece", "first", "more"])
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, *columns in _all_pieces(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["piece", "doc", "tag", "at", "windows"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["piece", "doc", "tag", "at", "windows", "inside"])
 
 
 def two_stage_sort(text: np.ndarray) -> np.ndarray:
@@ -246,8 +249,15 @@ def earlier_windows(pieces: pd.DataFrame) -> pd.DataFrame:
 
 
 def _owned_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes of the pieces that have to be compared by text. In Arrow throughout: hashes with nulls among them stay integers."""
-    schema = pa.schema([("near", pa.int64()), ("doc", pa.int64()), ("tag", pa.int32()), ("at", pa.int32()), ("bytes", pa.binary())])
+    """Bytes of the pieces that may have to be compared by text, and checksums of what stands before and after their place.
+
+    A window is at most as long as GRAM and two SIDEs, so two pieces that share
+    one agree on a whole SIDE before or after. In Arrow throughout: hashes with
+    nulls among them stay integers.
+    """
+    schema = pa.schema(
+        [("near", pa.int64()), ("doc", pa.int64()), ("tag", pa.int32()), ("at", pa.int32()), ("bytes", pa.binary()), ("left", pa.int64()), ("right", pa.int64())]
+    )
     for batch in batches:
         for start, n in byte_slices(batch.column("text"), SLICE):
             rows = []
@@ -255,11 +265,23 @@ def _owned_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 data = r["text"].encode()
                 for x in r["found"]:
                     if x["near"] is not None:
-                        rows.append((x["near"], r["doc"], r["tag"], x["at"], data[x["at"] : x["at"] + x["windows"] + WIDTH - 1]))
+                        part, p = data[x["at"] : x["at"] + x["windows"] + WIDTH - 1], x["inside"]
+                        left = zlib.crc32(part[p - SIDE : p]) if p >= SIDE else None
+                        after = part[p + GRAM : p + GRAM + SIDE]
+                        rows.append((x["near"], r["doc"], r["tag"], x["at"], part, left, zlib.crc32(after) if len(after) == SIDE else None))
             columns = zip(*rows, strict=True) if rows else [[]] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def _worth_comparing(owned: DataFrame) -> DataFrame:
+    """Pieces that agree with one of another document on the side before or after their place."""
+    out = owned
+    for side in ("left", "right"):
+        shared = owned.where(F.col(side).isNotNull()).groupBy("near", side).agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a != b")
+        out = out.join(shared.select("near", side, F.lit(True).alias(f"__{side}")), ["near", side], "left")
+    return out.where("__left or __right").select("near", "doc", "tag", "at", "bytes")
+
+
 def _kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
@@ -287,29 +309,31 @@ def repeated_strings(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     known = stage(
         rows.select("id", "doc", F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes")), "repeats-docs"
     )
-    tag = lambda sha: F.conv(F.substring(sha, 1, 7), 16, 10).cast("int")
+    repeated = not known.groupBy("doc").count().where("count > 1").isEmpty()
+    # rows of equal id are told apart by their texts; where there are none, the tag is 0 and costs nothing to shuffle
+    tag = lambda sha: F.conv(F.substring(sha, 1, 7), 16, 10).cast("int") if repeated else F.lit(0)
     firsts = stage(known.groupBy("sha").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("copies")), "repeats-firsts")
     copies = known.join(firsts.where("copies > 1"), "sha").where("doc > first").select("doc", tag("sha").alias("tag"))
     long_enough = rows.where(F.octet_length("text") >= WIDTH).withColumn("tag", tag(F.sha2("text", 256)))
     total = known.agg(F.sum("n_bytes")).first()[0] or 0
     parts = max(8, int(total // (16 << 20)))
 
-    counted = long_enough.select("doc", "tag", "text").mapInArrow(_owners, "near long, piece long, first long, last long")
+    counted = long_enough.select("doc", "tag", "text").mapInArrow(_owners, "near long, piece long, first long, more long")
     by_near, by_piece = Window.partitionBy("near"), ["near", "piece"]
     owners = (
         counted.repartition(parts, "near")
         .groupBy(*by_piece)
-        .agg(F.min("first").alias("first"), F.max("last").alias("last"))
+        .agg(F.min("first").alias("first"), F.max(F.col("first") + F.col("more")).alias("last"))
         .withColumn("variants", (F.min("piece").over(by_near) != F.max("piece").over(by_near)) & (F.min("first").over(by_near) != F.max("last").over(by_near)))
         .where("variants or first != last")
     )
     owners = stage(owners, "repeats-owners")
 
-    places = long_enough.select("doc", "tag", "text").mapInArrow(_places, "piece long, doc long, tag int, at int, windows short")
+    places = long_enough.select("doc", "tag", "text").mapInArrow(_places, "piece long, doc long, tag int, at int, windows short, inside short")
     found = (
         places.join(owners, "piece")
         .where("doc > first or variants")
-        .select("doc", "tag", F.struct("at", "windows", F.when(F.col("doc") == F.col("first"), F.col("near")).alias("near")).alias("x"))
+        .select("doc", "tag", F.struct("at", "windows", "inside", F.when((F.col("doc") == F.col("first")) & F.col("variants"), F.col("near")).alias("near")).alias("x"))
         .groupBy("doc", "tag")
         .agg(F.collect_list("x").alias("found"))
         .join(copies, ["doc", "tag"], "left_anti")
@@ -319,18 +343,19 @@ def repeated_strings(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     to_compare = found.where(F.exists("found", lambda x: x["near"].isNotNull()))
     owned = long_enough.join(to_compare, ["doc", "tag"])
     owned = stage(
-        owned.select("text", "doc", "tag", "found").mapInArrow(_owned_texts, "near long, doc long, tag int, at int, bytes binary"), "repeats-texts"
+        owned.select("text", "doc", "tag", "found").mapInArrow(_owned_texts, "near long, doc long, tag int, at int, bytes binary, left long, right long"), "repeats-texts"
     )
+    owned = stage(_worth_comparing(owned), "repeats-compared")
     arrays = max(8, int((owned.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0) // ARRAY_BYTES))
     windows = (
         owned.withColumn("array", F.pmod("near", F.lit(arrays)))
         .groupBy("array")
         .applyInPandas(earlier_windows, "doc long, tag int, at int, windows short")
         .groupBy("doc", "tag")
-        .agg(F.collect_list(F.struct("at", "windows", F.lit(None).cast("long").alias("near"))).alias("found"))
+        .agg(F.collect_list(F.struct("at", "windows")).alias("found"))
     )
     windows = stage(windows, "repeats-windows")
-    sure = found.select("doc", "tag", F.filter("found", lambda x: x["near"].isNull()).alias("found")).where(F.size("found") > 0)
+    sure = found.select("doc", "tag", F.transform(F.filter("found", lambda x: x["near"].isNull()), lambda x: F.struct(x["at"].alias("at"), x["windows"].alias("windows"))).alias("found")).where(F.size("found") > 0)
     removed = sure.union(windows).groupBy("doc", "tag").agg(F.flatten(F.collect_list("found")).alias("found"))
     kept = (
         long_enough.join(removed, ["doc", "tag"])

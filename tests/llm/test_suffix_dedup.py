@@ -43,7 +43,8 @@ def test_pieces_cover_every_window_once():
     for alphabet in (1, 2, 30):
         data = rng.integers(0, alphabet, 3000).astype(np.uint8)
         ends = np.repeat([900, 930, 3000], [900, 30, 2070])
-        first, count, *_ = s.pieces_of(data, ends)
+        first, count, _, _, inside = s.pieces_of(data, ends)
+        assert (inside >= count - 1).all() and (inside <= s.WIDTH - s.GRAM).all()
         covered = np.concatenate([np.arange(a, a + n) for a, n in zip(first, count, strict=True)])
         want = [i for i in range(2951) if i + 50 <= ends[i]]
         assert covered.tolist() == want
