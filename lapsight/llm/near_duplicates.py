@@ -2,12 +2,14 @@
 
 A text's set is the hashes of its runs of five words. Texts of equal sets are
 one class from the start. Each tree sorts the classes by its part of their
-signatures; classes that share a prefix meet there, the longest shared prefix
-first, down to the shortest that the target recall needs at the threshold.
-Within a prefix every class is compared with its leader only; those that the
-leader doesn't match are compared with their neighbours in sorted order as well.
-So candidates grow with the classes, never with the square of a group. Links
-are verified on the whole sets, and connected classes are one group.
+signatures; classes that share a prefix meet there. The prefix has one fixed
+length, the longest at which the target recall is reached at the threshold;
+nothing is shortened class by class. Within a prefix every class is compared
+with its leader first. Where that leaves more than one component, all classes
+outside the leader's are compared with all others of the prefix, in blocks of
+bounded size, of which only the links that join components leave a task. So
+each two classes that meet are compared or already connected. Links are
+verified on the whole sets, and connected classes are one group.
 
 Then the links of each class are counted: the sets of a group are dealt to
 blocks of bounded size, and a task takes two blocks and counts, for each set,
@@ -23,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapsight.llm.staging import documents, map_rows, stage
@@ -156,14 +158,12 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("key", "label")
 
 
-def links_in_block(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """(key, n): how many rows of the same group each row (key, label, side, cross, members) is linked to.
+def shared_hashes(sets: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """For each set in turn, the sizes of its intersections with all sets.
 
-    With ``cross`` only rows of the other side count. Postings of the hashes
-    give the sizes of all intersections; of a hash that most sets hold, the
-    sets without it are posted instead, so near copies have short postings.
+    Postings of the hashes give them; of a hash that most sets hold, the sets
+    without it are posted instead, so near copies have short postings.
     """
-    sets = [np.frombuffer(m, np.uint64) for m in rows["members"]]
     n, sizes = len(sets), np.array([len(x) for x in sets])
     _, column = np.unique(np.concatenate(sets), return_inverse=True)
     row = np.repeat(np.arange(n), sizes)
@@ -182,20 +182,105 @@ def links_in_block(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
     start = np.cumsum(length) - length
     by_row = column[np.argsort(row, kind="stable")]
     bounds = np.searchsorted(np.sort(row), np.arange(n + 1))
-    label = pd.factorize(rows["label"])[0]
-    side, cross = rows["side"].to_numpy(), bool(rows["cross"].iloc[0])
-    links = np.zeros(n, np.int64)
     for a in range(n):
         own = by_row[bounds[a] : bounds[a + 1]]
         each = length[own]
         met = posted[np.repeat(start[own] - (np.cumsum(each) - each), each) + np.arange(each.sum())]
-        shared = np.bincount(met, minlength=n) + holds.shape[1] - lacks[a] - lacks
+        yield np.bincount(met, minlength=n) + holds.shape[1] - lacks[a] - lacks
+
+
+def links_in_block(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """(key, n): how many rows of the same group each row (key, label, side, cross, members) is linked to.
+
+    With ``cross`` only rows of the other side count.
+    """
+    sets = [np.frombuffer(m, np.uint64) for m in rows["members"]]
+    sizes = np.array([len(x) for x in sets])
+    label = pd.factorize(rows["label"])[0]
+    side, cross = rows["side"].to_numpy(), bool(rows["cross"].iloc[0])
+    links = np.zeros(len(sets), np.int64)
+    for a, shared in enumerate(shared_hashes(sets)):
         linked = (label == label[a]) & (shared >= threshold * (sizes[a] + sizes - shared) - 1e-9)
         linked[a] = False
         links[a] = (linked & (side != side[a])).sum() if cross else linked.sum()
     return pd.DataFrame({"key": rows["key"], "n": links})
 
 
+def joins_in_block(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """(a, b): links that join different labels, of rows (key, bucket, label, seeks, members).
+
+    Every row with ``seeks`` is compared with all rows of its bucket. A link
+    is given only if those before it don't connect its two labels, so there
+    are fewer than rows.
+    """
+    rows = rows.sort_values("seeks", ascending=False, kind="stable").drop_duplicates(["bucket", "key"])
+    sets = [np.frombuffer(m, np.uint64) for m in rows["members"]]
+    sizes = np.array([len(x) for x in sets])
+    bucket, key, seeks = pd.factorize(rows["bucket"])[0], list(rows["key"]), rows["seeks"].to_numpy()
+    label = pd.factorize(rows["label"])[0]
+    out = []
+    for a, shared in enumerate(shared_hashes(sets)):
+        if not seeks[a]:
+            break
+        linked = (bucket == bucket[a]) & (label != label[a]) & (shared >= threshold * (sizes[a] + sizes - shared) - 1e-9)
+        for b in np.flatnonzero(linked):
+            if label[b] != label[a]:
+                out.append((min(key[a], key[b]), max(key[a], key[b])))
+                label[label == label[b]] = label[a]
+    return pd.DataFrame(out, columns=["a", "b"])
+
+
+def rest_of_buckets(met: DataFrame, labels: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between classes that meet, that their leaders have not connected yet.
+
+    ``met`` has the rows of meetings(), ``labels`` the components of the links
+    to leaders. In each bucket the classes outside the leader's component are
+    compared with all classes of the bucket, block by block; buckets of the
+    same classes are one. The leader itself has been compared with all.
+    """
+    named = met.drop("label").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    heads = labels.select(F.col("key").alias("leader"), F.col("label").alias("head"))
+    named = named.join(heads, "leader", "left").withColumn("head", F.coalesce("head", "leader")).where(F.col("key") != F.col("leader"))
+    named = stage(named.select("tree", "prefix", "key", "label", (F.col("label") != F.col("head")).alias("apart")), "near-named")
+    of_bucket = (
+        named.groupBy("tree", "prefix")
+        .agg(
+            F.count(F.lit(1)).alias("m"),
+            F.count_if("apart").alias("q"),
+            F.bit_xor(F.xxhash64("key")).alias("x"),
+            F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"),
+            F.bit_xor(F.when(F.col("apart"), F.xxhash64("key", F.lit(2))).otherwise(0)).alias("z"),
+        )
+        .where("m > 1 and q > 0")
+    )
+    once = of_bucket.groupBy("m", "q", "x", "y", "z").agg(F.min(F.struct("tree", "prefix")).alias("one"))
+    once = once.select("one.tree", "one.prefix")
+    held = named.join(once, ["tree", "prefix"]).withColumn("bucket", F.xxhash64("tree", "prefix")).drop("tree", "prefix")
+    held = stage(held.join(sets, "key"), "near-rest")
+    size = F.octet_length("members").cast("long")
+    sums = held.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("m"), F.sum(size).alias("bytes"), F.count_if("apart").alias("q"), F.sum(F.when(F.col("apart"), size).otherwise(0)).alias("q_bytes")
+    )
+    blocks = lambda n, of: F.greatest(F.ceil(F.col(of) / BLOCK_BYTES), F.ceil(F.col(n) / BLOCK_SETS), F.lit(1))
+    sums = sums.select("bucket", "m", "bytes", blocks("q", "q_bytes").alias("seekers"), blocks("m", "bytes").alias("sought"))
+    total = sums.agg(F.sum("bytes"), F.sum("m")).first()
+    parts = max(8, (total[0] or 0) // BLOCK_BYTES, (total[1] or 0) // BLOCK_SETS)
+    rows = held.join(sums.select("bucket", "seekers", "sought"), "bucket")
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    hashed = F.xxhash64("key")
+    columns = ["key", "bucket", "label", "members", "seekers", "sought"]
+    as_sought = rows.select(*columns, F.lit(False).alias("seeks"), F.explode(upto("seekers")).alias("i"), F.pmod(hashed, F.col("sought")).alias("j"))
+    as_seeker = rows.where("apart").select(*columns, F.lit(True).alias("seeks"), F.pmod(hashed, F.col("seekers")).alias("i"), F.explode(upto("sought")).alias("j"))
+    alone = (F.col("seekers") == 1) & (F.col("sought") == 1)
+    part = F.when(alone, F.pmod(F.xxhash64("bucket"), F.lit(parts))).otherwise(F.col("bucket"))
+    return (
+        as_sought.unionByName(as_seeker)
+        .select("key", "bucket", "label", "members", "seeks", part.alias("part"), F.when(alone, F.lit(-1).cast("long")).otherwise(F.col("i")).alias("i"), "j")
+        .groupBy("part", "i", "j")
+        .applyInPandas(lambda rows: joins_in_block(rows, threshold), "a binary, b binary")
+    )
+
+
 def count_links(groups: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """(key, n_links) of all ``groups`` (key, label): exact counts within each group.
 
@@ -259,16 +344,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     sets = stage(sets.where(F.col("members").isNotNull()).dropDuplicates(["key"]), "near-sets")
 
     first = stage(verify(pairs("leader", "key", met).distinct(), sets, threshold), "near-first")
-    missed = met.where(F.col("key") != F.col("leader")).join(
-        first.where("not linked").select(F.col("a"), F.col("b")),
-        (F.least("leader", "key") == F.col("a")) & (F.greatest("leader", "key") == F.col("b")),
-    )
-    missed = stage(missed.select("tree", "prefix", "label", "key"), "near-missed")
-    second = _neighbours(met, missed).join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = stage(verify(second, sets, threshold), "near-second")
-    found = first.union(second).where("linked").select("a", "b")
-
+    found = first.where("linked").select("a", "b")
     labels = components(found)
+    rest = stage(rest_of_buckets(met, labels, sets, threshold), "near-second")
+    if not rest.isEmpty():
+        labels = components(found.union(rest))
     groups = labels.join(classes.select("key", "first"), "key")
     least = groups.groupBy("label").agg(F.min("first").alias("class_id"))
     groups = groups.join(least, "label").select("key", "class_id")
@@ -282,22 +362,6 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     )
 
 
-def _neighbours(met: DataFrame, missed: DataFrame) -> DataFrame:
-    """Pairs of classes that their leader doesn't match with the next in sorted order: of all in the prefix, and of each other."""
-    order = Window.partitionBy("tree", "prefix").orderBy("label", "key")
-    hot = missed.select("tree", "prefix").distinct()
-    marked = missed.select("tree", "prefix", "key").distinct().withColumn("missed", F.lit(True))
-    everyone = (
-        met.join(hot, ["tree", "prefix"])
-        .join(marked, ["tree", "prefix", "key"], "left")
-        .withColumn("before", F.lag("key").over(order))
-        .withColumn("before_missed", F.lag("missed").over(order))
-        .where(F.col("before").isNotNull() & (F.col("missed") | F.col("before_missed")))
-    )
-    among = missed.withColumn("before", F.lag("key").over(order)).where(F.col("before").isNotNull())
-    return pairs("before", "key", everyone).union(pairs("before", "key", among)).distinct()
-
-
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 

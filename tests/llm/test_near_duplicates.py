@@ -62,6 +62,19 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     assert out == brute(rows) and all(out[i] == (0, 399) for i in range(400))
 
 
+def test_pairs_among_many_texts_that_share_a_passage(spark, monkeypatch):
+    """All texts are similar at about 0.71; each has one partner above 0.8, which mostly is neither leader nor neighbour."""
+    monkeypatch.setattr(n, "BLOCK_SETS", 150)  # so that buckets are split
+    passage = prose(7, 150)
+    rows = []
+    for g in range(300):
+        for k in range(2):
+            rows.append((len(rows), f"{passage} {prose(1000 + g, 17)} {prose(90000 + 2 * g + k, 13)}"))
+    out = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in n.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute(rows)
+    assert all(want[2 * g] == (2 * g, 1) for g in range(300)) and out == want
+
+
 def test_prefix_length():
     assert n.shortest_prefix() == 4 and n.shortest_prefix(0.95) > n.shortest_prefix(0.8) >= n.shortest_prefix(0.5)
 
