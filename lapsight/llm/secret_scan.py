@@ -5,9 +5,10 @@ an inferred encoding and three tests against the hypothesis that its characters
 are drawn uniformly from that encoding's alphabet: chi-squared uniformity, runs
 about the middle of the alphabet, and correlation of neighbours. The p-values,
 combined by Fisher's method, are near 0 for words and uniform for keys. Over
-all candidates of one encoding and length class, the count above 0.5 tells how
-many are random; from that follows the lowest p-value at which at most
-MAX_FALSE of what is reported is not random.
+all candidates of one encoding and length class, the count above 0.5 and the
+count near 0 tell how many are random; from that, and from classes of similar
+length where there are few, follows the lowest p-value at which at most
+MAX_FALSE of what is reported is not random, as estimated.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ MAX_FALSE = 0.05
 SPAN = "array<struct<s:int,e:int>>"
 #: Length classes are half octaves; everything from 2^12 characters on is one class, so strata are few.
 TOP_CLASS = 24
+#: Length classes on each side that help to estimate, with the weight of so many words; deviations that count as shown.
+NEAR, PRIOR_WORDS, DEVIATIONS = 4, 100, 2
 
 
 def spans(text: Column, pattern: str) -> Column:
@@ -151,23 +154,40 @@ def battery(tokens: DataFrame, token: str = "token") -> DataFrame:
 def thresholds(scored: DataFrame) -> DataFrame:
     """Per encoding and length class, the lowest bin of p at which the false share is low enough.
 
-    At most 3 encodings x 25 classes x 20 bins are counted.
+    Of n random tokens n / BINS fall into the lowest bin; what it holds beyond
+    that is words. How many words pass a bin for each word of the lowest one is
+    estimated from the class itself and, as far as that has few words, from the
+    classes within NEAR of it. So a class without words reports its keys,
+    however few they are. Where the class alone shows more false reports than
+    chance allows, that count holds. At most 3 encodings x 25 classes x 20 bins
+    are counted.
     """
-    binned = scored.where(F.col("p").isNotNull()).groupBy(
-        "encoding", "length_class", F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")
+    c = F.col
+    binned = scored.where(c("p").isNotNull()).groupBy(
+        "encoding", "length_class", F.least(F.floor(c("p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")
     )
     counts = binned.agg(F.count(F.lit(1)).alias("n"))
     at = F.explode(F.sequence(F.lit(1), F.lit(BINS - 1)))
+    sums = counts.withColumn("from_bin", at).groupBy("encoding", "length_class", "from_bin").agg(
+        F.sum("n").alias("n"),
+        F.sum(F.when(c("bin") == 0, c("n")).otherwise(0)).alias("lowest"),
+        F.sum(F.when(c("bin") >= BINS // 2, c("n")).otherwise(0)).alias("upper"),
+        F.sum(F.when(c("bin") >= c("from_bin"), c("n")).otherwise(0)).alias("reported"),
+    )
+    words = F.greatest((c("lowest") - c("n") / BINS) / (1 - 1 / BINS), F.lit(0.0))
+    sums = sums.withColumn("words", words).withColumn("excess", c("reported") - 2 * c("upper") * (1 - c("from_bin") / BINS))
+    near = sums.select("encoding", c("length_class").alias("__near"), "from_bin", c("words").alias("__words"), c("excess").alias("__excess"))
+    pooled = (
+        sums.join(near, ["encoding", "from_bin"])
+        .where(F.abs(c("length_class") - c("__near")) <= NEAR)
+        .groupBy("encoding", "length_class", "from_bin", "reported", "words", "excess")
+        .agg((F.greatest(F.sum("__excess"), F.lit(0.0)) / F.greatest(F.sum("__words"), F.lit(1.0))).alias("passing"))
+    )
+    rate = (F.greatest(c("excess"), F.lit(0.0)) + PRIOR_WORDS * c("passing")) / (c("words") + PRIOR_WORDS)
+    shown = c("excess") - DEVIATIONS * F.sqrt(c("reported").cast("double"))  # the excess of random tokens has a deviation of about this root
     return (
-        counts.withColumn("from_bin", at)
-        .groupBy("encoding", "length_class", "from_bin")
-        .agg(
-            F.sum(F.when(F.col("bin") >= BINS // 2, F.col("n")).otherwise(0)).alias("upper"),
-            F.sum(F.when(F.col("bin") >= F.col("from_bin"), F.col("n")).otherwise(0)).alias("reported"),
-        )
-        .where(F.col("reported") > 0)
-        .withColumn("random", 2 * F.col("upper") * (1 - F.col("from_bin") / BINS))
-        .where(1 - F.col("random") / F.col("reported") <= MAX_FALSE)
+        pooled.where(c("reported") > 0)
+        .where(F.greatest(c("words") * rate, shown) <= MAX_FALSE * c("reported"))
         .groupBy("encoding", "length_class")
         .agg(F.min("from_bin").alias("from_bin"))
     )

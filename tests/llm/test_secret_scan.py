@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -70,3 +71,20 @@ def test_empty_table(spark, empty):
 def test_digest(docs):
     r = s.scan(docs).where("doc_id = 8").select(F.sha2(s._joined(F.col("base")), 256).alias("x")).first()
     assert r["x"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_small_strata_report_their_keys(spark):
+    """Uniform p are keys, in strata of 1, 10 and 100; of many words, in other strata, one in twelve passes the lowest bin."""
+    r = random.Random(6)
+    for size in (1, 10, 100):
+        rows = [("hex", k, r.random(), True) for k in range(25) for _ in range(size)]
+        rows += [("b64", k, r.random(), True) for k in range(1, 25, 2) for _ in range(size)]
+        rows += [("b64", k, r.random() ** 2 / 2 if r.random() < 0.1 else r.random() / 1000, False) for k in range(0, 25, 2) for _ in range(2000)]
+        limits = {
+            (x["encoding"], x["length_class"]): x["from_bin"] / s.BINS
+            for x in s.thresholds(spark.createDataFrame([x[:3] for x in rows], "encoding string, length_class int, p double")).collect()
+        }
+        said = [(key, p >= limits.get((e, k), 2)) for e, k, p, key in rows if p >= 1 / s.BINS]
+        keys = [x for key, x in said if key]
+        assert sum(keys) >= 0.95 * len(keys), (size, sum(keys), len(keys))
+        assert sum(x for key, x in said if not key) <= 0.05 * max(1, sum(x for _, x in said)), size
