@@ -14,12 +14,12 @@ import re
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lapsight.llm.staging import documents, map_rows
 
-#: Bounds of what is fitted: training documents per language (expected), characters of each, bytes of a dictionary.
+#: Bounds of what is fitted: different training texts per language, characters of each, bytes of a dictionary.
 SAMPLE_DOCS = 400
 SAMPLE_CHARS = 400
 DICTIONARY_BYTES = 48 * 1024
@@ -45,22 +45,27 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, tuple[bytes, int]]:
     """Per language, its dictionary and its count of training documents.
 
-    ``docs`` are training documents only. About SAMPLE_DOCS documents of a
-    language, chosen by hash, give SAMPLE_CHARS characters each from a place
+    ``docs`` are training documents only. The SAMPLE_DOCS different texts of a
+    language with the smallest hashes, or all where there are fewer, give SAMPLE_CHARS characters each from a place
     chosen by hash; counts cover all documents. What comes to the driver is
     bounded by these parameters and the number of languages.
     """
     labelled = docs.where(F.col(lang).isNotNull() & (F.length(text) > 0))
-    counts = {r[0]: r[1] for r in labelled.groupBy(lang).count().collect()}
+    drawn = F.xxhash64(F.lit(7), text)
+    texts = labelled.groupBy(F.col(lang).alias("lang"), drawn.alias("h")).count()
+    sums = {r[0]: (r[1], r[2]) for r in texts.groupBy("lang").agg(F.sum("count"), F.count(F.lit(1))).collect()}
+    counts = {k: n for k, (n, _) in sums.items()}
     if not counts:
         return {}
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, SAMPLE_DOCS / n))])
-    draw = (F.xxhash64(F.lit(7), text) / F.lit(2.0**64)) + 0.5
+    share = F.create_map(*[F.lit(x) for k, (_, n) in sums.items() for x in (k, min(1.0, 2 * SAMPLE_DOCS / n))])  # twice as many, so that none is short
+    draw = (drawn / F.lit(2.0**64)) + 0.5
     start = F.pmod(F.xxhash64(F.lit(8), text), F.greatest(F.length(text) - SAMPLE_CHARS, F.lit(1))) + 1
     sample = (
-        labelled.where(draw < F.element_at(share, F.col(lang)))
-        .select(F.col(lang).alias("lang"), F.xxhash64(F.lit(9), text).alias("h"), F.substring(F.col(text), start.cast("int"), F.lit(SAMPLE_CHARS)).alias("part"))
-        .distinct()
+        labelled.where(draw <= F.element_at(share, F.col(lang)))
+        .select(F.col(lang).alias("lang"), drawn.alias("drawn"), F.xxhash64(F.lit(9), text).alias("h"), F.substring(F.col(text), start.cast("int"), F.lit(SAMPLE_CHARS)).alias("part"))
+        .dropDuplicates(["lang", "drawn"])
+        .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("drawn")))
+        .where(F.col("rank") <= SAMPLE_DOCS)
         .orderBy("lang", "h", "part")
         .collect()
     )

@@ -33,3 +33,10 @@ def test_edges(spark, docs, rows, empty):
     assert {r["lang_pred"] for r in l.predict(docs, {}).collect()} == {"und"}
     none = spark.createDataFrame([(None, "abc")], "doc_id long, text string")
     assert none.select(l.held_out(none["doc_id"])).first()[0] is False
+
+
+def test_copies_of_few_texts_leave_a_dictionary(spark):
+    """Each language has two texts, of 4000 rows each; a draw by share of rows leaves most dictionaries empty."""
+    rows = [(f"l{k}", f"text{'abcdefghij'[k]} number{'xy'[j]} of this language") for k in range(10) for j in range(2) for _ in range(4000)]
+    model = l.fit(spark.createDataFrame(rows, "lang string, text string"))
+    assert all(len(model[f"l{k}"][0].split(b"\n")) == 2 and model[f"l{k}"][1] == 8000 for k in range(10))
