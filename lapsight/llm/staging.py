@@ -30,9 +30,15 @@ _SPARK = {
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder in ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary one, but only if driver and executors are
+    one process; on a cluster others could not see it, so that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="lapsight-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -71,7 +77,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     with shuffles_removed(spark):
         df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove tables of stage() whose last reader has written its rows."""
+    for table in tables:
+        _remove(table.sparkSession, table.staged_at)
 
 
 def group_key(column: Column) -> Column:

@@ -9,20 +9,26 @@ its GRAM-byte strings; equal windows have equal smallest hashes, so only pieces
 2. pieces are counted by hash, after equal pieces of a batch have become one;
    those that stand in one document only are done;
 3. a piece that stands whole in a smaller document is repeated throughout; the
-   first owners of different pieces with one hash are compared by text: their
-   suffixes are sorted in two stages and adjacent common prefixes of WIDTH
-   bytes give, for each window, the smallest document it starts in;
-4. the removed runs of each document are joined back to its text.
+   first owners of different pieces with one hash, and with equal bytes beside
+   it, are compared by text: their suffixes are sorted in two stages and
+   adjacent common prefixes of WIDTH bytes give, for each window, the smallest
+   document it starts in;
+4. where more than CROWD such pieces have one hash, they are cut into single
+   windows first, which are whole strings and compared as such, so no suffix
+   array grows with the frequency of a passage;
+5. the removed runs of each document are joined back to its text.
 
 Only hashes and places are shuffled for all documents, texts for those with
-repeats.
+repeats. Places are shuffled in ROUNDS parts of the hashes, one after the other,
+and each table between jobs is removed after its last reader, so the disk holds
+a part at a time.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
-import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lapsight.llm.staging import byte_slices, documents, stage
+from lapsight.llm.staging import byte_slices, documents, drop, stage
 
 WIDTH = 50
 GRAM = 16
@@ -39,6 +45,10 @@ SIDE = (WIDTH - GRAM) // 2
 #: Bytes whose windows are assigned at once, and of the texts that one suffix array holds.
 SLICE = 1 << 20
 ARRAY_BYTES = 1 << 20
+#: Pieces of one hash beyond which they are compared as single windows.
+CROWD = 4096
+#: Parts in which places are shuffled (a power of two).
+ROUNDS = 2
 _BASE = np.uint64(0xD1342543DE82EF95)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -60,13 +70,15 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def pieces_of(data: np.ndarray, ends: np.ndarray, width: int = WIDTH, gram: int = GRAM):
-    """Runs of windows of ``data`` with one assigned place: start, windows, hash of the place, hash of the run's bytes, offset of the place.
+    """Runs of windows of ``data`` with one assigned place: start, windows, hash of the place, hash of the run's bytes, offset of the place, sides.
 
     ``ends`` gives, for each byte, where its text ends; no window crosses it.
+    The sides are two 32-bit hashes in one number, of the place with the bytes
+    before it and of the place with those after it; 0 where the run has fewer.
     """
     n = len(data)
     if n < width:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),)
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64), np.zeros(0, np.uint64))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTERS[data] * _DOWN[:n], dtype=np.uint64)])
     h = _mixed((sums[gram:] - sums[:-gram]) * _UP[: n - gram + 1])
     span = width - gram + 1
@@ -91,7 +103,13 @@ def pieces_of(data: np.ndarray, ends: np.ndarray, width: int = WIDTH, gram: int
     bounds = np.cumsum(valid)
     count = np.diff(np.append(bounds[first] - 1, bounds[-1]))
     text = _mixed((sums[first + count + width - 1] - sums[first]) * _UP[first] + count.astype(np.uint64))
-    return first, count, h[place[first]], text, place[first] - first
+    at, side = place[first], (width - gram) // 2
+    sides = np.zeros(len(first), np.uint64)
+    for start, fits, shift in ((at - side, at - first >= side, 32), (at, at + gram + side <= first + count + width - 1, 0)):
+        start = start[fits]
+        hashed = _mixed((sums[start + gram + side] - sums[start]) * _UP[start]) >> np.uint64(32)
+        sides[fits] |= np.maximum(hashed, np.uint64(1)) << np.uint64(shift)
+    return first, count, h[at], text, at - first, sides
 
 
 def _slices(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -121,33 +139,43 @@ def _packed(held):
 
 
 def _all_pieces(batches: Iterator[pa.RecordBatch]):
-    """Of rows (doc, tag, text): near, piece, doc, tag, start, windows and offset of the place of each piece, a slice at a time."""
+    """Of rows (doc, tag, text): near, piece, doc, tag, place and sides of each piece, a slice at a time.
+
+    ``place`` is one number: where the piece starts, its windows and the offset of its hash's place.
+    """
     for batch in batches:
         for start, n in byte_slices(batch.column("text"), SLICE):
             part = batch.slice(start, n)
             texts = part.column("text").cast(pa.binary()).to_pylist()
             docs, tags = part.column("doc").to_numpy(), part.column("tag").to_numpy()
             for data, ends, number, offset in _slices(texts):
-                first, count, place_hash, text_hash, inside = pieces_of(data, ends)
+                first, count, place_hash, text_hash, inside, sides = pieces_of(data, ends)
                 of = number[first]
-                yield place_hash.view(np.int64), text_hash.view(np.int64), docs[of], tags[of], offset[first].astype(np.int32), count.astype(np.int16), inside.astype(np.int16)
+                place = (offset[first].astype(np.int64) << 16) | (count << 8) | inside
+                yield place_hash.view(np.int64), text_hash.view(np.int64), docs[of], tags[of], place, sides.view(np.int64)
 
 
 def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Equal pieces of a slice as one, with the smallest document and how far the largest is from it (mostly 0)."""
+    """Equal pieces of a slice as one, with the smallest and largest document."""
     for near, piece, doc, *_ in _all_pieces(batches):
-        order = np.lexsort((doc, piece))
+        order = np.lexsort((doc, piece, near))
         near, piece, doc = near[order], piece[order], doc[order]
         opens = np.ones(len(piece), bool)
-        opens[1:] = piece[1:] != piece[:-1]
+        opens[1:] = (piece[1:] != piece[:-1]) | (near[1:] != near[:-1])
         start = np.flatnonzero(opens)
         stop = np.append(start[1:], len(piece))[: len(start)] - 1
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (near[start], piece[start], doc[start], doc[stop] - doc[start])], names=["near", "piece", "first", "more"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (near[start], piece[start], doc[start], doc[stop])], names=["near", "piece", "first", "last"])
+
+
+def _places(part: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The pieces whose hash falls into one part of ROUNDS."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in _all_pieces(batches):
+            own = (columns[0] & (ROUNDS - 1)) == part
+            yield pa.RecordBatch.from_arrays([pa.array(x[own]) for x in columns], names=["near", "piece", "doc", "tag", "place", "sides"])
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, *columns in _all_pieces(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["piece", "doc", "tag", "at", "windows", "inside"])
+    return run
 
 
 def two_stage_sort(text: np.ndarray) -> np.ndarray:
@@ -248,38 +276,47 @@ def earlier_windows(pieces: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def _owned_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes of the pieces that may have to be compared by text, and checksums of what stands before and after their place.
-
-    A window is at most as long as GRAM and two SIDEs, so two pieces that share
-    one agree on a whole SIDE before or after. In Arrow throughout: hashes with
-    nulls among them stay integers.
-    """
-    schema = pa.schema(
-        [("near", pa.int64()), ("doc", pa.int64()), ("tag", pa.int32()), ("at", pa.int32()), ("bytes", pa.binary()), ("left", pa.int64()), ("right", pa.int64())]
-    )
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bytes of the pieces (places, nears, crowds) of each text; pieces of a crowd as single windows."""
+    names = ["near", "doc", "tag", "at", "crowd", "bytes"]
     for batch in batches:
         for start, n in byte_slices(batch.column("text"), SLICE):
-            rows = []
-            for r in batch.slice(start, n).to_pylist():
-                data = r["text"].encode()
-                for x in r["found"]:
-                    if x["near"] is not None:
-                        part, p = data[x["at"] : x["at"] + x["windows"] + WIDTH - 1], x["inside"]
-                        left = zlib.crc32(part[p - SIDE : p]) if p >= SIDE else None
-                        after = part[p + GRAM : p + GRAM + SIDE]
-                        rows.append((x["near"], r["doc"], r["tag"], x["at"], part, left, zlib.crc32(after) if len(after) == SIDE else None))
-            columns = zip(*rows, strict=True) if rows else [[]] * len(schema)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            part = batch.slice(start, n)
+            lists = [part.column(c) for c in ("places", "nears", "crowds")]
+            counts = np.diff(lists[0].offsets.to_numpy())
+            place, near, crowd = (x.flatten().to_numpy(zero_copy_only=False) for x in lists)
+            at, windows = place >> 16, (place >> 8) & 255
+            times = np.where(crowd, windows, 1)
+            which = np.repeat(np.arange(len(place)), times)
+            at = at[which] + (np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times))
+            stop = at + np.where(crowd, 1, windows)[which] + WIDTH - 1
+            text = np.repeat(np.arange(n), counts)[which]
+            texts = part.column("text").cast(pa.binary()).to_pylist()
+            cut = [texts[i][a:b] for i, a, b in zip(text.tolist(), at.tolist(), stop.tolist(), strict=True)]
+            doc, tag = (part.column(c).to_numpy()[text] for c in ("doc", "tag"))
+            columns = [pa.array(near[which]), pa.array(doc), pa.array(tag), pa.array(at.astype(np.int32)), pa.array(crowd[which]), pa.array(cut, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def _worth_comparing(owned: DataFrame) -> DataFrame:
-    """Pieces that agree with one of another document on the side before or after their place."""
+    """Pieces that agree with one of another document on the side before or after their place.
+
+    A window is at most as long as GRAM and two SIDEs, so two pieces that share
+    one agree on a whole SIDE before or after.
+    """
     out = owned
-    for side in ("left", "right"):
-        shared = owned.where(F.col(side).isNotNull()).groupBy("near", side).agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a != b")
-        out = out.join(shared.select("near", side, F.lit(True).alias(f"__{side}")), ["near", side], "left")
-    return out.where("__left or __right").select("near", "doc", "tag", "at", "bytes")
+    for side, of in (("before", F.expr("sides >>> 32")), ("after", F.expr("sides & 4294967295"))):
+        out = out.withColumn(side, of)
+        shared = owned.withColumn(side, of).where(F.col(side) != 0).groupBy("near", side).agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a != b")
+        out = out.join(shared.select("near", side, F.lit(True).alias(f"met_{side}")), ["near", side], "left")
+    return out.where("met_before or met_after").select("near", "doc", "tag", "place")
+
+
+def _repeated_in_crowds(windows: DataFrame) -> DataFrame:
+    """Of single windows (doc, tag, at, bytes): those that also start in a smaller document. Equal ones are counted before the shuffle."""
+    firsts = windows.groupBy("bytes").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first != last")
+    again = windows.join(firsts.select("bytes", "first"), "bytes").where("doc > first")
+    return again.select("doc", "tag", "at", F.lit(1).cast("short").alias("windows"))
 
 
 def _kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -311,64 +348,79 @@ def repeated_strings(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     )
     repeated = not known.groupBy("doc").count().where("count > 1").isEmpty()
     # rows of equal id are told apart by their texts; where there are none, the tag is 0 and costs nothing to shuffle
-    tag = lambda sha: F.conv(F.substring(sha, 1, 7), 16, 10).cast("int") if repeated else F.lit(0)
+    known_tag, text_tag = (F.xxhash64("sha"), F.xxhash64(F.sha2("text", 256))) if repeated else (F.lit(0).cast("long"),) * 2
     firsts = stage(known.groupBy("sha").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("copies")), "repeats-firsts")
-    copies = known.join(firsts.where("copies > 1"), "sha").where("doc > first").select("doc", tag("sha").alias("tag"))
-    long_enough = rows.where(F.octet_length("text") >= WIDTH).withColumn("tag", tag(F.sha2("text", 256)))
+    copies = known.join(firsts.where("copies > 1"), "sha").where("doc > first").select("doc", known_tag.alias("tag"))
+    long_enough = rows.where(F.octet_length("text") >= WIDTH).withColumn("tag", text_tag).select("doc", "tag", "text")
     total = known.agg(F.sum("n_bytes")).first()[0] or 0
     parts = max(8, int(total // (16 << 20)))
 
-    counted = long_enough.select("doc", "tag", "text").mapInArrow(_owners, "near long, piece long, first long, more long")
-    by_near, by_piece = Window.partitionBy("near"), ["near", "piece"]
+    counted = long_enough.mapInArrow(_owners, "near long, piece long, first long, last long")
+    by_near = Window.partitionBy("near")
     owners = (
         counted.repartition(parts, "near")
-        .groupBy(*by_piece)
-        .agg(F.min("first").alias("first"), F.max(F.col("first") + F.col("more")).alias("last"))
+        .groupBy("near", "piece")
+        .agg(F.min("first").alias("first"), F.max("last").alias("last"))
         .withColumn("variants", (F.min("piece").over(by_near) != F.max("piece").over(by_near)) & (F.min("first").over(by_near) != F.max("last").over(by_near)))
         .where("variants or first != last")
+        .drop("last")
     )
     owners = stage(owners, "repeats-owners")
 
-    places = long_enough.select("doc", "tag", "text").mapInArrow(_places, "piece long, doc long, tag int, at int, windows short, inside short")
-    found = (
-        places.join(owners, "piece")
-        .where("doc > first or variants")
-        .select("doc", "tag", F.struct("at", "windows", "inside", F.when((F.col("doc") == F.col("first")) & F.col("variants"), F.col("near")).alias("near")).alias("x"))
-        .groupBy("doc", "tag")
-        .agg(F.collect_list("x").alias("found"))
-        .join(copies, ["doc", "tag"], "left_anti")
-    )
-    found = stage(found, "repeats-found")
-
-    to_compare = found.where(F.exists("found", lambda x: x["near"].isNotNull()))
-    owned = long_enough.join(to_compare, ["doc", "tag"])
-    owned = stage(
-        owned.select("text", "doc", "tag", "found").mapInArrow(_owned_texts, "near long, doc long, tag int, at int, bytes binary, left long, right long"), "repeats-texts"
-    )
-    owned = stage(_worth_comparing(owned), "repeats-compared")
-    arrays = max(8, int((owned.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0) // ARRAY_BYTES))
-    windows = (
-        owned.withColumn("array", F.pmod("near", F.lit(arrays)))
+    mine = (F.col("doc") == F.col("first")) & F.col("variants")
+    found = [
+        stage(
+            long_enough.mapInArrow(_places(part), "near long, piece long, doc long, tag long, place long, sides long")
+            .join(owners, ["near", "piece"])
+            .where("doc > first or variants")
+            .select("doc", "tag", "place", F.when(mine, F.col("near")).alias("near"), F.when(mine, F.col("sides")).alias("sides")),
+            "repeats-found",
+        )
+        for part in range(ROUNDS)
+    ]
+    drop(owners)
+    every = functools.reduce(DataFrame.union, found)
+
+    close = stage(_worth_comparing(every.where("near is not null")), "repeats-close")
+    crowds = stage(close.groupBy("near").count().where(F.col("count") > CROWD).select("near", F.lit(True).alias("crowd")), "repeats-crowds")
+    # an owner's piece stands in one document, so copies of that document hold none
+    of_doc = close.join(crowds, "near", "left").groupBy("doc", "tag").agg(F.collect_list(F.struct("place", "near", F.coalesce("crowd", F.lit(False)).alias("crowd"))).alias("x"))
+    texts = long_enough.join(of_doc, ["doc", "tag"]).select("doc", "tag", "text", F.col("x.place").alias("places"), F.col("x.near").alias("nears"), F.col("x.crowd").alias("crowds"))
+    cut = stage(texts.mapInArrow(_cut, "near long, doc long, tag long, at int, crowd boolean, bytes binary"), "repeats-texts")
+    drop(close, crowds)
+    alone = cut.where(~F.col("crowd"))
+    arrays = max(8, int((alone.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0) // ARRAY_BYTES))
+    compared = (
+        alone.withColumn("array", F.pmod("near", F.lit(arrays)))
+        .repartition(max(8, arrays // 4), "array")
         .groupBy("array")
-        .applyInPandas(earlier_windows, "doc long, tag int, at int, windows short")
-        .groupBy("doc", "tag")
-        .agg(F.collect_list(F.struct("at", "windows")).alias("found"))
+        .applyInPandas(earlier_windows, "doc long, tag long, at int, windows short")
     )
+    windows = compared.union(_repeated_in_crowds(cut.where("crowd"))).groupBy("doc", "tag").agg(F.collect_list(F.struct("at", "windows")).alias("found"))
     windows = stage(windows, "repeats-windows")
-    sure = found.select("doc", "tag", F.transform(F.filter("found", lambda x: x["near"].isNull()), lambda x: F.struct(x["at"].alias("at"), x["windows"].alias("windows"))).alias("found")).where(F.size("found") > 0)
-    removed = sure.union(windows).groupBy("doc", "tag").agg(F.flatten(F.collect_list("found")).alias("found"))
+    drop(cut)
+    sure = (
+        every.where("near is null")
+        .select("doc", "tag", F.struct(F.expr("int(place >> 16)").alias("at"), F.expr("smallint((place >> 8) & 255)").alias("windows")).alias("x"))
+        .groupBy("doc", "tag")
+        .agg(F.collect_list("x").alias("found"))
+    )
+    removed = sure.union(windows).groupBy("doc", "tag").agg(F.flatten(F.collect_list("found")).alias("found")).join(copies, ["doc", "tag"], "left_anti")
+    removed = stage(removed, "repeats-removed")
+    drop(windows, *found)
     kept = (
         long_enough.join(removed, ["doc", "tag"])
         .select("text", "doc", "tag", F.col("found.at").alias("ats"), F.col("found.windows").alias("ns"))
-        .mapInPandas(_kept, "doc long, tag int, n_removed long, n_spans long, kept_sha256 string")
+        .mapInPandas(_kept, "doc long, tag long, n_removed long, n_spans long, kept_sha256 string")
     )
     kept = stage(kept.dropDuplicates(["doc", "tag"]), "repeats-kept")  # repeated rows
+    drop(removed)
 
     again = F.col("doc") > F.col("first")
     gone: Column = again & (F.col("n_bytes") >= WIDTH)
     return (
         known.join(firsts.select("sha", "first"), "sha")
-        .withColumn("tag", tag(F.col("sha")))
+        .withColumn("tag", known_tag)
         .join(kept, ["doc", "tag"], "left")
         .select(
             F.col("id").alias("doc_id"),

@@ -43,7 +43,7 @@ def test_pieces_cover_every_window_once():
     for alphabet in (1, 2, 30):
         data = rng.integers(0, alphabet, 3000).astype(np.uint8)
         ends = np.repeat([900, 930, 3000], [900, 30, 2070])
-        first, count, _, _, inside = s.pieces_of(data, ends)
+        first, count, _, _, inside, _ = s.pieces_of(data, ends)
         assert (inside >= count - 1).all() and (inside <= s.WIDTH - s.GRAM).all()
         covered = np.concatenate([np.arange(a, a + n) for a, n in zip(first, count, strict=True)])
         want = [i for i in range(2951) if i + 50 <= ends[i]]
@@ -63,10 +63,33 @@ def test_shared_and_nested_passages(spark):
     assert sorted(str(tuple(r)) for r in out) == brute(rows)
 
 
-def test_long_text_in_slices(spark, monkeypatch):
-    a, b = prose(1, 3000), prose(2, 3000)
-    got = s._slices([a.encode(), b"", b.encode()])
-    assert sum(len(s.pieces_of(d, e)[0]) > 0 for d, e, _, _ in got) >= 1
-    rows = [(1, a + b), (2, b + a)]
+def test_common_passage_in_many_contexts(spark, monkeypatch):
+    """A line shorter than a window, between others in every document: its pieces are a crowd, compared as single windows."""
+    line = "the same few words, forty bytes long ok"
+    ends = [prose(50 + i, 3) for i in range(4)]
+    rows = [(i, f"{prose(1000 + i, 20)} {ends[i % 4]} {line} {ends[i % 3]} {prose(2000 + i, 20)}") for i in range(120)]
+    want = brute(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(str(tuple(r)) for r in s.repeated_strings(frame).collect()) == want
+    monkeypatch.setattr(s, "CROWD", 10)
+    assert sorted(str(tuple(r)) for r in s.repeated_strings(frame).collect()) == want
+
+
+def test_negative_and_null_ids(spark):
+    p = prose(7, 40)
+    rows = [(-(1 << 63), p + prose(8, 20)), (None, p), (None, prose(9, 20) + p), ((1 << 63) - 2, p + "x")]
+    out = s.repeated_strings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(str(tuple(r)) for r in out) == brute(rows)
+
+
+def test_long_text_in_slices(spark):
+    """A text over SLICE, with a repeat across the place where it is cut."""
+    import random
+
+    big = "".join(random.Random(4).choices("abcdefghij ", k=s.SLICE + 200_000))
+    got = list(s._slices([big.encode(), b""]))
+    assert len(got) > 1
+    cut = s.SLICE // 2
+    rows = [(1, prose(3, 30) + big[cut - 400 : cut + 300]), (2, big), (3, big[cut - 60 : cut + 60])]
     out = s.repeated_strings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(str(tuple(r)) for r in out) == brute(rows)
