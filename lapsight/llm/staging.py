@@ -66,8 +66,8 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again.
+def stage(df: DataFrame, name: str, **options) -> DataFrame:
+    """Write ``df`` as a table in the shared folder, with the writer's ``options``, and read it again.
 
     This cuts the lineage: a lost executor costs only the tasks since the last
     table, and the written rows are never computed twice.
@@ -75,7 +75,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex[:12]}"
     with shuffles_removed(spark):
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
