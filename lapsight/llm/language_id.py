@@ -1,6 +1,6 @@
 """Language ID by compression with one raw-content dictionary per language.
 
-A language's dictionary is text of its training documents. Every text, lower-cased
+A language's dictionary is whole texts of its training documents. Every text, lower-cased
 and with one blank for each run of other characters than letters, is compressed
 with each dictionary, in blocks so that the dictionary and not the text's own
 past is what helps; the language of the smallest sum wins, and a narrow margin
@@ -19,10 +19,9 @@ from pyspark.sql import functions as F
 
 from lapsight.llm.staging import documents, map_rows
 
-#: Bounds of what is fitted: different training texts per language, characters of each, bytes of a dictionary.
-SAMPLE_DOCS = 400
-SAMPLE_CHARS = 400
-DICTIONARY_BYTES = 48 * 1024
+#: Bound of what is fitted: different training texts per language, whole; those of up to USUAL_CHARS characters go first.
+SAMPLE_DOCS = 100
+USUAL_CHARS = 20_000
 LEVEL = 6
 #: Bytes that are compressed at once; all blocks of a text count.
 BLOCK = 1000
@@ -45,34 +44,36 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, tuple[bytes, int]]:
     """Per language, its dictionary and its count of training documents.
 
-    ``docs`` are training documents only. The SAMPLE_DOCS different texts of a
-    language with the smallest hashes, or all where there are fewer, give SAMPLE_CHARS characters each from a place
-    chosen by hash; counts cover all documents. What comes to the driver is
-    bounded by these parameters and the number of languages.
+    ``docs`` are training documents only. The dictionary is the SAMPLE_DOCS
+    different texts of a language with the smallest hashes, whole, or all where
+    there are fewer; longer texts than USUAL_CHARS are drawn only where others
+    are too few. Counts cover all documents. A language whose texts have no
+    letters gets blanks; its name is never part of the dictionary.
     """
     labelled = docs.where(F.col(lang).isNotNull() & (F.length(text) > 0))
     drawn = F.xxhash64(F.lit(7), text)
-    texts = labelled.groupBy(F.col(lang).alias("lang"), drawn.alias("h")).count()
-    sums = {r[0]: (r[1], r[2]) for r in texts.groupBy("lang").agg(F.sum("count"), F.count(F.lit(1))).collect()}
+    texts = labelled.groupBy(F.col(lang).alias("lang"), drawn.alias("h")).agg(F.count(F.lit(1)).alias("n"), F.min(F.length(text)).alias("chars"))
+    few = F.count_if(F.col("chars") <= USUAL_CHARS)
+    sums = {r[0]: (r[1], r[2] if r[2] > 2 * SAMPLE_DOCS else r[3]) for r in texts.groupBy("lang").agg(F.sum("n"), few, F.count(F.lit(1))).collect()}
     counts = {k: n for k, (n, _) in sums.items()}
     if not counts:
         return {}
     share = F.create_map(*[F.lit(x) for k, (_, n) in sums.items() for x in (k, min(1.0, 2 * SAMPLE_DOCS / n))])  # twice as many, so that none is short
     draw = (drawn / F.lit(2.0**64)) + 0.5
-    start = F.pmod(F.xxhash64(F.lit(8), text), F.greatest(F.length(text) - SAMPLE_CHARS, F.lit(1))) + 1
+    usual = F.length(text) <= USUAL_CHARS
     sample = (
         labelled.where(draw <= F.element_at(share, F.col(lang)))
-        .select(F.col(lang).alias("lang"), drawn.alias("drawn"), F.xxhash64(F.lit(9), text).alias("h"), F.substring(F.col(text), start.cast("int"), F.lit(SAMPLE_CHARS)).alias("part"))
+        .select(F.col(lang).alias("lang"), drawn.alias("drawn"), usual.alias("usual"), F.col(text).alias("part"))
         .dropDuplicates(["lang", "drawn"])
-        .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("drawn")))
+        .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("usual"), "drawn")))
         .where(F.col("rank") <= SAMPLE_DOCS)
-        .orderBy("lang", "h", "part")
+        .orderBy("lang", "rank")
         .collect()
     )
     parts: dict[str, list[bytes]] = {k: [] for k in counts}
     for row in sample:
         parts[row["lang"]].append(plain(row["part"]))
-    return {k: (b"\n".join(parts[k])[:DICTIONARY_BYTES] or k.encode(), counts[k]) for k in sorted(counts)}
+    return {k: (b"\n".join(parts[k]).strip() or b" " * 8, counts[k]) for k in sorted(counts)}
 
 
 def predict(docs: DataFrame, model: dict[str, tuple[bytes, int]], text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

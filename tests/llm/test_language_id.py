@@ -15,7 +15,7 @@ def corpus():
 def test_held_out_accuracy(spark):
     docs = spark.createDataFrame(list(corpus()), "doc_id long, text string, lang string")
     model = l.fit(docs.where(~l.held_out(docs["doc_id"])))
-    assert sorted(model) == ["xx", "yy", "zz"] and all(len(d) <= l.DICTIONARY_BYTES for d, _ in model.values())
+    assert sorted(model) == ["xx", "yy", "zz"]
     out = l.predict(docs, model, keep=("doc_id", "lang")).collect()
     held = [r for r in out if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
     assert len(held) > 50 and sum(r["lang"] == r["lang_pred"] for r in held) / len(held) > 0.97
@@ -40,3 +40,31 @@ def test_copies_of_few_texts_leave_a_dictionary(spark):
     rows = [(f"l{k}", f"text{'abcdefghij'[k]} number{'xy'[j]} of this language") for k in range(10) for j in range(2) for _ in range(4000)]
     model = l.fit(spark.createDataFrame(rows, "lang string, text string"))
     assert all(len(model[f"l{k}"][0].split(b"\n")) == 2 and model[f"l{k}"][1] == 8000 for k in range(10))
+
+
+def test_whole_texts_and_no_names(spark):
+    """Long texts are not cut, and a language of texts without letters gets neither its name nor wins a text."""
+    long = "wort " * 30_000 + "ende"
+    rows = [("de", long), ("es", "123 456"), ("fr", "mot " * 10)]
+    model = l.fit(spark.createDataFrame(rows, "lang string, text string"))
+    assert model["de"][0] == long.encode() and model["es"][0].strip() == b"" and model["fr"][0] == ("mot " * 10).strip().encode()
+    out = l.predict(spark.createDataFrame([(1, "wort wort ende"), (2, "mot mot mot"), (3, "es es")], "doc_id long, text string"), model).collect()
+    assert [r["lang_pred"] for r in sorted(out)][:2] == ["de", "fr"]
+
+
+def test_prediction_equals_plain_compression(spark, docs, rows):
+    import zstandard
+
+    model = l.fit(docs)
+    order = sorted(model, key=lambda k: (-model[k][1], k))
+    for r in l.predict(docs, model, keep=("doc_id", "text")).collect():
+        if r["lang_pred"] == "und":
+            continue
+        data = l.plain(r["text"])
+        sizes = {}
+        for k in order:
+            d = zstandard.ZstdCompressionDict(model[k][0], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=l.LEVEL)
+            z = zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes[k] = sum(len(z.compress(data[i : i + l.BLOCK])) for i in range(0, len(data), l.BLOCK))
+        assert r["lang_pred"] == min(order, key=lambda k: sizes[k])
