@@ -94,9 +94,9 @@ def fingerprint(samples: bytes) -> tuple[np.ndarray, np.ndarray, int]:
     frame, bin_, n_frames = spectral_peaks(samples)
     frames, codes = [], []
     for step in range(1, FAN_OUT + 1):
-        gap = np.minimum(frame[step:] - frame[:-step], (1 << 15) - 1)
+        gap = frame[step:] - frame[:-step]
         frames.append(frame[:-step])
-        codes.append((bin_[:-step].astype(np.int64) << 23) | (bin_[step:].astype(np.int64) << 15) | gap)
+        codes.append((bin_[:-step].astype(np.int64) << 40) | (bin_[step:].astype(np.int64) << 32) | gap)
     t, c = np.concatenate(frames), np.concatenate(codes)
     order = np.lexsort((c, t))
     return t[order].astype(np.int32), c[order], n_frames

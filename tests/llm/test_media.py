@@ -35,3 +35,25 @@ def test_chunks_do_not_matter(monkeypatch):
     monkeypatch.setattr(m, "CHUNK", 17)
     parts = m.fingerprint(data)
     assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
+
+
+def test_far_pairs_keep_their_distance():
+    """Two tones with more than 32767 silent frames between them."""
+    t = np.arange(m.FRAME * 8)
+    tone = (128 + 100 * np.sin(2 * np.pi * 20 * t / m.FRAME) * np.hanning(len(t))).astype(np.uint8).tobytes()
+    still = lambda n: bytes([128]) * n
+    gaps = []
+    for n in (40_000, 50_000):
+        frame, code, _ = m.fingerprint(tone + still(m.HOP * n) + tone)
+        gaps.append(int((code & 0xFFFFFFFF).max()))
+        assert ((code >> 40) < 256).all()
+    assert gaps[1] - gaps[0] > 9_000 and gaps[0] > 39_000
+
+
+def test_feature_equals_brute_force():
+    """Every pair of a peak with its next three, one by one."""
+    data = np.random.default_rng(2).integers(0, 256, 30_000, dtype=np.uint8).tobytes()
+    frame, bin_, n = m.spectral_peaks(data)
+    want = sorted((int(frame[i]), (int(bin_[i]) << 40) | (int(bin_[j]) << 32) | int(frame[j] - frame[i])) for i in range(len(frame)) for j in range(i + 1, min(i + 4, len(frame))))
+    t, c, k = m.fingerprint(data)
+    assert k == n and list(zip(t.tolist(), c.tolist(), strict=True)) == want
