@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapsight.llm.staging import documents, group_key, stage
+from lapsight.llm.staging import documents, fresh, group_key, spread_join, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -125,7 +125,8 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", keep: tuple
 
     A null host is a host of its own. A document is kept if neither a rule nor
     its host rejects it. Only the measures are written and shuffled, never
-    texts; a host with a third of all documents is counted before the shuffle.
+    texts; a host with a third of all documents is counted before the shuffle
+    and its verdict is joined to parts of its documents.
     """
     rows = docs.select(
         *[F.col(c).alias(f"__keep_{i}") for i, c in enumerate(keep)], group_key(F.col(host)).alias("host"), F.col(text).alias("__text")
@@ -138,7 +139,7 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", keep: tuple
         "quality",
     )
     verdicts = host_verdicts(measured).select("host", "host_rejected")
-    return measured.join(verdicts, "host").select(
+    return spread_join(measured, verdicts, "host", F.col("__keep_0")).select(
         *[F.col(f"__keep_{i}").alias(c) for i, c in enumerate(keep)],
         "n_words",
         "word_chars",
@@ -156,9 +157,15 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that the rules keep."""
-    kept = judge(docs).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
+    """Pipeline stage: the documents that the rules keep.
+
+    Rows of equal id are judged by their own text; where two of them have the
+    same text and different sources, both stay if one does.
+    """
+    of = fresh("of", docs)
+    hashed = docs.withColumn(of, F.xxhash64("text"))
+    kept = judge(hashed, keep=("doc_id", of)).where("kept").select(F.col("doc_id").alias("id"), F.col(of).alias("hash")).distinct()
+    return hashed.join(kept, hashed["doc_id"].eqNullSafe(kept["id"]) & (hashed[of] == kept["hash"]), "left_semi").drop(of)
 
 
 OP8_SQL = r"""

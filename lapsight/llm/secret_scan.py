@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapsight.llm.staging import documents, stage
+from lapsight.llm.staging import documents, fresh, stage
 
 ASSIGN = (
     r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]"
@@ -291,31 +291,34 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document stays; each secret in its text is replaced by its kind.
 
-    Overlapping spans are one. ``n_chars`` follows the new text.
+    Overlapping spans are one. ``n_chars`` follows the new text. Rows of equal
+    id keep the spans of their own text.
     """
-    hashed = docs.withColumn("__hash", F.xxhash64("text"))
-    found = scan(hashed, keep=("doc_id", "__hash")).where(F.size("found") > 0)
-    one = found.groupBy(F.col("doc_id").alias("__id"), F.col("__hash").alias("__of")).agg(F.first("found").alias("__found"))
-    same = hashed["doc_id"].eqNullSafe(one["__id"]) & (hashed["__hash"] == one["__of"])
+    of = fresh("of", docs)
+    hashed = docs.withColumn(of, F.xxhash64("text"))
+    spans_, new = fresh("spans", hashed), fresh("new", hashed)
+    found = scan(hashed, keep=("doc_id", of)).where(F.size("found") > 0)
+    one = found.groupBy(F.col("doc_id").alias("id"), F.col(of).alias("hash")).agg(F.first("found").alias(spans_))
+    same = hashed["doc_id"].eqNullSafe(one["id"]) & (hashed[of] == one["hash"])
     joined = hashed.join(one, same, "left")
     cut = F.aggregate(
-        "__found",
+        spans_,
         F.struct(F.lit(0).alias("p"), F.lit("").alias("out")),
         lambda a, x: F.struct(
             F.greatest(a["p"], x["e"]).alias("p"),
             F.when(x["s"] < a["p"], a["out"])
-            .otherwise(F.concat(a["out"], F.substring(F.col("text"), a["p"] + 1, x["s"] - a["p"]), F.lit("["), x["kind"], F.lit("]")))
+            .otherwise(F.concat(a["out"], F.substring(hashed["text"], a["p"] + 1, x["s"] - a["p"]), F.lit("["), x["kind"], F.lit("]")))
             .alias("out"),
         ),
         lambda a: F.concat(a["out"], F.substring(F.col("text"), a["p"] + 1, F.length(F.col("text")))),
     )
-    changed = F.when(F.col("__found").isNotNull(), cut).otherwise(F.col("text"))
-    out = joined.withColumn("__new", changed)
+    changed = F.when(F.col(spans_).isNotNull(), cut).otherwise(F.col("text"))
+    out = joined.withColumn(new, changed)
     return out.select(
         *[
-            F.col("__new").alias("text")
+            F.col(new).alias("text")
             if c == "text"
-            else F.when(F.col("__found").isNotNull(), F.length("__new").cast(t)).otherwise(F.col("n_chars")).alias("n_chars")
+            else F.when(F.col(spans_).isNotNull(), F.length(new).cast(t)).otherwise(F.col("n_chars")).alias("n_chars")
             if c == "n_chars"
             else hashed[c]
             for c, t in docs.dtypes

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lapsight.llm.staging import documents, group_key, stage
+from lapsight.llm.staging import documents, fresh, group_key, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -73,7 +73,7 @@ def plan_blocks(sources: DataFrame) -> DataFrame:
         .withColumn("blocks", F.ceil(size / F.col("block_words")))
         .withColumn("wanted", F.when(size > 0, F.col("target") * F.col("blocks") / size).otherwise(0.0))
         .withColumn("slots", F.ceil(F.sum("wanted").over(everything)))
-        .withColumn("upto", F.sum("wanted").over(upto) / F.sum("wanted").over(everything))
+        .withColumn("upto", F.coalesce(F.try_divide(F.sum("wanted").over(upto), F.sum("wanted").over(everything)), F.lit(0.0)))
         .withColumn("since", F.lag("upto", 1, 0.0).over(by_name))
         .withColumn("upto", F.when(F.lead("since").over(by_name).isNull(), 1.0).otherwise(F.col("upto")))
     )
@@ -187,14 +187,20 @@ def take(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document of which the mix takes x words per word of its own is written
     floor(x) times, and once more with probability x - floor(x), decided by the
-    hash of its id; so the written words of a source come near its target.
+    hash of its id; so the written words of a source come near its target. Rows
+    of equal id are told apart by their texts; rows of equal id and text are
+    written equally often, as the most taken of them. A table without words
+    gives no rows.
     """
-    took = mix(docs).select(F.col("doc_id").alias("__id"), (F.col("taken") / F.greatest("size", F.lit(1))).alias("__x"))
-    took = took.groupBy("__id").agg(F.max("__x").alias("__x"))
-    u = F.pmod(F.xxhash64(F.lit(SEED + 1), "__id"), F.lit(1 << 20)) / float(1 << 20)
-    times = took.withColumn("__times", F.floor(F.col("__x") + u).cast("int")).where("__times > 0")
-    joined = docs.join(times, docs["doc_id"].eqNullSafe(times["__id"]))
-    return joined.withColumn("__again", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[docs[c] for c in docs.columns])
+    of = fresh("of", docs)
+    hashed = docs.withColumn(of, F.xxhash64("text"))
+    took = mix(hashed, keep=("doc_id", of)).select(F.col("doc_id").alias("id"), F.col(of).alias("hash"), (F.col("taken") / F.greatest("size", F.lit(1))).alias("x"))
+    took = took.groupBy("id", "hash").agg(F.max("x").alias("x"))
+    u = F.pmod(F.xxhash64(F.lit(SEED + 1), "id"), F.lit(1 << 20)) / float(1 << 20)
+    times = took.withColumn("times", F.floor(F.col("x") + u).cast("int")).where("times > 0")
+    joined = hashed.join(times, hashed["doc_id"].eqNullSafe(times["id"]) & (hashed[of] == times["hash"]))
+    again = F.explode(F.sequence(F.lit(1), times["times"]))
+    return joined.select(*[hashed[c] for c in docs.columns], again.alias(of)).drop(of)
 
 
 OP2_SQL = r"""

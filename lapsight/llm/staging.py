@@ -93,6 +93,26 @@ def group_key(column: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), column.cast("string")), F.lit("~"))
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """``name``, with underscores before it until no frame has such a column."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def spread_join(rows: DataFrame, found: DataFrame, key: str, by: Column, how: str = "inner", salts: int = 64) -> DataFrame:
+    """``rows`` joined to ``found`` (one row per ``key``) where a key may hold a third of the rows.
+
+    Rows are dealt by key and salt, from the hash of ``by``; ``found`` is first
+    joined to the distinct pairs of key and salt, at most ``salts`` of a key.
+    """
+    salt = fresh("salt", rows, found)
+    salted = rows.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    spread = salted.select(key, salt).distinct().join(found, key)
+    return salted.join(spread, [key, salt], how).drop(salt)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -44,3 +44,13 @@ def test_stage_and_empty(spark, docs, empty):
     assert kept.dtypes == docs.dtypes
     assert {1, 2, 3, 4, 5, 6, 7, 13} <= {r["doc_id"] for r in kept.collect()}
     assert q.judge(empty).count() == 0 and q.keep_good(spark, empty, "").count() == 0
+
+
+def test_rows_of_one_id_and_helper_names(spark):
+    from tests.llm.conftest import prose
+
+    schema = "doc_id long, text string, source string, of int, id int, hash int, host int"
+    rows = spark.createDataFrame([(1, prose(1, 90), "s", 1, 2, 3, 4), (1, "bad", "s", 1, 2, 3, 4), (None, prose(2, 90), None, 1, 2, 3, 4)], schema)
+    out = q.keep_good(spark, rows, "")
+    assert out.dtypes == rows.dtypes
+    assert sorted(len(r["text"]) > 10 for r in out.collect()) == [True, True]

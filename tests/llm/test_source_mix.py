@@ -60,3 +60,18 @@ def test_edges(spark, docs, empty, rows):
     assert taken.dtypes == docs.dtypes
     assert taken.groupBy("doc_id").count().where(F.col("doc_id").isNotNull() & (F.col("doc_id") != 4)).agg(F.max("count")).first()[0] <= 3
     assert m.take(spark, empty, "").count() == 0
+
+
+def test_tables_without_words(spark):
+    rows = spark.createDataFrame([(1, None, "a"), (2, " ", "b"), (3, "", None)], "doc_id long, text string, source string")
+    out = m.mix(rows).collect()
+    assert [(r["size"], r["source_size"], r["target"], r["taken"]) for r in out] == [(0, 0, 0.0, 0)] * 3
+    assert m.take(spark, rows, "").count() == 0
+
+
+def test_rows_of_one_id_and_helper_names(spark):
+    schema = "doc_id long, text string, source string, of int, id int, hash int, times int, x int"
+    rows = spark.createDataFrame([(1, "a b c", "s", 1, 2, 3, 4, 5), (1, None, "s", 1, 2, 3, 4, 5), (2, "d e", "t", 1, 2, 3, 4, 5)], schema)
+    out = m.take(spark, rows, "")
+    assert out.dtypes == rows.dtypes
+    assert {r["text"] for r in out.collect()} <= {"a b c", "d e"}
