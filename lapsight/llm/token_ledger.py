@@ -17,7 +17,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapsight.llm.staging import documents, map_rows, shared_dir, shuffles_removed, stage
+from lapsight.llm.staging import documents, map_rows, shared_dir, shuffles_removed, spread_join, stage
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -30,13 +30,17 @@ def signed(changes: DataFrame) -> DataFrame:
     """Changes (op, source, lang, tokenizer, tokens, old_tokens) as signed counts.
 
     op is insert, delete or revise; a revision moves the count from old_tokens
-    to tokens. Null counts are 0, null keys are keys of their own.
+    to tokens, under the same keys (a document that moves to another source is a
+    deletion and an insertion). Any other op, or none, is an error of the whole
+    batch, which is then not committed. Null counts are 0, null keys are keys
+    of their own.
     """
-    op, n = F.col("op"), F.coalesce("tokens", F.lit(0))
-    return changes.select(
+    known = F.coalesce(F.col("op").isin("insert", "delete", "revise"), F.lit(False))
+    op, n = F.when(known, F.col("op")).otherwise(F.raise_error(F.concat(F.lit("unknown op: "), F.coalesce(F.col("op"), F.lit("null"))))), F.coalesce("tokens", F.lit(0))
+    return changes.withColumn("op", op).select(
         *KEYS,
-        F.when(op == "insert", 1).when(op == "delete", -1).otherwise(0).cast("long").alias("docs"),
-        F.when(op == "insert", n).when(op == "delete", -n).otherwise(n - F.coalesce("old_tokens", F.lit(0))).cast("long").alias("tokens"),
+        F.when(F.col("op") == "insert", 1).when(F.col("op") == "delete", -1).otherwise(0).cast("long").alias("docs"),
+        F.when(F.col("op") == "insert", n).when(F.col("op") == "delete", -n).otherwise(n - F.coalesce("old_tokens", F.lit(0))).cast("long").alias("tokens"),
     )
 
 
@@ -105,7 +109,7 @@ def op4_token_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     counted = stage(bpe_tokens(docs), "ledger-counts")
     first = counted.groupBy("copy").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    marked = counted.join(first, "copy", "left").withColumn("gone", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)))
+    marked = spread_join(counted.withColumn("copy", F.coalesce("copy", F.lit(""))), first, "copy", F.col("doc_id"), "left").withColumn("gone", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)))
 
     def versions(rows: DataFrame, op: str) -> DataFrame:
         both = F.array(

@@ -55,3 +55,35 @@ def test_query_equals_brute_force(spark):
             n, k = want.get((d["source"], d["lang"]), (0, 0))
             want[d["source"], d["lang"]] = (n + 1, k + len((d["text"] or "").encode().split()))
     assert {(r["source"], r["lang"]): (r["docs"], r["tokens"]) for r in out} == want
+
+
+def test_unknown_op_is_an_error(spark, tmp_path):
+    import pytest
+
+    ledger = t.Ledger(spark, str(tmp_path / "ledger"))
+    for op in ("upsert", None):
+        with pytest.raises(Exception, match="unknown op"):
+            ledger.commit("1", spark.createDataFrame([(op, "a", "en", "v1", 10, 0)], CHANGE))
+    assert totals(ledger) == {}
+
+
+def test_bpe_totals_equal_brute_force(spark):
+    """The query's bpe-50k totals, with an end token for every document that the deletions left."""
+    import base64
+
+    import tiktoken
+
+    with open(t.RANKS, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    plain = tiktoken.Encoding("plain", pat_str=t.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    first = {}
+    for d in docs:
+        first[d["text"]] = min(d["doc_id"], first.get(d["text"], d["doc_id"]))
+    want = {}
+    for d in docs:
+        if d["text"] is None or d["doc_id"] == first[d["text"]]:
+            n, k = want.get((d["source"], d["lang"]), (0, 0))
+            want[d["source"], d["lang"]] = (n + 1, k + 1 + len(plain.encode_ordinary(d["text"] or "")))
+    out = t.op4_token_ledger(spark, "/root/testdata/sf0.001").where("tokenizer = 'bpe-50k'").collect()
+    assert {(r["source"], r["lang"]): (r["docs"], r["tokens"]) for r in out} == want
