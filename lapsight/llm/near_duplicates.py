@@ -1,15 +1,18 @@
 """N-gram Jaccard join by a MinHash forest, with exact verification.
 
 A text's set is the hashes of its runs of five words. Texts of equal sets are
-one class from the start. Each tree sorts the classes by its part of their
-signatures; classes that share a prefix meet there. The prefix has one fixed
-length, the longest at which the target recall is reached at the threshold;
-nothing is shortened class by class. Within a prefix every class is compared
-with its leader first. Where that leaves more than one component, all classes
-outside the leader's are compared with all others of the prefix, in blocks of
-bounded size, of which only the links that join components leave a task. So
-each two classes that meet are compared or already connected. Links are
-verified on the whole sets, and connected classes are one group.
+one class from the start. Each tree is a trie of its part of the signatures;
+classes that share a prefix meet at a node. The walk starts at the full depth
+and goes up to shorter prefixes until a pair at the threshold meets in some tree
+with the target recall. At each depth the classes of a node that are not yet
+connected to its leader are compared with it; a node whose classes are all
+connected is closed and costs nothing further up, so only the prefixes of
+classes that still lack a link are shortened. At the last depth, where a node
+still has more than one component, all classes outside the leader's are
+compared with all others of the node, in blocks of bounded size, of which only
+the links that join components leave a task. So each two classes that meet are
+compared or already connected. Links are verified on the whole sets, and
+connected classes are one group.
 
 Then the links of each class are counted: the sets of a group are dealt to
 blocks of bounded size, and a task takes two blocks and counts, for each set,
@@ -28,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapsight.llm.staging import documents, map_rows, stage
+from lapsight.llm.staging import documents, drop, map_rows, spread_join, stage
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -52,6 +55,12 @@ def shortest_prefix(threshold: float = THRESHOLD, recall: float = TARGET_RECALL,
     return 1
 
 
+def depths(threshold: float = THRESHOLD) -> list[int]:
+    """Prefix lengths from the full depth up to the shortest that the target recall needs."""
+    least = shortest_prefix(threshold)
+    return [*range(DEPTH, least, -2), least]
+
+
 def word_set(text: str, words: int = WORDS, cache: dict[bytes, int] | None = None) -> np.ndarray:
     """Sorted hashes of the runs of ``words`` words; fewer words are one run, none an empty set."""
     cache = {} if cache is None else cache
@@ -110,10 +119,15 @@ def meetings(classes: DataFrame, prefix: int) -> DataFrame:
     return rows.join(shared.select("tree", "prefix", "leader"), ["tree", "prefix"])
 
 
-def pairs(left: str, right: str, rows: DataFrame) -> DataFrame:
-    """Distinct unordered pairs (a, b) of two columns."""
-    differ = rows.where(F.col(left) != F.col(right))
-    return differ.select(F.least(left, right).alias("a"), F.greatest(left, right).alias("b"))
+def with_labels(met: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``met`` without the leaders' own rows, with ``apart``: whether a class is in another component than its leader."""
+    members = met.drop("label").where(F.col("key") != F.col("leader"))
+    if labels is None:
+        return members.withColumn("label", F.col("key")).withColumn("apart", F.lit(True))
+    named = members.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    heads = labels.select(F.col("key").alias("leader"), F.col("label").alias("head"))
+    named = spread_join(named, heads, "leader", F.col("key"), "left")
+    return named.withColumn("apart", F.col("label") != F.coalesce("head", "leader")).drop("head")
 
 
 def verify(candidates: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -132,7 +146,7 @@ def verify(candidates: DataFrame, sets: DataFrame, threshold: float) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
     with_b = candidates.join(sets.select(F.col("key").alias("b"), F.col("members").alias("__b")), "b")
-    both = with_b.join(sets.select(F.col("key").alias("a"), F.col("members").alias("__a")), "a")
+    both = spread_join(with_b, sets.select(F.col("key").alias("a"), F.col("members").alias("__a")), "a", F.col("b"))
     return both.select("a", "b", "__a", "__b").mapInArrow(compare, "a binary, b binary, linked boolean")
 
 
@@ -238,10 +252,7 @@ def rest_of_buckets(met: DataFrame, labels: DataFrame, sets: DataFrame, threshol
     compared with all classes of the bucket, block by block; buckets of the
     same classes are one. The leader itself has been compared with all.
     """
-    named = met.drop("label").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    heads = labels.select(F.col("key").alias("leader"), F.col("label").alias("head"))
-    named = named.join(heads, "leader", "left").withColumn("head", F.coalesce("head", "leader")).where(F.col("key") != F.col("leader"))
-    named = stage(named.select("tree", "prefix", "key", "label", (F.col("label") != F.col("head")).alias("apart")), "near-named")
+    named = stage(with_labels(met, labels).select("tree", "prefix", "key", "label", "apart"), "near-named")
     of_bucket = (
         named.groupBy("tree", "prefix")
         .agg(
@@ -324,13 +335,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     to that class. Null and wordless texts are a class of their own, without
     links; a null id is never a class id unless all ids of the group are null.
     """
-    prefix = shortest_prefix(threshold)
-    ids = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    signed = stage(signatures(ids, keep=("id",)), "near-signatures")
-    classes = stage(signed.groupBy("key").agg(F.min("id").alias("first"), F.first("signature").alias("signature")), "near-classes")
-    met = stage(meetings(classes, prefix), "near-meetings")
+    lengths = depths(threshold)
+    ids = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).withColumn("of", F.xxhash64("text"))
+    signed = stage(signatures(ids, keep=("id", "of")), "near-signatures")
+    one = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "of")).alias("one")
+    classes = signed.groupBy("key").agg(one, F.first("signature").alias("signature"))
+    classes = stage(classes.select("key", F.col("one.id").alias("first"), F.col("one.of").alias("of"), "signature"), "near-classes")
+    met = stage(meetings(classes, lengths[-1]), "near-meetings")
 
-    nodes = met.select("key").distinct().join(classes.select("key", "first"), "key").withColumnRenamed("key", "expected")
+    nodes = met.select("key").distinct().join(classes.select("key", "first", F.col("of").alias("expected_of")), "key").withColumnRenamed("key", "expected")
 
     def members_of():
         def compute(texts, keys):
@@ -339,23 +352,29 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
         return compute
 
-    wanted = ids.join(nodes, ids["id"].eqNullSafe(nodes["first"])).select(F.col("expected").alias("key"), "text")
+    # by id and text, so that rows without an id meet only their own class
+    wanted = ids.join(nodes, ids["id"].eqNullSafe(nodes["first"]) & (ids["of"] == nodes["expected_of"])).select(F.col("expected").alias("key"), "text")
     sets = map_rows(wanted, ["key"], [F.col("text"), F.col("key")], {"members": pa.binary()}, members_of)
     sets = stage(sets.where(F.col("members").isNotNull()).dropDuplicates(["key"]), "near-sets")
 
-    first = stage(verify(pairs("leader", "key", met).distinct(), sets, threshold), "near-first")
-    found = first.where("linked").select("a", "b")
-    labels = components(found)
-    rest = stage(rest_of_buckets(met, labels, sets, threshold), "near-second")
+    found, labels = None, None
+    for length in lengths:
+        at = met if length == lengths[-1] else meetings(classes, length)
+        open_ = with_labels(at, labels).where("apart").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
+        links_ = stage(verify(open_, sets, threshold).where("linked").select("a", "b"), "near-links")
+        found = links_ if found is None else found.union(links_)
+        labels = components(found)
+    rest = stage(rest_of_buckets(met, labels, sets, threshold), "near-rest-links")
     if not rest.isEmpty():
         labels = components(found.union(rest))
+    drop(met)
     groups = labels.join(classes.select("key", "first"), "key")
     least = groups.groupBy("label").agg(F.min("first").alias("class_id"))
     groups = groups.join(least, "label").select("key", "class_id")
     if links:
         groups = groups.join(count_links(labels, sets, threshold), "key")
     member = classes.select("key", "first").join(groups, "key", "left")
-    return signed.select("id", "key").join(member, "key").select(
+    return spread_join(signed.select("id", "key"), member, "key", F.col("id")).select(
         F.col("id").alias("doc_id"),
         F.coalesce("class_id", "first").alias("class_id"),
         *[F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] * links,
@@ -374,6 +393,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     found = near_duplicates(docs, links=False)
     gone = found.where(F.col("class_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("class_id")))
-    kept = found.join(gone.select("doc_id").distinct().withColumnRenamed("doc_id", "__gone"), F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
-    ids = kept.select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__id"]), "left_semi")
+    gone = gone.select(F.col("doc_id").alias("gone")).distinct()
+    kept = found.join(gone, found["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
+    ids = kept.select(F.col("doc_id").alias("id")).distinct()
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["id"]), "left_semi")

@@ -89,3 +89,19 @@ def test_edges(spark, docs, rows, empty):
     assert kept.dtypes == docs.dtypes
     assert {r["doc_id"] for r in kept.collect()} >= {1, 4, 5, 6, 7, 8, 11, 13} and not kept.where("doc_id in (2, 3, 9, 10, 12)").count()
     assert n.near_duplicates(empty).count() == 0 and n.one_of_each(spark, empty, "").count() == 0
+
+
+def test_null_ids_meet_their_own_class(spark):
+    from tests.llm.conftest import prose
+
+    base = prose(5, 200).split()
+    other = [*base[:199], "end"]
+    rows = [(None, " ".join(base)), (None, " ".join(other)), (None, prose(6, 100)), (None, prose(7, 100)), (3, prose(6, 100))]
+    out = n.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), str(r["class_id"]), r["n_links"]) for r in out) == [("3", "3", 0), ("None", "3", 0), ("None", "None", 0), ("None", "None", 1), ("None", "None", 1)]
+
+
+def test_depths_end_at_the_target_recall():
+    found = n.depths()
+    assert found[0] == n.DEPTH and found == sorted(found, reverse=True)
+    assert 1 - (1 - n.THRESHOLD ** found[-1]) ** n.TREES >= n.TARGET_RECALL
