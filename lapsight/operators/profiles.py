@@ -44,7 +44,7 @@ def prefix_quantiles(rows: DataFrame, order: str, value: str, quantiles: Sequenc
     """
     counts = rows.groupBy(order, value).agg(F.count(F.lit(1)).alias("__n"))
     steps = rows.select(F.col(order).alias("__upto")).distinct()
-    upto = counts.join(F.broadcast(steps), F.col(order) <= F.col("__upto"))  # a list of checkpoints
+    upto = counts.join(steps, F.col(order) <= F.col("__upto"))  # a list of checkpoints
     out = upto.groupBy(F.col("__upto").alias(order)).agg(
         F.sum("__n").alias("n"), F.percentile(value, F.array(*[F.lit(q) for q in quantiles]), F.col("__n")).alias("q")
     )

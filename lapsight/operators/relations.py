@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Centres that one row holds.
+CENTRES_AT_ONCE = 4096
+
+
 def has_all(rows: DataFrame, key: str, member: str) -> DataFrame:
     """Keys with a row for every distinct member (relational division)."""
     every = F.broadcast(rows.agg(F.count_distinct(member).alias("__all")))  # one row
@@ -55,13 +59,23 @@ def outer_with_missing(left: DataFrame, right: DataFrame, key: str, columns: Map
 def nearest_centre(vectors: DataFrame, key: str, vector: str, centres: DataFrame, centre_id: str, centre: str) -> DataFrame:
     """Per vector, the nearest centre by squared distance, the smaller id on ties.
 
-    The centres come from a grouping by label and are few; without that the
-    join falls back to whatever Spark plans.
+    Up to CENTRES_AT_ONCE centres are one broadcast row, and each vector finds
+    its nearest without a shuffle. More are dealt to blocks of that size; a
+    vector then meets each block as one row, and the best of them are compared.
     """
-    both = vectors.select(key, F.col(vector).alias("__v")).join(centres.select(F.col(centre_id).alias("__id"), F.col(centre).alias("__c")))
-    d = F.aggregate(F.zip_with("__v", "__c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    best = both.groupBy(key).agg(F.min(F.struct(d.alias("d"), F.col("__id").alias("id"))).alias("b"))
-    return best.select(key, F.col("b.id").alias("nearest"), F.col("b.d").alias("distance"))
+    n = centres.count()
+    blocks = max(1, -(-n // CENTRES_AT_ONCE))
+    dealt = centres.select(F.struct(F.col(centre_id).alias("id"), F.col(centre).alias("c")).alias("x"), F.pmod(F.xxhash64(centre_id), F.lit(blocks)).alias("block"))
+    lists = dealt.groupBy("block").agg(F.collect_list("x").alias("centres"))
+    square = lambda v, c: F.aggregate(F.zip_with(v, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    best = F.array_min(F.transform("centres", lambda x: F.struct(square(F.col("v"), x["c"]).alias("d"), x["id"].alias("id"))))
+    rows = vectors.select(F.col(key).alias("k"), F.col(vector).alias("v"))
+    if blocks == 1:
+        found = rows.join(F.broadcast(lists.drop("block"))).select(F.col("k").alias(key), best.alias("b"))  # one row of bounded size
+    else:
+        every = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(lists, "block")
+        found = every.select(F.col("k").alias(key), best.alias("b")).groupBy(key).agg(F.min("b").alias("b"))
+    return found.select(key, F.col("b.id").alias("nearest"), F.col("b.d").alias("distance"))
 
 
 def mean_vectors(vectors: DataFrame, label: str, vector: str) -> DataFrame:

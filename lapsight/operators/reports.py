@@ -83,7 +83,7 @@ def decision(ranked: DataFrame, intervals: DataFrame, design: str, median: str,
         F.count(F.lit(1)).alias("designs"),
     )
     sure = intervals.select(F.col(design).alias("design"), F.col(low).alias("win_low"))
-    out = best.join(F.broadcast(sure), "design", "left")
+    out = best.join(sure, "design", "left")
     clear = F.coalesce(F.col("win_low") > 0.5, F.lit(False))
     edge = (F.col("designs") > 1) & ((F.col("value") == F.col("__a")) | (F.col("value") == F.col("__b")))
     status = F.when(~clear, "no_clear_winner").when(edge, "winner_at_boundary").otherwise("clear_winner")

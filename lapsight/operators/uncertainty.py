@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Track variants of a crossed layout.
+MOST_VARIANTS = 10_000
+
 
 def uniforms(spark: SparkSession, seed: int, replicates: int, paths: Sequence[str], groups: Mapping[str, tuple[Sequence[str], Sequence[Sequence[float]]]] | None = None) -> DataFrame:
     """(replicate, seed, path, u): independent uniforms per path, correlated ones within groups.
@@ -99,8 +102,15 @@ def paired_bootstrap(rows: DataFrame, study: Sequence[str], scenario: str, desig
 
 
 def crossed(draws: DataFrame, variants: DataFrame) -> DataFrame:
-    """Every draw with every track variant; the variants are a short list."""
-    return draws.join(F.broadcast(variants))
+    """Every draw with every track variant: the variants as one array, in each row of the draws.
+
+    The result has a row for each pair by definition; more than MOST_VARIANTS
+    variants are an error.
+    """
+    packed = F.struct(*variants.columns)
+    one = variants.agg(F.count(F.lit(1)).alias("n"), F.collect_list(packed).alias("v"))
+    few = one.select(F.when(F.col("n") <= MOST_VARIANTS, F.col("v")).otherwise(F.raise_error(F.lit("too many variants"))).alias("__v"))
+    return draws.join(F.broadcast(few)).select(*draws.columns, F.inline("__v"))  # one row of bounded size
 
 
 def round_robin(draws: DataFrame, variants: DataFrame, order: str) -> DataFrame:

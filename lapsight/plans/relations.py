@@ -74,14 +74,12 @@ def pick_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "adjacent_audit",
     """
-WITH p AS (SELECT p_brand, p_partkey, p_size FROM part WHERE p_type = 'ECONOMY')
-SELECT p_brand, p_partkey, p_size::BIGINT AS p_size, coalesce(lead(p_partkey) OVER w, first_value(p_partkey) OVER w) AS next_item,
+SELECT p_brand, p_type, p_partkey, p_size::BIGINT AS p_size, coalesce(lead(p_partkey) OVER w, first_value(p_partkey) OVER w) AS next_item,
        (coalesce(lead(p_size) OVER w, first_value(p_size) OVER w + 60) - p_size)::BIGINT AS gap
-FROM p WINDOW w AS (PARTITION BY p_brand ORDER BY p_size, p_partkey)""",
+FROM part WINDOW w AS (PARTITION BY p_brand, p_type ORDER BY p_size, p_partkey)""",
 )
 def adjacent_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "part").where("p_type = 'ECONOMY'")
-    return rounded(relations.neighbours_around(parts, ["p_brand"], "p_size", "p_partkey", 60))
+    return rounded(relations.neighbours_around(table(spark, sf_dir, "part"), ["p_brand", "p_type"], "p_size", "p_partkey", 60))
 
 
 @query(

@@ -73,18 +73,21 @@ def decision_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(reports.decision(ranked, intervals, "design", "median", "low", "value"))
 
 
+#: All brands of the tables; a pivot has a column for each.
+BRANDS = [f"Brand#{i}" for i in range(1, 26)]
+
+
 @query(
     "importance_matrix",
-    """
-WITH s AS (SELECT p_type AS p, p_brand AS m, stddev_samp(p_retailprice) AS s FROM part WHERE p_brand IN ('Brand#1', 'Brand#2') GROUP BY ALL),
+    f"""
+WITH s AS (SELECT p_type AS p, p_brand AS m, stddev_samp(p_retailprice) AS s FROM part GROUP BY ALL),
 t AS (SELECT p FROM s GROUP BY p ORDER BY max(s) DESC, p LIMIT 3)
-SELECT p AS p_type, round(coalesce(max(s) FILTER (m = 'Brand#1'), 0), 4) + 0.0 AS "Brand#1", round(coalesce(max(s) FILTER (m = 'Brand#2'), 0), 4) + 0.0 AS "Brand#2"
+SELECT p AS p_type, {", ".join(f"round(coalesce(max(s) FILTER (m = '{b}'), 0), 4) + 0.0 AS \"{b}\"" for b in BRANDS)}
 FROM s WHERE p IN (SELECT p FROM t) GROUP BY p""",
 )
 def importance_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    brands = ["Brand#1", "Brand#2"]
-    scores = table(spark, sf_dir, "part").where(F.col("p_brand").isin(brands)).groupBy("p_type", "p_brand").agg(F.stddev_samp("p_retailprice").alias("s"))
-    return rounded(reports.importance_matrix(scores, "p_type", "p_brand", "s", brands, 3), 4)
+    scores = table(spark, sf_dir, "part").groupBy("p_type", "p_brand").agg(F.stddev_samp("p_retailprice").alias("s"))
+    return rounded(reports.importance_matrix(scores, "p_type", "p_brand", "s", BRANDS, 3), 4)
 
 
 @query(
@@ -107,11 +110,11 @@ def ordered_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "stability_corridor",
     """
-WITH o AS (SELECT l_quantity AS n, l_extendedprice - 30000 AS x, l_returnflag <> 'R' AS s FROM lineitem WHERE l_linenumber = 1)
+WITH o AS (SELECT l_quantity AS n, l_extendedprice - 30000 AS x, l_returnflag <> 'R' AS s FROM lineitem)
 SELECT n AS l_quantity, round(coalesce(quantile_cont(x, 0.1) FILTER (s), quantile_cont(x, 0.1)), 4) + 0.0 AS low,
        round(coalesce(quantile_cont(x, 0.9) FILTER (s), quantile_cont(x, 0.9)), 4) + 0.0 AS high,
        round(quantile_cont(x, 0.1), 4) + 0.0 AS all_low, round(quantile_cont(x, 0.9), 4) + 0.0 AS all_high FROM o GROUP BY n""",
 )
 def stability_corridor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").withColumns({"x": F.col("l_extendedprice") - 30000, "ok": F.col("l_returnflag") != "R"})
+    rows = table(spark, sf_dir, "lineitem").withColumns({"x": F.col("l_extendedprice") - 30000, "ok": F.col("l_returnflag") != "R"})
     return rounded(reports.stability_corridor(rows, "l_quantity", "x", "ok"), 4)

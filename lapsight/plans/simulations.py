@@ -29,6 +29,6 @@ def scenario_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranges = table(spark, sf_dir, "part").groupBy("p_type").agg(F.min("p_size").alias("a"), F.avg("p_size").alias("m"), F.max("p_size").alias("b"))
     paths = sorted(r[0] for r in ranges.select("p_type").collect())
     draws = uncertainty.uniforms(spark, 5, 200, paths[2:], {"pair": (paths[:2], [[1.0, 0.6], [0.6, 1.0]])})
-    joined = draws.join(F.broadcast(ranges), draws["path"] == ranges["p_type"])
+    joined = draws.join(ranges, draws["path"] == ranges["p_type"])
     value = distributions.triangular_ppf(F.col("u"), F.col("a").cast("double"), F.col("m"), F.col("b").cast("double"))
     return joined.select("replicate", "path", "u", value.alias("value"))
