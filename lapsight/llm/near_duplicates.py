@@ -276,7 +276,7 @@ def rest_of_buckets(met: DataFrame, labels: DataFrame, sets: DataFrame, threshol
     sums = sums.select("bucket", "m", "bytes", blocks("q", "q_bytes").alias("seekers"), blocks("m", "bytes").alias("sought"))
     total = sums.agg(F.sum("bytes"), F.sum("m")).first()
     parts = max(8, (total[0] or 0) // BLOCK_BYTES, (total[1] or 0) // BLOCK_SETS)
-    rows = held.join(sums.select("bucket", "seekers", "sought"), "bucket")
+    rows = spread_join(held, sums.select("bucket", "seekers", "sought"), "bucket", F.col("key"))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     hashed = F.xxhash64("key")
     columns = ["key", "bucket", "label", "members", "seekers", "sought"]
@@ -304,7 +304,7 @@ def count_links(groups: DataFrame, sets: DataFrame, threshold: float) -> DataFra
     of_group = of_group.where("m > 2").withColumn("blocks", blocks)
     total = of_group.agg(F.sum("bytes")).first()[0] or 0
     parts = max(8, int(total // BLOCK_BYTES))
-    rows = held.join(of_group.select("label", "blocks"), "label")
+    rows = spread_join(held, of_group.select("label", "blocks"), "label", F.col("key"))
     block = F.pmod(F.xxhash64("key"), F.col("blocks"))
     dealt = rows.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     alone = F.col("blocks") == 1
@@ -370,7 +370,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     drop(met)
     groups = labels.join(classes.select("key", "first"), "key")
     least = groups.groupBy("label").agg(F.min("first").alias("class_id"))
-    groups = groups.join(least, "label").select("key", "class_id")
+    groups = spread_join(groups, least, "label", F.col("key")).select("key", "class_id")
     if links:
         groups = groups.join(count_links(labels, sets, threshold), "key")
     member = classes.select("key", "first").join(groups, "key", "left")
