@@ -24,9 +24,9 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapsight.llm.staging import documents, drop, stage
@@ -37,7 +37,8 @@ LEAST_CLASSES = 8
 ROUNDS = 6
 ADD = 0.1
 BATCH_BYTES = 4 << 20
-BUCKET_BYTES = 16 << 20
+#: Bytes of numbers, four to a word of the corpus, for each bucket.
+BUCKET_BYTES = 4 << 20
 #: Contexts seen up to so many times have their gains in a table.
 TABLED = 8
 WORDS_AT_ONCE = 2000
@@ -59,6 +60,14 @@ def tokens(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
+def _pack(x: np.ndarray) -> bytes:
+    return zstandard.compress(x.tobytes(), 1)
+
+
+def _unpack(packed: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(packed), kind)
+
+
 def sizes(words: int) -> tuple[int, int]:
     """Number of classes and of core words for a vocabulary of ``words``; the driver holds the square of the core."""
     classes = max(LEAST_CLASSES, round(words ** (1 / 3) / 2))
@@ -105,7 +114,7 @@ def _numbered(batch: int, rows: list[tuple[str | None, bool, str]]) -> pa.Record
             one([len(x) for x in texts], pa.list_(pa.int32())),
             one(list(number), pa.list_(pa.binary())),
             one(n.astype(np.int32), pa.list_(pa.int32())),
-            one(np.concatenate(texts).tobytes(), pa.binary()),
+            one(_pack(np.concatenate(texts)), pa.binary()),
         ],
         names=["batch", "id", "held", "length", "words", "n", "codes"],
     )
@@ -113,7 +122,7 @@ def _numbered(batch: int, rows: list[tuple[str | None, bool, str]]) -> pa.Record
 
 def _training_codes(row: dict) -> np.ndarray:
     """The numbers of all training texts of a batch one after the other, an end before the first."""
-    codes = np.frombuffer(row["codes"], np.int32)
+    codes = _unpack(row["codes"], np.int32)
     own = np.repeat(~np.array(row["held"], bool), row["length"])
     return np.concatenate([np.zeros(1, np.int32), codes[own]])
 
@@ -253,7 +262,7 @@ def parcels(batches: DataFrame, core: Core, buckets: int) -> DataFrame:
                 i = order[cuts[b] : cuts[b + 1]]
                 span = slice(upto[cuts[b]], upto[cuts[b + 1]])
                 blobs = (n[i], entries[i].astype(np.int32), context[span], seen[span])
-                rows.append((int(b), row["batch"], i.astype(np.int32).tobytes(), [words[j] for j in i], *(x.tobytes() for x in blobs)))
+                rows.append((int(b), row["batch"], _pack(i.astype(np.int32)), [words[j] for j in i], *map(_pack, blobs)))
             kinds = [pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.binary()), *[pa.binary()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "batch", "number", "words", "n", "entries", "context", "seen"])
 
@@ -297,7 +306,7 @@ def _assigner(core_of: Callable[[], Core]) -> Callable[[pa.Table], pa.Table]:
         classes, k = core.classes, core.classes + 2
         index: defaultdict[bytes, int] = defaultdict(count().__next__)
         of = [np.fromiter(map(index.__getitem__, words.as_py()), np.int64) for words in table.column("words")]
-        blobs = {c: [np.frombuffer(x.as_py(), t) for x in table.column(c)] for c, t in (("number", np.int32), ("n", np.int64), ("entries", np.int32), ("context", np.int32), ("seen", np.int32))}
+        blobs = {c: [_unpack(x.as_py(), t) for x in table.column(c)] for c, t in (("number", np.int32), ("n", np.int64), ("entries", np.int32), ("context", np.int32), ("seen", np.int32))}
         words = len(index)
         c = np.zeros(words, np.int64)
         np.add.at(c, np.concatenate(of), np.concatenate(blobs["n"]))
@@ -313,7 +322,7 @@ def _assigner(core_of: Callable[[], Core]) -> Callable[[pa.Table], pa.Table]:
                 label[i] = core.label[word]
         label[c == 0] = -1
         sums = [np.bincount(label[keep], weights=x[keep], minlength=classes + 1) for x, keep in ((c, c > 0), (np.ones(words), c > 0), (np.ones(words), c == 1))]
-        answers = [table.column("batch").to_pylist(), [x.tobytes() for x in blobs["number"]], [label[x].astype(np.int32).tobytes() for x in of], [c[x].tobytes() for x in of]]
+        answers = [table.column("batch").to_pylist(), [_pack(x) for x in blobs["number"]], [_pack(label[x].astype(np.int32)) for x in of], [_pack(c[x]) for x in of]]
         columns = [[*x, end] for x, end in zip(answers, (-1, None, None, None), strict=True)]
         kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
         lists = [*[None] * len(of), np.concatenate(sums).astype(np.int64).tolist()]
@@ -371,13 +380,13 @@ def walk(batches: DataFrame, answers: DataFrame, model: Model) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for row in _each(parts):
-            number = np.concatenate([np.frombuffer(x["number"], np.int32) for x in row["found"]])
+            number = np.concatenate([_unpack(x["number"], np.int32) for x in row["found"]])
             label, c = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
-            label[number] = np.concatenate([np.frombuffer(x["label"], np.int32) for x in row["found"]])
-            c[number] = np.concatenate([np.frombuffer(x["c"], np.int64) for x in row["found"]])
+            label[number] = np.concatenate([_unpack(x["label"], np.int32) for x in row["found"]])
+            c[number] = np.concatenate([_unpack(x["c"], np.int64) for x in row["found"]])
             label[label < 0] = m.unknown
             label[0] = k - 1  # the end, though training may have no text
-            codes, length = np.frombuffer(row["codes"], np.int32), np.array(row["length"])
+            codes, length = _unpack(row["codes"], np.int32), np.array(row["length"])
             starts = np.cumsum(length) - length
             path = label[codes]
             of_text = lambda x: np.add.reduceat(x, starts)  # noqa: B023, E731
@@ -437,8 +446,8 @@ def score_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     vocabulary = stage(said.groupBy("word").agg(F.sum("n").alias("c")), "lm-vocabulary")
     core = fit_core(batches, vocabulary)
     drop(vocabulary)
-    size = batches.agg(F.sum(F.octet_length("codes").cast("long"))).first()[0] or 0
-    buckets = max(8, int(size // BUCKET_BYTES))
+    tokens_ = batches.agg(F.sum(F.expr("aggregate(length, 0L, (a, x) -> a + x)"))).first()[0] or 0
+    buckets = max(8, int(4 * tokens_ // BUCKET_BYTES))
     shared = docs.sparkSession.sparkContext.broadcast(core)
     assign = _assigner(lambda: shared.value)
     answers = stage(parcels(batches, core, buckets).groupBy("bucket").applyInArrow(assign, ANSWERS), "lm-answers", **{"parquet.block.size": 4 * BATCH_BYTES})

@@ -97,7 +97,7 @@ def test_score_equals_brute_force_over_all_words(spark, docs, rows):
     of = {}
     names = {r["batch"]: r["words"] for r in batches.collect()}
     for r in answers.where("batch >= 0").collect():
-        for i, k, n in zip(np.frombuffer(r["number"], np.int32), np.frombuffer(r["label"], np.int32), np.frombuffer(r["c"], np.int64), strict=True):
+        for i, k, n in zip(c._unpack(r["number"], np.int32), c._unpack(r["label"], np.int32), c._unpack(r["c"], np.int64), strict=True):
             assert of.setdefault(bytes(names[r["batch"]][i]), (int(k), int(n))) == (k, n)
     counts = Counter(w.encode() for i, t in rows if not held(i) for w in words(t))
     assert {w: n for w, (k, n) in of.items() if n} == dict(counts)
