@@ -43,7 +43,7 @@ GRAM = 16
 #: Of WIDTH - GRAM bytes around a place, at least so many stand on one side of it.
 SIDE = (WIDTH - GRAM) // 2
 #: Bytes whose windows are assigned at once, and of the texts that one suffix array holds.
-SLICE = 1 << 20
+SLICE = 1 << 17
 ARRAY_BYTES = 1 << 20
 #: Pieces of one hash beyond which they are compared as single windows.
 CROWD = 4096
@@ -82,19 +82,20 @@ def pieces_of(data: np.ndarray, ends: np.ndarray, width: int = WIDTH, gram: int
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTERS[data] * _DOWN[:n], dtype=np.uint64)])
     h = _mixed((sums[gram:] - sums[:-gram]) * _UP[: n - gram + 1])
     span = width - gram + 1
-    low, size = h, 1
+    order = (h >> np.uint64(32)).astype(np.uint32)  # ties go to the last of a window, as those of equal strings do
+    low, size = order, 1
     while size * 2 <= span:
         low, size = np.minimum(low[:-size], low[size:]), size * 2
     low = np.minimum(low[: len(low) - (span - size)], low[span - size :]) if size < span else low
     starts = np.arange(n - width + 1)
     valid = starts + width <= ends[: len(starts)]
-    newest = h[span - 1 :] == low
+    newest = order[span - 1 :] == low
     fresh = np.ones(len(starts), bool)
     fresh[1:] = (low[1:] != low[:-1]) | ~valid[:-1] | (ends[1 : len(starts)] != ends[: len(starts) - 1])
     place = np.zeros(len(starts), np.int64)
     place[newest] = starts[newest] + span - 1
     for part in np.array_split(np.flatnonzero(fresh & ~newest), 1 + len(starts) // 200_000):
-        around = h[part[:, None] + np.arange(span - 1, -1, -1)]
+        around = order[part[:, None] + np.arange(span - 1, -1, -1)]
         place[part] = part + span - 1 - around.argmin(axis=1)
     place = place[np.maximum.accumulate(np.where(newest | fresh, starts, 0))]
     opens = valid.copy()
@@ -199,8 +200,20 @@ def two_stage_sort(text: np.ndarray) -> np.ndarray:
     word = np.zeros(n + WIDTH + 2, np.uint64)
     for k in range(6):
         word |= padded[k : k + len(word)] << np.uint64(10 * (5 - k))
-    columns = [word[direct + 6 * k] for k in range(-(-WIDTH // 6))]
-    direct = direct[np.lexsort(columns[::-1])]
+    direct = direct[np.argsort(word[direct], kind="stable")]
+    tied = word[direct][1:] == word[direct][:-1]
+    group = np.concatenate([[0], np.cumsum(~tied)])
+    for k in range(6, WIDTH, 6):  # only suffixes that are still equal to a neighbour are sorted further
+        open_ = np.flatnonzero(np.concatenate([tied, [False]]) | np.concatenate([[False], tied]))
+        if not len(open_):
+            break
+        more = word[direct[open_] + k]
+        by = np.lexsort((more, group[open_]))
+        direct[open_], more = direct[open_[by]], more[by]
+        same = (more[1:] == more[:-1]) & (group[open_][1:] == group[open_][:-1])
+        tied[:] = False
+        tied[open_[1:][same] - 1] = True
+        group[open_] = np.concatenate([[0], np.cumsum(~same)]) + group[open_[0]]
 
     top = int(t.max()) + 1
     head = np.searchsorted(t[direct], np.arange(top + 1))
