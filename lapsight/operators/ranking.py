@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lapsight.operators import ordered
+
 TIE = 1e-12
 WIN = 1e-9
 
@@ -41,28 +43,33 @@ def with_regret(rows: DataFrame, scenario: Sequence[str], metric: str, completed
 
 def design_ranking(rows: DataFrame, scenario: str, design: str, metric: str, completed: Column | None = None) -> DataFrame:
     """One row per design: scenarios, completed share, wins, regret and quantiles of the metric."""
-    q = lambda x, p: F.percentile(x, p)
     done = F.lit(True) if completed is None else completed
-    return with_regret(rows, [scenario], metric, completed).groupBy(design).agg(
+    judged = with_regret(rows, [scenario], metric, completed)
+    means = judged.groupBy(design).agg(
         F.count_distinct(scenario).alias("scenario_count"),
         F.avg(done.cast("double")).alias("completion_fraction"),
         F.avg("shared_win").alias("paired_win_fraction"),
         F.avg("win").alias("full_win_fraction"),
         F.avg("regret").alias("mean_regret"),
-        q("regret", 0.5).alias("regret_median"),
-        q("regret", 0.9).alias("regret_p90"),
-        q(metric, 0.1).alias("metric_p10"),
-        q(metric, 0.5).alias("metric_median"),
-        q(metric, 0.9).alias("metric_p90"),
     )
+    points = {"regret_median": ("regret", 0.5), "regret_p90": ("regret", 0.9)}
+    points |= {f"metric_{n}": ("metric", p) for n, p in (("p10", 0.1), ("median", 0.5), ("p90", 0.9))}
+    spread = ordered.quantiles(judged, [design], {"regret": F.col("regret"), "metric": F.col(metric)}, points)
+    return _joined(means, spread, [design])
+
+
+def _joined(means: DataFrame, spread: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Two tables of the same groups side by side, null keys included."""
+    a, b = (t.select(F.struct(*keys).alias("__k"), *[c for c in t.columns if c not in keys]) for t in (means, spread))
+    return a.join(b, "__k", "left").select("__k.*", *[c for c in (*means.columns, *spread.columns) if c not in keys])
 
 
 def case_effects(rows: DataFrame, draw: str, case: str, nominal: str, metric: str) -> DataFrame:
     """Per case, quantiles of the difference to the nominal case of the same draw."""
     base = rows.where(F.col(case) == nominal).select(draw, F.col(metric).alias("__base"))
     delta = rows.where(F.col(case) != nominal).join(base, draw).withColumn("__d", F.col(metric) - F.col("__base"))
-    out = delta.groupBy(case).agg(F.count("__d").alias("n"), F.percentile("__d", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("q"))
-    return out.select(case, "n", *[F.col("q")[i].alias(f"delta_{n}") for i, n in enumerate(("p10", "median", "p90"))])
+    points = {f"delta_{n}": ("d", p) for n, p in (("p10", 0.1), ("median", 0.5), ("p90", 0.9))}
+    return _joined(delta.groupBy(case).agg(F.count("__d").alias("n")), ordered.quantiles(delta, [case], {"d": F.col("__d")}, points), [case])
 
 
 def threshold_counts(rows: DataFrame, metric: str, limits: Sequence[float]) -> DataFrame:
@@ -75,9 +82,7 @@ def threshold_counts(rows: DataFrame, metric: str, limits: Sequence[float]) -> D
 def loss_shares(rows: DataFrame, parts: Mapping[str, Column]) -> DataFrame:
     """Per part, quantiles over rows and its median's share of all parts' medians."""
     long = rows.select(F.inline(F.array(*[F.struct(F.lit(n).alias("part"), c.alias("v")) for n, c in parts.items()])))
-    q = F.percentile("v", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    out = long.groupBy("part").agg(q.alias("q"))
-    named = out.select("part", *[F.col("q")[i].alias(n) for i, n in enumerate(("p10", "median", "p90"))])
+    named = ordered.quantiles(long, ["part"], {"v": F.col("v")}, {"p10": ("v", 0.1), "median": ("v", 0.5), "p90": ("v", 0.9)})
     return named.withColumn("share", F.try_divide(F.col("median"), F.sum("median").over(Window.partitionBy(F.lit(1)))))  # few parts
 
 
@@ -103,16 +108,27 @@ def structural_ranges(levels: DataFrame, parameter: str, level: str, value: str)
 
 
 def prediction_errors(rows: DataFrame, metric: str, group: str, predicted: str, observed: str) -> DataFrame:
-    """Bias, absolute and squared errors of predictions, for all rows of a metric and for each of its groups."""
-    error = F.col(predicted) - F.col(observed)
-    both = rows.withColumn("__e", error).withColumn(
-        "__g", F.explode(F.array(F.lit("ALL"), F.col(group).cast("string")))
-    )
-    return both.groupBy(F.col(metric).alias("metric"), F.col("__g").alias("group")).agg(
-        F.count("__e").alias("n"),
-        F.avg("__e").alias("bias"),
-        F.avg(F.abs("__e")).alias("mae"),
-        F.sqrt(F.avg(F.col("__e") * F.col("__e"))).alias("rmse"),
-        F.median(F.abs("__e")).alias("median_ae"),
-        F.try_divide(F.avg(F.abs("__e")), F.percentile(observed, 0.75) - F.percentile(observed, 0.25)).alias("mae_over_iqr"),
+    """Bias, absolute and squared errors of predictions, for all rows of a metric and for each of its groups.
+
+    Sums are taken by group first and then added for all groups together.
+    """
+    e = F.col(predicted) - F.col(observed)
+    both = F.explode(F.array(F.lit("ALL"), F.col("__own"))).alias("group")
+    named = rows.select(F.col(metric).alias("metric"), F.col(group).cast("string").alias("__own"), e.alias("__e"), F.col(observed).cast("double").alias("__o"))
+    sums = named.groupBy("metric", "__own").agg(
+        F.count("__e").alias("n"), F.sum("__e").alias("s"), F.sum(F.abs("__e")).alias("a"), F.sum(F.col("__e") * F.col("__e")).alias("q")
+    )
+    whole = sums.select("metric", both, "n", "s", "a", "q").groupBy("metric", "group").agg(*[F.sum(c).alias(c) for c in ("n", "s", "a", "q")])
+    points = {"median_ae": ("error", 0.5), "__low": ("observed", 0.25), "__high": ("observed", 0.75)}
+    spread = ordered.quantiles(named.select("metric", both, "__e", "__o"), ["metric", "group"], {"error": F.abs("__e"), "observed": F.col("__o")}, points)
+    mean = F.try_divide("a", "n")
+    return _joined(whole, spread, ["metric", "group"]).select(
+        "metric",
+        "group",
+        "n",
+        F.try_divide("s", "n").alias("bias"),
+        mean.alias("mae"),
+        F.sqrt(F.try_divide("q", "n")).alias("rmse"),
+        "median_ae",
+        F.try_divide(mean, F.col("__high") - F.col("__low")).alias("mae_over_iqr"),
     )

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lapsight.operators import ordered
+
 
 def split_half(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
     """Medians of the first and second half against the scale of the whole; adequate from 20 rows and within 5 %."""
@@ -50,8 +52,7 @@ def association(rows: DataFrame, keys: Sequence[str], x: str, y: str, least: int
     Groups of fewer than ``least`` complete rows, or with one value only in x
     or y, have no row.
     """
-    complete = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = complete.withColumn("__rx", average_rank(keys, x)).withColumn("__ry", average_rank(keys, y))
+    ranked = ordered.with_average_ranks(rows.select(*keys, x, y), keys, {x: "__rx", y: "__ry"})
     sums = ranked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.covar_pop(x, y).alias("__cov"),
@@ -85,9 +86,11 @@ def category_effect(rows: DataFrame, category: str, value: str) -> DataFrame:
 
 def upper_threshold(rows: DataFrame, value: str, floor: float, k: float) -> DataFrame:
     """One row: the larger of ``floor`` and median + k * 1.4826 * median absolute deviation."""
-    middle = rows.agg(F.median(value).alias("median"))
-    away = rows.join(F.broadcast(middle)).withColumn("__d", F.abs(F.col(value) - F.col("median")))  # one row
-    out = away.agg(F.max("median").alias("median"), F.median("__d").alias("mad"))
+    one = rows.select(F.lit(0).alias("__all"), F.col(value).cast("double").alias("__v"))
+    middle = ordered.quantiles(one, ["__all"], {"v": F.col("__v")}, {"median": ("v", 0.5)})  # one row
+    away = one.join(middle, "__all").withColumn("__d", F.abs(F.col("__v") - F.col("median")))
+    mad = ordered.quantiles(away, ["__all"], {"d": F.col("__d")}, {"mad": ("d", 0.5)})
+    out = middle.join(mad, "__all").drop("__all")
     return out.withColumn("threshold", F.greatest(F.lit(floor), F.col("median") + k * 1.4826 * F.col("mad")))
 
 

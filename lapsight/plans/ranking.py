@@ -149,7 +149,7 @@ def driver_explorer(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").withColumn("id", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
     inputs = {"quantity": "l_quantity", "discount": "l_discount", "tax": "l_tax"}
     charge = F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
-    out = explore(rows.withColumn("charge", charge), "id", inputs, {"price": "l_extendedprice", "charge": "charge"})
+    out = explore(rows.withColumn("charge", charge), "id", inputs, {"price": "l_extendedprice", "charge": "charge"}, complete=True)
     return rounded(out.withColumn("slope", F.round("slope", 3)))
 
 

@@ -13,7 +13,7 @@ from lapsight.plans.registry import query, table
 @query("bootstrap_ci")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").groupBy("o_orderpriority", F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m")).agg(F.avg("o_totalprice").alias("v"))
-    return uncertainty.bootstrap_quantiles(orders, ["o_orderpriority"], "v", ["y", "m"], seed=11)
+    return uncertainty.bootstrap_quantiles(orders, ["o_orderpriority"], "v", seed=11)
 
 
 @query("paired_bootstrap")
@@ -23,6 +23,11 @@ def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return uncertainty.paired_bootstrap(paired.withColumn("study", F.lit("price")), ["study"], "l_suppkey", "l_returnflag", "regret", "shared_win", seed=3)
 
 
+@query("slope_bootstrap")
+def slope_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return uncertainty.slope_bootstrap(table(spark, sf_dir, "lineitem"), ["l_returnflag"], ["l_orderkey", "l_linenumber"], "l_quantity", "l_extendedprice", 7, 200)
+
+
 @query("scenario_draws")
 def scenario_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uniforms for inputs named by part types, turned into triangular values of their size ranges."""

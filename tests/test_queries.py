@@ -32,7 +32,7 @@ def test_query_equals_sql(spark, duck, name):
     assert plain(df.select(*[f"`{c}`" for c in columns]).collect()) == plain([[r[i] for i in order] for r in want.fetchall()])
 
 
-@pytest.mark.parametrize("name", ["bootstrap_ci", "paired_bootstrap", "scenario_draws"])
+@pytest.mark.parametrize("name", ["bootstrap_ci", "paired_bootstrap", "slope_bootstrap", "scenario_draws"])
 def test_seeded_queries_do_not_depend_on_partitions(spark, name):
     run = registry.queries()[name]
     one = plain(run(spark, SF).collect())
