@@ -267,3 +267,46 @@ def interval_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     has = lambda flag: F.array_contains("interval_flags", flag)
     out = events.interval_audit(features, 100.0)
     return rounded(out.select("p_partkey", "share", has("empty_interval").alias("empty"), has("near_full_lap").alias("near_full")))
+
+
+@query(
+    "gate_review",
+    """
+WITH e AS (SELECT l_suppkey AS k, count(*) AS n, 100 - 100 * stddev_pop(l_quantity) / avg(l_quantity) AS s, 1000 * avg(l_discount) AS b, count(DISTINCT l_returnflag) AS c,
+                  sum(l_linenumber) % 6 AS m FROM lineitem GROUP BY 1),
+r AS (SELECT *, CASE m WHEN 0 THEN 'must_fix' WHEN 1 THEN 'accepted' WHEN 2 THEN 'not_a_candidate' WHEN 3 THEN 'rejected' WHEN 4 THEN 'recommended_review' ELSE 'new' END AS r FROM e),
+j AS (SELECT r.*, CASE WHEN s_acctbal < 0 THEN 'in_debt;' || CASE WHEN s_nationkey < 5 THEN 'near' ELSE '' END ELSE '' END AS f, s_nationkey < 8 AS gate FROM r LEFT JOIN supplier ON k = s_suppkey)
+SELECT k AS gate, r AS recommendation, CASE r WHEN 'must_fix' THEN 0 WHEN 'recommended_review' THEN 1 WHEN 'rejected' THEN 2 WHEN 'accepted' THEN 3 WHEN 'not_a_candidate' THEN 4 ELSE 9 END::BIGINT AS review_priority,
+       CASE WHEN r = 'not_a_candidate' THEN CASE WHEN gate THEN 'separates_laps' ELSE 'not_nominated' END
+            WHEN r = 'accepted' THEN CASE WHEN f <> '' THEN 'review_assumptions' WHEN c < 3 THEN 'keep_entry_only' ELSE 'keep_both' END
+            WHEN r = 'must_fix' THEN 'verify_anchor' WHEN n < 550 THEN 'add_laps' WHEN s < 43 THEN 'check_grouping' WHEN b < 43 THEN 'move_entry_window'
+            WHEN c < 3 THEN 'add_vehicle' ELSE 'review_evidence' END AS suggested_action,
+       CASE WHEN f = '' THEN 0 WHEN f = 'in_debt;' THEN 1 ELSE 2 END::BIGINT AS assumptions FROM j""",
+)
+def gate_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as gates: their lines are passes, their accounts and nations the events' columns."""
+    q, named = F.col("l_quantity"), dict(enumerate(("must_fix", "accepted", "not_a_candidate", "rejected", "recommended_review")))
+    seen = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("gate")).agg(
+        F.count(F.lit(1)).alias("valid_pass_count"),
+        (100 - 100 * F.stddev_pop(q) / F.avg(q)).alias("speed_repeatability_score"),
+        (1000 * F.avg("l_discount")).alias("braking_evidence_score"),
+        F.count_distinct("l_returnflag").alias("c"),
+        (F.sum("l_linenumber") % 6).alias("m"),
+    )
+    few = F.col("c") < 3
+    evidence = seen.withColumns(
+        {
+            "recommendation": F.coalesce(*[F.when(F.col("m") == i, F.lit(r)) for i, r in named.items()], F.lit("new")),
+            "sustained_gate_status": F.when(few, "entry_only_fallback"),
+            "cross_vehicle_status": F.when(~few, "measured"),
+        }
+    )
+    debt, near = F.col("s_acctbal") < 0, F.col("s_nationkey") < 5
+    places = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("gate"),
+        F.when(debt, F.concat(F.lit("in_debt;"), F.when(near, "near").otherwise(""))).otherwise("").alias("review_flags"),
+        F.when(F.col("s_nationkey") < 8, "lap_gate").otherwise("speed_gate").alias("analysis_role"),
+    )
+    # scores of these tables are near 43, so that is where weak begins
+    out = study.gate_review(evidence, places, "gate", 550, 43.0)
+    return out.select("gate", "recommendation", "review_priority", "suggested_action", F.size("assumptions").cast("long").alias("assumptions"))

@@ -51,3 +51,21 @@ def test_crossed_limit(spark, monkeypatch):
     monkeypatch.setattr(uncertainty, "MOST_VARIANTS", 1)
     with pytest.raises(Exception, match="too many"):
         uncertainty.crossed(draws, variants).collect()
+
+
+def test_gate_review_takes_the_first_action(spark):
+    columns = "gate long, recommendation string, valid_pass_count long, speed_repeatability_score double, braking_evidence_score double, cross_vehicle_status string, sustained_gate_status string"
+    rows = [
+        (1, "accepted", 9, 90.0, 90.0, "measured", None),
+        (2, "accepted", 9, 90.0, 90.0, "measured", "entry_only_fallback"),
+        (3, "rejected", 2, 10.0, 10.0, None, None),
+        (4, "rejected", 9, 60.0, 10.0, None, None),
+        (5, "odd", None, None, None, None, None),
+        (6, "not_a_candidate", 1, 1.0, 1.0, None, None),
+        (7, "accepted", 9, 90.0, 90.0, "measured", "entry_only_fallback"),
+    ]
+    places = spark.createDataFrame([(1, None, "speed_gate"), (2, "", "speed_gate"), (6, "", "lap_gate"), (7, "a;;b", "speed_gate")], "gate long, review_flags string, analysis_role string")
+    out = {r["gate"]: r for r in study.gate_review(spark.createDataFrame(rows, columns), places, "gate", 3).collect()}
+    want = ["keep_both", "keep_entry_only", "add_laps", "move_entry_window", "add_vehicle", "separates_laps", "review_assumptions"]
+    assert [out[i]["suggested_action"] for i in range(1, 8)] == want
+    assert [out[i]["review_priority"] for i in range(1, 8)] == [3, 3, 2, 2, 9, 4, 3] and out[7]["assumptions"] == ["a", "b"]
