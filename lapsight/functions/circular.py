@@ -49,3 +49,8 @@ def inside(value: Column, start: Column, end: Column) -> Column:
 def near_edge(value: Column, length: float, margin: float) -> Column:
     at = on_axis(value, length)
     return F.least(at, length - at) <= margin
+
+
+def end_after(start: Column, end: Column, length: Column) -> Column:
+    """``end`` plus the fewest whole lengths that bring it to ``start`` or beyond."""
+    return F.when(end >= start, end).otherwise(end + length * F.ceil((start - end) / length))

@@ -255,13 +255,17 @@ def project(points: DataFrame, line: DataFrame, guess: str | None = None, weight
     return points.mapInPandas(match, f"{kept}, s_m double, map_error_m double, matched_x_m double, matched_y_m double")
 
 
-def bracketed_outliers(matched: DataFrame, keys: list[str], order: str, error: str, far: float = 40.0, near: float = 20.0, most: int = 3) -> DataFrame:
-    """Rows of short runs of large errors whose neighbours on both sides are near the course."""
+def bracketed_outliers(
+    matched: DataFrame, keys: list[str], order: str, error: str, far: float = 40.0, near: float = 20.0, most: int = 3, time: str | None = None, bridge_s: float = 8.0
+) -> DataFrame:
+    """Rows of short runs of large errors whose neighbours on both sides are near the course and, with ``time``, at most ``bridge_s`` apart."""
     w = Window.partitionBy(*keys).orderBy(order)
     runs = series.true_runs(matched, keys, [order], F.col(error) >= far).where(F.col("n") <= most)
     numbered = matched.withColumn("__i", F.row_number().over(w) - 1)
-    side = numbered.select(*keys, "__i", F.col(error).alias("__e"))
-    before = runs.join(side.withColumn("start", F.col("__i") + 1).drop("__i").withColumnRenamed("__e", "__a"), [*keys, "start"])
-    both = before.join(side.withColumn("end", F.col("__i") - 1).drop("__i").withColumnRenamed("__e", "__b"), [*keys, "end"])
-    bad = both.where((F.col("__a") <= near) & (F.col("__b") <= near)).select(*keys, F.explode(F.sequence("start", "end")).alias("__i"))
+    at = series.seconds(F.col(time)) if time else F.lit(0.0)
+    side = lambda place, e, t: numbered.select(*keys, place, F.col(error).alias(e), at.alias(t))
+    before = runs.join(side((F.col("__i") + 1).alias("start"), "__a", "__ta"), [*keys, "start"])
+    both = before.join(side((F.col("__i") - 1).alias("end"), "__b", "__tb"), [*keys, "end"])
+    sound = (F.col("__a") <= near) & (F.col("__b") <= near) & (F.col("__tb") - F.col("__ta") <= bridge_s)
+    bad = both.where(sound).select(*keys, F.explode(F.sequence("start", "end")).alias("__i"))
     return numbered.join(bad, [*keys, "__i"], "left_semi").drop("__i")
