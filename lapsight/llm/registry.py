@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lapsight.llm import class_lm, language_id, media, near_duplicates, piece_sampling, quality_rules, secret_scan, source_mix, suffix_dedup, token_ledger
+from lapsight.llm import (
+    class_lm,
+    language_id,
+    lexical_search,
+    media,
+    near_duplicates,
+    piece_sampling,
+    quality_rules,
+    secret_scan,
+    source_mix,
+    suffix_dedup,
+    token_ledger,
+    vector_duplicates,
+    whitening,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +37,9 @@ def queries() -> dict[str, Query]:
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_repeated_strings": suffix_dedup.op9_repeated_strings,
         "op10_class_lm": class_lm.op10_class_lm,
+        "op11_lexical_search": lexical_search.op11_lexical_search,
+        "op12_whitening": whitening.op12_whitening,
+        "op13_vector_duplicates": vector_duplicates.op13_vector_duplicates,
     }
 
 
@@ -30,4 +47,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_source_mix": source_mix.OP2_SQL,
         "op8_quality_rules": quality_rules.OP8_SQL,
+        "op11_lexical_search": lexical_search.OP11_SQL,
+        "op13_vector_duplicates": vector_duplicates.OP13_SQL,
     }
