@@ -1,7 +1,9 @@
-"""Exact ranks and quantiles of groups of any size.
+"""Exact ranks, places and quantiles of groups of any size.
 
-A group's distinct values are counted first and then dealt to ranges of values,
-so the work on one large group is spread over tasks and no task sorts it whole.
+A group's rows are counted by value, and the distinct values of all groups are
+dealt by range of (group, value), so a large group is spread over tasks and no
+task orders it whole. The counts with their ranges are written once: every
+later step reads the same ranges, whatever is computed again.
 """
 
 from __future__ import annotations
@@ -11,97 +13,116 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges of values per group; a task orders about this share of a group's distinct values.
-PARTS = 32
+from lapsight.operators.staging import drop, stage
 
 
-def _part() -> Column:
-    return F.size(F.filter("__cuts", lambda c: c < F.col("__v")))
-
-
-def running_counts(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """(keys, value, n, below, total, __part): per distinct value its rows, the rows of smaller values and all rows.
+def counted(rows: DataFrame, keys: Sequence[str], values: Mapping[str, Column], weight: Column | None = None) -> DataFrame:
+    """A written table (__k, __v, n, __part): rows, or sums of ``weight``, per group and value; __k is keys and the value's name ``__of``.
 
     Rows without a value do not count. Null keys are groups of their own.
     """
-    v = F.col(value)
-    counted = rows.where(v.isNotNull()).groupBy(F.struct(*keys).alias("__k"), v.alias("__v")).agg(F.count(F.lit(1)).alias("n"))
-    cuts = F.percentile_approx("__v", [i / PARTS for i in range(1, PARTS)], 1000)
-    groups = counted.groupBy("__k").agg(cuts.alias("__cuts"), F.sum("n").alias("total"))
-    dealt = counted.join(groups, "__k").select("__k", "__v", "n", "total", _part().alias("__part"))
-    before = Window.partitionBy("__k").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # at most PARTS rows
-    starts = dealt.groupBy("__k", "__part").agg(F.sum("n").alias("__m")).withColumn("__start", F.coalesce(F.sum("__m").over(before), F.lit(0)))
-    inside = Window.partitionBy("__k", "__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
-    placed = dealt.withColumn("__less", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    out = placed.join(starts.drop("__m"), ["__k", "__part"])
-    return out.select("__k.*", F.col("__v").alias(value), "n", (F.col("__start") + F.col("__less")).alias("below"), "total", "__part")
+    n = F.count(F.lit(1)) if weight is None else F.sum("__w")
+    each = F.inline(F.array(*[F.struct(F.lit(name).alias("__of"), c.alias("__v")) for name, c in values.items()]))
+    given = rows.select(*keys, each, (F.lit(1) if weight is None else weight).alias("__w")).where("__v is not null")
+    counts = given.groupBy(F.struct(*keys, "__of").alias("__k"), "__v").agg(n.alias("n"))
+    return stage(counts.repartitionByRange("__k", "__v").withColumn("__part", F.spark_partition_id()), "ordered")
 
 
-def with_average_ranks(rows: DataFrame, keys: Sequence[str], named: Mapping[str, str]) -> DataFrame:
-    """Per entry (value, name): rank from 1 among the group's values; equal values share the mean of their ranks.
+def _ranges(counts: DataFrame) -> DataFrame:
+    """(__k, __part, __m, __start, __total): a row per group and range that it has rows in."""
+    group = Window.partitionBy("__k")  # at most as many rows as ranges
+    earlier = group.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = counts.groupBy("__k", "__part").agg(F.sum("n").alias("__m"))
+    return sums.withColumn("__start", F.coalesce(F.sum("__m").over(earlier), F.lit(0))).withColumn("__total", F.sum("__m").over(group))
 
-    Rows without one of the values go. Each value's ranks are taken from
-    ``rows``, not from the joins before, and joined by distinct value.
-    """
-    complete = rows.dropna(subset=list(named))
-    out = complete.withColumn("__k", F.struct(*keys))
-    for value, name in named.items():
-        ranks = running_counts(complete, keys, value).select(
-            F.struct(*keys).alias("__k"), F.col(value).alias("__v"), (F.col("below") + (F.col("n") + 1) / 2.0).alias(name)
-        )
-        out = out.withColumn("__v", F.col(value)).join(ranks, ["__k", "__v"]).drop("__v")
-    return out.drop("__k")
 
+def _inside(counts: DataFrame) -> DataFrame:
+    """``counts`` with __less, the rows of smaller values in the same group and range."""
+    before = Window.partitionBy("__k", "__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("__less", F.coalesce(F.sum("n").over(before), F.lit(0)))
 
-def quantiles(rows: DataFrame, keys: Sequence[str], values: Mapping[str, Column], points: Mapping[str, tuple[str, float]]) -> DataFrame:
-    """(keys, one column per point): exact quantiles, interpolated between neighbours; a point names one of ``values`` and a share.
 
-    Rows are counted by ranges of values, combined before the shuffle; only
-    the ranges that hold a wanted place are then counted by value. The rows
-    are read three times and hardly shuffled. A group without any value has no
-    row, a point without values is null.
-    """
-    each = F.inline(F.array(*[F.struct(F.lit(n).alias("__of"), c.cast("double").alias("__v")) for n, c in values.items()]))
-    long = rows.select(*keys, each).where("__v is not null").select(F.struct(*keys, "__of").alias("__k"), "__v")
-    cuts = F.percentile_approx("__v", [i / PARTS for i in range(1, PARTS)], 1000)
-    dealt = long.join(long.groupBy("__k").agg(cuts.alias("__cuts")), "__k").select("__k", "__v", _part().alias("__part"))
+def running_counts(counts: DataFrame) -> DataFrame:
+    """(__k, __v, n, below, total, __part) of a table of counted(): the rows of smaller values and of the group."""
+    placed = _inside(counts).join(_ranges(counts), ["__k", "__part"])
+    return placed.select("__k", "__v", "n", (F.col("__start") + F.col("__less")).alias("below"), F.col("__total").alias("total"), "__part")
 
-    group = Window.partitionBy("__k")  # at most PARTS rows
-    earlier = group.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = dealt.groupBy("__k", "__part").agg(F.count(F.lit(1)).alias("__m"))
-    ranges = ranges.withColumn("__start", F.coalesce(F.sum("__m").over(earlier), F.lit(0))).withColumn("__total", F.sum("__m").over(group))
+
+def with_average_ranks(rows: DataFrame, keys: Sequence[str], named: Mapping[str, str]) -> DataFrame:
+    """Per entry (value, name): rank from 1 among the group's values; equal values share the mean of their ranks.
+
+    Rows without one of the values go. The rows are read twice: once to count
+    all values, which are ranked together, and once to join each value's ranks.
+    """
+    complete = rows.dropna(subset=list(named)).select("*", *[F.col(v).cast("double").alias(f"__v{i}") for i, v in enumerate(named)])
+    counts = counted(complete, keys, {v: F.col(f"__v{i}") for i, v in enumerate(named)})
+    ranks = stage(running_counts(counts).select("__k", "__v", (F.col("below") + (F.col("n") + 1) / 2.0).alias("__rank")), "ranks")
+    drop(counts)
+    out = complete
+    for i, (value, name) in enumerate(named.items()):
+        own = ranks.where(F.col("__k.__of") == value).select("__k", F.col("__v").alias(f"__v{i}"), F.col("__rank").alias(name))
+        out = out.withColumn("__k", F.struct(*keys, F.lit(value).alias("__of"))).join(own, ["__k", f"__v{i}"]).drop("__k", f"__v{i}")
+    return out
+
+
+def quantiles_of(counts: DataFrame, keys: Sequence[str], points: Mapping[str, tuple[str, float]]) -> DataFrame:
+    """quantiles() of a table of counted(); only the ranges that hold a wanted place are put in order."""
     wanted = F.array(*[F.struct(F.lit(n).alias("point"), F.lit(of).alias("of"), F.lit(float(p)).alias("share")) for n, (of, p) in points.items()])
     place = F.col("__p.share") * (F.col("__total") - 1)
     ends = F.explode(F.array_distinct(F.array(F.floor(place), F.ceil(place)))).alias("__at")
-    asked = ranges.withColumn("__p", F.explode(wanted)).where(F.col("__p.of") == F.col("__k.__of"))
+    asked = _ranges(counts).withColumn("__p", F.explode(wanted)).where(F.col("__p.of") == F.col("__k.__of"))
     asked = asked.select("__k", "__part", "__start", "__m", F.col("__p.point").alias("__point"), place.alias("__place"), ends)
     asked = asked.where((F.col("__start") <= F.col("__at")) & (F.col("__at") < F.col("__start") + F.col("__m")))
-
-    near = dealt.join(asked.select("__k", "__part").distinct(), ["__k", "__part"], "left_semi").groupBy("__k", "__part", "__v").agg(F.count(F.lit(1)).alias("__n"))
-    inside = Window.partitionBy("__k", "__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
-    placed = near.withColumn("__less", F.coalesce(F.sum("__n").over(inside), F.lit(0)))
+    needed = asked.groupBy("__k", "__part").agg(F.collect_list(F.struct("__start", "__point", "__place", "__at")).alias("__asked"))  # two places to a point
+    met = _inside(counts.join(needed, ["__k", "__part"])).select("__k", "__v", "n", "__less", F.inline("__asked"))
     within = F.col("__at") - F.col("__start")
-    hit = placed.join(asked, ["__k", "__part"]).where((F.col("__less") <= within) & (within < F.col("__less") + F.col("__n")))
-    part_of = F.when(F.col("__at") == F.floor("__place"), 1 - (F.col("__place") - F.floor("__place"))).otherwise(F.col("__place") - F.floor("__place"))
-    one = hit.groupBy("__k", "__point").agg(F.sum(F.col("__v") * part_of).alias("__q"))
-    found = one.select("__k.*", "__point", "__q").groupBy(*keys).agg(*[F.max(F.when(F.col("__point") == n, F.col("__q"))).alias(n) for n in points])
+    hit = met.where((F.col("__less") <= within) & (within < F.col("__less") + F.col("n")))
+    above = F.col("__place") - F.floor("__place")
+    share = F.when(F.col("__at") == F.floor("__place"), 1 - above).otherwise(above)
+    one = hit.groupBy("__k", "__point").agg(F.sum(F.col("__v") * share).alias("__q")).select("__k.*", "__point", "__q")
+    return one.groupBy(*keys).agg(*[F.max(F.when(F.col("__point") == n, F.col("__q"))).alias(n) for n in points])
+
+
+def quantiles(rows: DataFrame, keys: Sequence[str], values: Mapping[str, Column], points: Mapping[str, tuple[str, float]]) -> DataFrame:
+    """(keys, one column per point): exact quantiles, interpolated between neighbours; a point names one of ``values`` and a share.
+
+    ``rows`` are read once. A group without any value has no row, a point
+    without values is null. The result is a written table.
+    """
+    counts = counted(rows, keys, {n: c.cast("double") for n, c in values.items()})
+    found = stage(quantiles_of(counts, keys, points), "quantiles")
+    drop(counts)
     return found
 
 
-def values_at(counts: DataFrame, keys: Sequence[str], value: str, asked: DataFrame, place: str) -> DataFrame:
-    """``asked`` rows with the value that stands at row number ``place`` (from 0) of their group's order.
+def values_at(counts: DataFrame, asked: DataFrame, place: str) -> DataFrame:
+    """``asked`` rows (with their group ``__k``) and the value ``__v`` that stands at row number ``place`` (from 0) of the group's order.
 
-    Values and asked places of a range of values are put in one order, and each
-    place takes the last value before it, so no join by ranges is needed.
+    Values and asked places of a range are put in one order, and each place
+    takes the last value before it, so no join by ranges is needed.
     """
-    k, own = F.struct(*keys).alias("__k"), [c for c in asked.columns if c not in keys]
-    ends = counts.groupBy(k, "__part").agg(F.max(F.col("below") + F.col("n")).alias("__end"))
-    ends = ends.groupBy("__k").agg(F.array_sort(F.collect_list(F.struct("__end", "__part"))).alias("__ends"))  # at most PARTS
+    own = [c for c in asked.columns if c != "__k"]
+    ranges = _ranges(counts).groupBy("__k").agg(F.array_sort(F.collect_list(F.struct((F.col("__start") + F.col("__m")).alias("__end"), "__part"))).alias("__ends"))
     found = F.get(F.filter("__ends", lambda e: e["__end"] > F.col(place)), F.lit(0))["__part"]
-    packed = asked.select(k, F.col(place), F.struct(*own).alias("__row")).join(ends, "__k")
-    questions = packed.select("__k", found.alias("__part"), (F.col(place) + F.lit(0.5)).alias("__at"), F.lit(None).cast(counts.schema[value].dataType).alias("__v"), "__row")
+    packed = asked.select("__k", F.col(place), F.struct(*own).alias("__row")).join(ranges, "__k")
+    questions = packed.select("__k", found.alias("__part"), (F.col(place) + F.lit(0.5)).alias("__at"), F.lit(None).cast(counts.schema["__v"].dataType).alias("__v"), "__row")
     nothing = F.lit(None).cast(packed.schema["__row"].dataType)
-    answers = counts.select(k, "__part", F.col("below").cast("double").alias("__at"), F.col(value).alias("__v"), nothing.alias("__row"))
+    answers = running_counts(counts).select("__k", "__part", F.col("below").cast("double").alias("__at"), "__v", nothing.alias("__row"))
     w = Window.partitionBy("__k", "__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     both = answers.unionByName(questions).withColumn("__v", F.last("__v", ignorenulls=True).over(w))
-    return both.where("__row is not null").select("__k.*", "__row.*", F.col("__v").alias(value))
+    return both.where("__row is not null").select("__k", "__row.*", "__v")
+
+
+def numbered(rows: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """``rows`` with their number (from 1) in one order of all rows, dealt by range of the order; a written table.
+
+    Only the number of rows of each range comes to the driver.
+    """
+    w = Window.partitionBy("__part").orderBy(*order)
+    dealt = stage(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).withColumn("__own", F.row_number().over(w)), "numbered")
+    starts, upto = {}, 0
+    for r in sorted(dealt.groupBy("__part").agg(F.max("__own").alias("n")).collect()):
+        starts[r["__part"]] = upto
+        upto += r["n"]
+    before = F.coalesce(*[F.when(F.col("__part") == p, F.lit(s)) for p, s in starts.items()], F.lit(0)) if starts else F.lit(0)
+    return dealt.withColumn(name, (before + F.col("__own")).cast("long")).drop("__part", "__own")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapsight.operators import ordered
+from lapsight.operators.staging import drop
 
 
 def split_half(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
@@ -85,13 +87,18 @@ def category_effect(rows: DataFrame, category: str, value: str) -> DataFrame:
 
 
 def upper_threshold(rows: DataFrame, value: str, floor: float, k: float) -> DataFrame:
-    """One row: the larger of ``floor`` and median + k * 1.4826 * median absolute deviation."""
-    one = rows.select(F.lit(0).alias("__all"), F.col(value).cast("double").alias("__v"))
-    middle = ordered.quantiles(one, ["__all"], {"v": F.col("__v")}, {"median": ("v", 0.5)})  # one row
-    away = one.join(middle, "__all").withColumn("__d", F.abs(F.col("__v") - F.col("median")))
-    mad = ordered.quantiles(away, ["__all"], {"d": F.col("__d")}, {"mad": ("d", 0.5)})
-    out = middle.join(mad, "__all").drop("__all")
-    return out.withColumn("threshold", F.greatest(F.lit(floor), F.col("median") + k * 1.4826 * F.col("mad")))
+    """One row: the larger of ``floor`` and median + k * 1.4826 * median absolute deviation.
+
+    Rows are read once and counted by value; the deviations are taken of the
+    distinct values.
+    """
+    counts = ordered.counted(rows, [], {"v": F.col(value).cast("double")})
+    middle = ordered.quantiles_of(counts, [], {"median": ("v", 0.5)}).first()["median"]  # one number
+    away = ordered.counted(counts, [], {"d": F.abs(F.col("__v") - F.lit(middle))}, F.col("n"))
+    mad = ordered.quantiles_of(away, [], {"mad": ("d", 0.5)}).first()["mad"]
+    drop(counts, away)
+    threshold = None if middle is None else max(float(floor), middle + k * 1.4826 * mad)
+    return rows.sparkSession.createDataFrame([(middle, mad, threshold)], "median double, mad double, threshold double")
 
 
 def outliers(rows: DataFrame, key: str, value: str, floor: float, k: float, share: float, keep: int) -> DataFrame:
@@ -99,12 +106,12 @@ def outliers(rows: DataFrame, key: str, value: str, floor: float, k: float, shar
 
     At most ``share`` of all rows (one at least) go, and at least ``keep`` stay.
     """
-    limit = F.broadcast(upper_threshold(rows, value, floor, k).select("threshold"))
-    count = F.broadcast(rows.agg(F.count(F.lit(1)).alias("__n")))
-    above = rows.join(limit).join(count).where(F.col(value) > F.col("threshold")).withColumn("severity", F.col(value) / F.col("threshold"))
-    order = Window.partitionBy(F.lit(1)).orderBy(F.desc("severity"), F.desc(key))
-    most = F.greatest(F.lit(0), F.least(F.greatest(F.lit(1), F.floor(share * F.col("__n"))), F.col("__n") - keep))
-    return above.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).drop("__n")
+    threshold = upper_threshold(rows, value, floor, k).first()["threshold"]
+    n = rows.count()
+    most = max(0, min(max(1, math.floor(share * n)), n - keep))
+    above = rows.where(F.col(value) > F.lit(threshold).cast("double")).withColumn("threshold", F.lit(threshold).cast("double"))
+    severe = above.withColumn("severity", F.col(value) / F.col("threshold"))
+    return ordered.numbered(severe, [F.desc("severity"), F.desc(key)], "rank").where(F.col("rank") <= most)
 
 
 def leave_one_out_shift(values: Column) -> Column:

@@ -13,6 +13,8 @@ from lapsight.functions.geo import haversine_m
 from lapsight.operators import series
 
 SEGMENT = ["run_id", "track_index", "segment_index"]
+#: Nodes of a line that is sent to the tasks.
+MOST_NODES = 100_000
 
 
 def kinematics(points: DataFrame) -> DataFrame:
@@ -184,36 +186,27 @@ def resample(members: DataFrame, nodes: int, keys: list[str]) -> DataFrame:
     return x.join(y, [*keys, "node"])
 
 
-def consensus(nodes: DataFrame, lap: str, floor_m: float = 2.0, k: float = 3.5, share: float = 0.2, least: int = 3, rounds: int = 6) -> tuple[DataFrame, DataFrame]:
-    """Median centreline of the laps that agree, and every lap's distance to the others with its verdict.
-
-    Each round compares every lap with the median of the others at each node;
-    laps whose 95th percentile is above a robust threshold leave, at most a
-    share of them, until none does. The node table is small (laps times nodes),
-    and the excluded laps are all that comes to the driver.
-    """
-    from lapsight.operators.statistics import outliers
-
-    gone: list = []
-    for _ in range(rounds):
-        inside = nodes.where(~F.col(lap).isin(gone)) if gone else nodes
-        other = inside.select(F.col(lap).alias("__other"), "node", F.col("x_m").alias("__x"), F.col("y_m").alias("__y"))
-        middle = (
-            inside.select(lap).distinct().join(other, F.col(lap) != F.col("__other")).groupBy(lap, "node").agg(F.median("__x").alias("mx"), F.median("__y").alias("my"))
-        )
-        away = inside.join(middle, [lap, "node"]).withColumn("__d", F.hypot(F.col("x_m") - F.col("mx"), F.col("y_m") - F.col("my")))
-        distance = away.groupBy(lap).agg(F.percentile("__d", 0.95).alias("p95_m"), F.max("__d").alias("max_m"))
-        new = [r[0] for r in outliers(distance, lap, "p95_m", floor_m, k, share, least).collect()]
-        if not new:
-            break
-        gone += new
-    kept = nodes.where(~F.col(lap).isin(gone)) if gone else nodes
-    line = kept.groupBy("node").agg(F.median("x_m").alias("x_m"), F.median("y_m").alias("y_m"), F.count(F.lit(1)).alias("laps"))
-    w = Window.partitionBy(F.lit(1)).orderBy("node")
-    step = F.coalesce(F.hypot(F.col("x_m") - F.lag("x_m").over(w), F.col("y_m") - F.lag("y_m").over(w)), F.lit(0.0))
-    line = line.withColumn("__d", step).withColumn("s_m", F.sum("__d").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__d")
-    verdict = nodes.select(lap).distinct().withColumn("included", ~F.col(lap).isin(gone) if gone else F.lit(True))
-    return line, verdict
+def match_line(places: np.ndarray, line: np.ndarray, guess: np.ndarray | None = None, weight: float = 0.08, chunk: int = 512) -> np.ndarray:
+    """(s, error, x, y) of each place on a closed line of nodes; a block of places against all segments at once."""
+    a, b = line, np.roll(line, -1, axis=0)
+    length = np.hypot(*(b - a).T)
+    start, whole = np.cumsum(length) - length, float(length.sum())
+    squared = np.maximum(length**2, 1e-12)
+    parts = [np.zeros((0, 4))]
+    for i in range(0, len(places), chunk):
+        p = places[i : i + chunk, None, :]
+        t = np.clip(((p - a) * (b - a)).sum(axis=2) / squared, 0, 1)
+        q = a + t[..., None] * (b - a)
+        d = np.hypot(*(p - q).transpose(2, 0, 1))
+        s, cost = start + t * length, d**2
+        if guess is not None:
+            g = guess[i : i + chunk, None]
+            s = s + np.round((g - s) / whole) * whole
+            cost = cost + (weight * (s - g)) ** 2
+        best = cost.argmin(axis=1)
+        at = np.arange(len(best))
+        parts.append(np.stack([s[at, best], d[at, best], q[at, best, 0], q[at, best, 1]], axis=1))
+    return np.concatenate(parts)
 
 
 def project(points: DataFrame, line: DataFrame, guess: str | None = None, weight: float = 0.08, chunk: int = 512) -> DataFrame:
@@ -224,31 +217,14 @@ def project(points: DataFrame, line: DataFrame, guess: str | None = None, weight
     s_m is unwrapped to the guess. The line's nodes, a few thousand at most,
     are sent to the tasks, which compare a block of points with all segments.
     """
-    rows = line.orderBy("node").select("x_m", "y_m").collect()
-    x = np.array([[r[0], r[1]] for r in rows], float).reshape(-1, 2)
-    a, b = x, np.roll(x, -1, axis=0)
-    length = np.hypot(*(b - a).T)
-    start = np.cumsum(length) - length
-    whole = float(length.sum())
-    squared = np.maximum(length**2, 1e-12)
+    rows = line.orderBy("node").select("x_m", "y_m").limit(MOST_NODES + 1).collect()
+    if len(rows) > MOST_NODES:
+        raise ValueError(f"a line has {MOST_NODES} nodes at most")
+    nodes = np.array([[r[0], r[1]] for r in rows], float).reshape(-1, 2)
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = []
-            for i in range(0, len(batch), chunk):
-                p = batch[["x_m", "y_m"]].to_numpy(float)[i : i + chunk, None, :]
-                t = np.clip(((p - a) * (b - a)).sum(axis=2) / squared, 0, 1)
-                q = a + t[..., None] * (b - a)
-                d = np.hypot(*(p - q).transpose(2, 0, 1))
-                s, cost = start + t * length, d**2
-                if guess:
-                    g = batch[guess].to_numpy(float)[i : i + chunk, None]
-                    s = s + np.round((g - s) / whole) * whole
-                    cost = cost + (weight * (s - g)) ** 2
-                best = cost.argmin(axis=1)
-                at = np.arange(len(best))
-                parts.append(np.stack([s[at, best], d[at, best], q[at, best, 0], q[at, best, 1]], axis=1))
-            found = np.concatenate(parts) if parts else np.zeros((0, 4))
+            found = match_line(batch[["x_m", "y_m"]].to_numpy(float), nodes, batch[guess].to_numpy(float) if guess else None, weight, chunk)
             yield batch.assign(s_m=found[:, 0], map_error_m=found[:, 1], matched_x_m=found[:, 2], matched_y_m=found[:, 3])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema.fields)

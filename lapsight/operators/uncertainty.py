@@ -79,14 +79,14 @@ def bootstrap_quantiles(rows: DataFrame, keys: Sequence[str], value: str, seed:
                         yield pd.DataFrame({"g": [group] * len(row), "quantile": q, "f": place - int(place), "draw": np.arange(len(row)), "end": end, "row": row})
 
     clean = rows.select(F.struct(*names).alias("g"), F.col(value).cast("double").alias("v")).where("v is not null")
-    counts = ordered.running_counts(clean, ["g"], "v")
-    kind = clean.schema["g"].dataType.simpleString()
-    text = clean.select(F.to_json("g", {"ignoreNullFields": "false"}).alias("g"))  # Arrow hands a struct over as a dict
-    sizes = text.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    drawn = sizes.mapInPandas(draw, "g string, quantile double, f double, draw long, end string, row long")
-    asked = drawn.withColumn("g", F.from_json("g", kind))
-    looked = ordered.values_at(counts, ["g"], "v", asked, "row")
-    at = lambda end: F.max(F.when(F.col("end") == end, F.col("v")))
+    counts = ordered.counted(clean.select("g.*", "v"), names, {"v": F.col("v")})
+    kind = counts.schema["__k"].dataType.simpleString()
+    sizes = counts.groupBy("__k").agg(F.sum("n").alias("n"))
+    text = sizes.select(F.to_json("__k", {"ignoreNullFields": "false"}).alias("g"), "n")  # Arrow hands a struct over as a dict
+    drawn = text.mapInPandas(draw, "g string, quantile double, f double, draw long, end string, row long")
+    asked = drawn.withColumn("__k", F.from_json("g", kind)).drop("g")
+    looked = ordered.values_at(counts, asked, "row").withColumn("g", F.struct(*[F.col(f"__k.{n}") for n in names]))
+    at = lambda end: F.max(F.when(F.col("end") == end, F.col("__v")))
     between = lambda a, b: at(a) + (at(b) - at(a)) * F.max("f")
     each = looked.groupBy("g", "quantile", "draw").agg(between("low", "high").alias("x"), between("estimate_low", "estimate_high").alias("e"))
     return each.groupBy("g", "quantile").agg(F.max("e").alias("estimate"), F.percentile("x", F.array(F.lit(0.025), F.lit(0.975))).alias("ci")).select(

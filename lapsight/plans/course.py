@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapsight.functions import circular, geo
-from lapsight.operators import course, events, telemetry
+from lapsight.operators import consensus, course, events, telemetry
 from lapsight.plans.registry import query, rounded, table
 
 
@@ -260,3 +260,42 @@ def bundle_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = course.opened(bundles, "course", schema)
     counts = content.select("course", F.size("content.features").cast("long").alias("features"))
     return rounded(course.active_gates(content, "course").drop("active_by_default").join(counts, "course"), 2)
+
+
+_NODES = """n AS (SELECT l_suppkey AS lap, l_linenumber AS node, avg(l_quantity) AS x, avg(l_discount) * 100 AS y FROM lineitem GROUP BY ALL),
+line AS (SELECT node, median(x) AS lx, median(y) AS ly FROM n GROUP BY node),
+o AS (SELECT a.lap, a.node, any_value(a.x) AS x, any_value(a.y) AS y, median(b.x) AS ox, median(b.y) AS oy FROM n a JOIN n b ON a.node = b.node AND a.lap <> b.lap GROUP BY ALL)"""
+
+
+def _lap_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as laps, line numbers as nodes, mean quantity and discount as places."""
+    means = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("lap"), F.col("l_linenumber").alias("node"))
+    return means.agg(F.avg("l_quantity").alias("x_m"), (F.avg("l_discount") * 100).alias("y_m"))
+
+
+@query(
+    "left_out_lines",
+    f"""
+WITH {_NODES} SELECT lap, node, round(lx, 6) + 0.0 AS line_x_m, round(ly, 6) + 0.0 AS line_y_m, round(ox, 6) + 0.0 AS others_x_m, round(oy, 6) + 0.0 AS others_y_m FROM o JOIN line USING (node)""",
+)
+def left_out_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(consensus.left_out(_lap_nodes(spark, sf_dir), "lap").select("lap", "node", "line_x_m", "line_y_m", "others_x_m", "others_y_m"))
+
+
+@query(
+    "consensus_round",
+    f"""
+WITH {_NODES},
+m AS (SELECT lap, quantile_cont(sqrt((x - ox) ** 2 + (y - oy) ** 2), 0.95) AS p95, avg(CASE WHEN sqrt((x - ox) ** 2 + (y - oy) ** 2) > 2 THEN 1.0 ELSE 0 END) AS sustained,
+      max(sqrt((lx - ox) ** 2 + (ly - oy) ** 2)) AS shift FROM o JOIN line USING (node) GROUP BY lap),
+c AS (SELECT count(*) AS n, median(p95) AS mp, median(shift) AS ms FROM m),
+d AS (SELECT median(abs(p95 - mp)) AS dp, median(abs(shift - ms)) AS ds FROM m, c),
+t AS (SELECT n, greatest(2, mp + 1.5 * 1.4826 * dp) AS tp, greatest(0.05, ms + 1.5 * 1.4826 * ds) AS ts FROM c, d),
+s AS (SELECT lap, n, p95 / tp + shift / ts + sustained / 0.3 AS severity FROM m, t WHERE sustained >= 0.85 OR (sustained >= 0.3 AND (p95 > tp OR shift > ts)))
+SELECT lap, round(severity, 6) + 0.0 AS severity FROM s QUALIFY row_number() OVER (ORDER BY severity DESC, lap DESC) <= least(greatest(1, floor(n * 0.2)), greatest(0, n - 3))""",
+)
+def consensus_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suppliers that one round would exclude: all three rules' limits are robust ones of this table."""
+    rules = consensus.Rules(p95_limit_m=2.0, sustained_error_m=2.0, minimum_sustained=0.3, strong_sustained=0.85, shift_limit_m=0.05, deviations=1.5)
+    measures = consensus.node_measures(consensus.left_out(_lap_nodes(spark, sf_dir), "lap"), "lap", rules)
+    return rounded(consensus.outlying_laps(measures, "lap", rules))

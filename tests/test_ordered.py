@@ -31,6 +31,29 @@ def test_quantiles_of_few_rows_and_none(spark):
     assert ordered.quantiles(rows.limit(0), ["k"], {"x": F.col("x")}, {"m": ("x", 0.5)}).count() == 0
 
 
+def test_quantiles_of_many_values_over_many_ranges(spark):
+    """Over 100,000 distinct values in one group, dealt to many tasks, read again after one branch was computed anew."""
+    n = 120_000
+    rows = spark.range(n).select(F.lit("g").alias("k"), ((F.col("id") * 48_271) % 2_147_483_647 / 7.0).alias("x"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        counts = ordered.counted(rows, ["k"], {"x": F.col("x")})
+        assert counts.select("__part").distinct().count() > 8
+        points = {f"q{i}": ("x", i / 20) for i in range(21)}
+        found = ordered.quantiles_of(counts, ["k"], points)
+        one = found.first()
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+        two = ordered.quantiles_of(counts, ["k"], points).first()
+        numbers = ordered.numbered(rows, [F.desc("x")], "at").orderBy("at").select("at", "x").toPandas()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    want = np.quantile(np.arange(n) * 48_271 % 2_147_483_647 / 7.0, np.arange(21) / 20)
+    assert np.allclose([one[p] for p in points], want, rtol=1e-12) and tuple(one) == tuple(two)
+    assert (numbers["at"] == np.arange(1, n + 1)).all() and (np.diff(numbers["x"]) <= 0).all()
+
+
 def test_average_ranks(spark, frame):
     got = ordered.with_average_ranks(spark.createDataFrame(frame), ["k"], {"x": "rx", "y": "ry"}).toPandas().sort_values("i")
     for c in "xy":
@@ -39,8 +62,8 @@ def test_average_ranks(spark, frame):
 
 def test_values_at_places(spark, frame):
     rows = spark.createDataFrame(frame)
-    asked = spark.createDataFrame([(k, p) for k, n in (("a", 2700), ("b", 300)) for p in range(0, n, 13)], "k string, p long")
-    got = ordered.values_at(ordered.running_counts(rows, ["k"], "x"), ["k"], "x", asked, "p").collect()
+    asked = spark.createDataFrame([((k, "x"), p) for k, n in (("a", 2700), ("b", 300)) for p in range(0, n, 13)], "__k struct<k:string, __of:string>, p long")
+    got = ordered.values_at(ordered.counted(rows, ["k"], {"x": F.col("x")}), asked, "p").select("__k.k", "p", F.col("__v").alias("x")).collect()
     of = {k: np.sort(g.x) for k, g in frame.groupby("k")}
     assert len(got) == asked.count() and all(of[r["k"]][r["p"]] == r["x"] for r in got)
 

@@ -4,7 +4,7 @@ import math
 import numpy as np
 import pytest
 
-from lapsight.operators import events, series, telemetry as t
+from lapsight.operators import consensus, events, series, telemetry as t
 from lapsight.sources import tracks
 
 T0 = dt.datetime(2026, 1, 1, tzinfo=dt.UTC)
@@ -93,8 +93,11 @@ def test_laps_and_consensus(spark):
     assert table.where("valid").count() == 7
     assert members.groupBy("point_index").count().where("count = 2").count() == 6
     nodes = t.resample(members, 120, ["lap_id"])
-    line, verdict = t.consensus(nodes.cache(), "lap_id")
-    got = {r["lap_id"]: r["included"] for r in verdict.collect()}
+    rules = consensus.Rules(p95_limit_m=3.0, sustained_error_m=3.0)
+    found = consensus.consensus(nodes, "lap_id", "node", rules)
+    line = found.line
+    got = {r["lap_id"]: r["included"] for r in found.laps.collect()}
+    assert found.laps.where("reference").count() == 1 and found.laps.where("reference and included").count() == 1
     assert not got[6] and all(got[i] for i in range(6))
     assert line.where("y_m between 55 and 85").agg({"x_m": "max"}).first()[0] > 120
     matched = t.project(members.where("lap_id = 0").select("x_m", "y_m"), line)
