@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from statistics import NormalDist
 
 import pandas as pd
@@ -72,3 +73,30 @@ def truncated_normal_ppf(u: Column, mean: Column, deviation: Column, low: Column
 def deviation(nominal: Column, absolute: Column, relative: Column, half_width: Column, level: Column) -> Column:
     """Standard deviation as given, relative to the nominal, or from half the width of an interval of some level."""
     return F.coalesce(absolute, relative * F.abs(nominal), half_width / normal_quantile((1 + level) / 2))
+
+
+def normal_tail(z: Column) -> Column:
+    """P(Z > z) of a standard normal variable, also far out: below 1e-9 of relative error up to 30 deviations.
+
+    Up to 4 deviations the series of the distribution function, beyond them the
+    continued fraction of the ratio of tail and density; both as folds, so the
+    expression stays small. Null and NaN stay as they are.
+    """
+    x = F.abs(z)
+    density = F.exp(-x * x / 2) / math.sqrt(2 * math.pi)
+    term = F.struct(x.alias("t"), x.alias("s"))
+    odd = F.sequence(F.lit(1), F.lit(60))
+    near = F.aggregate(odd, term, lambda a, k: F.struct((a["t"] * x * x / (2 * k + 1)).alias("t"), (a["s"] + a["t"] * x * x / (2 * k + 1)).alias("s")), lambda a: a["s"])
+    ratio = F.aggregate(F.sequence(F.lit(80), F.lit(1)), x, lambda a, k: x + k / a)
+    upper = F.when(x < 4, 0.5 - density * near).otherwise(density / ratio)
+    return F.when(F.isnan(z), z).when(z.isNotNull(), F.when(z >= 0, upper).otherwise(1 - upper))
+
+
+def impossible_tail(mean: Column, sd: Column, lower: Column | None = None, upper: Column | None = None) -> Column:
+    """The share of a normal prior below ``lower`` or above ``upper``; without spread 0 or 1, null bounds bound nothing."""
+    share = F.lit(0.0)
+    for bound, sign in ((lower, 1.0), (upper, -1.0)):
+        if bound is not None:
+            away = sign * (mean - bound)
+            share = share + F.coalesce(F.when(sd > 0, normal_tail(away / sd)).when(sd == 0, (away < 0).cast("double")), F.lit(0.0))
+    return share
