@@ -176,13 +176,14 @@ def share_at_most(rows: DataFrame, key: str, value: str, baseline: DataFrame, ba
     compared with all values nor sorted in one task.
     """
     known = baseline.where(F.col(baseline_value).isNotNull()).select(F.col(baseline_value).alias("__v"), F.lit(1).alias("__c"))
-    ends = F.broadcast(known.agg(F.min("__v").alias("__a"), F.max("__v").alias("__b"), F.sum("__c").alias("__n")))  # one row
+    ends = known.agg(F.min("__v").alias("a"), F.max("__v").alias("b"), F.count(F.lit(1)).alias("n")).first()  # three numbers
     both = rows.select(F.col(key).alias("__k"), F.col(value).alias("__v"), F.lit(1).alias("__row")).unionByName(known, allowMissingColumns=True)
-    share = F.coalesce(F.try_divide(F.col("__v") - F.col("__a"), F.col("__b") - F.col("__a")), F.lit(0.0))
-    placed = both.join(ends).withColumn("__cell", F.floor(F.greatest(F.lit(-1.0), F.least(F.lit(1000.0), share * 1000))))
+    width = None if ends["n"] == 0 else float(ends["b"]) - float(ends["a"])
+    share = F.coalesce(F.try_divide(F.col("__v") - F.lit(ends["a"]), F.lit(width).cast("double")), F.lit(0.0))
+    placed = both.withColumn("__cell", F.floor(F.greatest(F.lit(-1.0), F.least(F.lit(1000.0), share * 1000))))
     below = Window.partitionBy(F.lit(1)).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = placed.groupBy("__cell").agg(F.sum("__c").alias("__own")).withColumn("__below", F.coalesce(F.sum("__own").over(below), F.lit(0)))
     upto = Window.partitionBy("__cell").orderBy("__v").rangeBetween(Window.unboundedPreceding, 0)
     counted = placed.withColumn("__in", F.coalesce(F.sum("__c").over(upto), F.lit(0))).join(F.broadcast(cells.select("__cell", "__below")), "__cell")
-    at = (F.col("__in") + F.col("__below")) / F.col("__n")
+    at = F.try_divide(F.col("__in") + F.col("__below"), F.lit(ends["n"]))
     return counted.where("__row = 1").select(F.col("__k").alias(key), F.col("__v").alias(value), at.alias("share"))

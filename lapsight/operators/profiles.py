@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapsight.operators import series
+from lapsight.operators.staging import drop, stage
+from lapsight.operators.uncertainty import crossed
 
 
 def quantile_columns(value: str, named: dict[str, float]) -> Column:
@@ -36,20 +38,40 @@ def zero_filled_bins(rows: DataFrame, group: str, bin_of: Column, bins: int) ->
 
 
 def prefix_quantiles(rows: DataFrame, order: str, value: str, quantiles: Sequence[float], least: int = 3) -> DataFrame:
-    """Quantiles of all values up to each step of ``order``.
+    """Quantiles of all values up to each step of ``order``; a written table.
 
-    Equal values are counted first; each step then gets the counts of the steps
-    before it, so the join has steps squared times distinct values per step
-    and the quantiles weigh values by their counts.
+    Rows are counted by value and step, dealt by range of values and written.
+    Counts of the ranges, added up over steps and then over ranges, tell which
+    range holds a step's place; only that range is read for the step. So a
+    place costs one range, whatever the steps before it hold.
     """
-    counts = rows.groupBy(order, value).agg(F.count(F.lit(1)).alias("__n"))
-    steps = rows.select(F.col(order).alias("__upto")).distinct()
-    upto = counts.join(steps, F.col(order) <= F.col("__upto"))  # a list of checkpoints
-    out = upto.groupBy(F.col("__upto").alias(order)).agg(
-        F.sum("__n").alias("n"), F.percentile(value, F.array(*[F.lit(q) for q in quantiles]), F.col("__n")).alias("q")
-    )
-    names = [f"p{round(100 * q)}" for q in quantiles]
-    return out.where(F.col("n") >= least).select(order, "n", *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
+    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(order).alias("__step"), F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    dealt = stage(counts.repartitionByRange("__v", "__step").withColumn("__part", F.spark_partition_id()), "prefix-counts")
+    sums = dealt.groupBy("__step", "__part").agg(F.sum("__n").alias("__m"))
+    grid = crossed(rows.select(F.col(order).alias("__step")).distinct(), dealt.select("__part").distinct())  # steps times ranges
+    past = Window.partitionBy("__part").orderBy("__step").rowsBetween(Window.unboundedPreceding, 0)
+    filled = grid.join(sums, ["__step", "__part"], "left").withColumn("__m", F.sum(F.coalesce("__m", F.lit(0))).over(past))
+    step = Window.partitionBy("__step")
+    before = step.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = filled.withColumn("__start", F.coalesce(F.sum("__m").over(before), F.lit(0))).withColumn("__total", F.sum("__m").over(step))
+    names = {f"p{round(100 * q)}": float(q) for q in quantiles}
+    wanted = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(q).alias("share")) for n, q in names.items()])
+    place = F.col("__p.share") * (F.col("__total") - 1)
+    asked = ranges.where(F.col("__total") >= least).withColumn("__p", F.explode(wanted))
+    asked = asked.select(F.col("__step").alias("__upto"), "__part", "__start", "__m", "__total", F.col("__p.name").alias("__name"), place.alias("__place"), F.explode(F.array_distinct(F.array(F.floor(place), F.ceil(place)))).alias("__at"))
+    asked = asked.where((F.col("__start") <= F.col("__at")) & (F.col("__at") < F.col("__start") + F.col("__m")))
+    needed = asked.select("__upto", "__part").distinct()
+    near = dealt.join(needed, "__part").where("__step <= __upto").groupBy("__upto", "__part", "__v").agg(F.sum("__n").alias("__n"))
+    inside = Window.partitionBy("__upto", "__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    hit = near.withColumn("__less", F.coalesce(F.sum("__n").over(inside), F.lit(0))).join(asked, ["__upto", "__part"])
+    within = F.col("__at") - F.col("__start")
+    hit = hit.where((F.col("__less") <= within) & (within < F.col("__less") + F.col("__n")))
+    above = F.col("__place") - F.floor("__place")
+    part_of = F.when(F.col("__at") == F.floor("__place"), 1 - above).otherwise(above)
+    out = hit.groupBy(F.col("__upto").alias(order)).agg(F.max("__total").alias("n"), *[F.sum(F.when(F.col("__name") == n, F.col("__v") * part_of)).alias(n) for n in names])
+    found = stage(out, "prefix-quantiles")
+    drop(dealt)
+    return found
 
 
 def grade_materiality(profile: DataFrame, axis: str, height: str, spread: str, window: int) -> DataFrame:

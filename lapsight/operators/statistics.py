@@ -9,27 +9,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapsight.operators import ordered
-from lapsight.operators.staging import drop
+from lapsight.operators.staging import drop, stage
 
 
 def split_half(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
-    """Medians of the first and second half against the scale of the whole; adequate from 20 rows and within 5 %."""
-    w = Window.partitionBy(*keys)
-    numbered = rows.withColumn("__i", F.row_number().over(w.orderBy(*order))).withColumn("__n", F.count(F.lit(1)).over(w))
-    half = F.floor(F.col("__n") / 2)
-    v = F.col(value)
-    out = numbered.groupBy(*keys).agg(
-        F.max("__n").alias("n"),
-        F.median(value).alias("m"),
-        F.median(F.when(F.col("__i") <= half, v)).alias("a"),
-        F.median(F.when(F.col("__i") > half, v)).alias("b"),
-        F.stddev_pop(value).alias("sp"),
-        F.stddev_samp(value).alias("ss"),
+    """Medians of the first and second half against the scale of the whole; adequate from 20 rows and within 5 %.
+
+    All rows are numbered in one order of groups and of ``order``, dealt by its
+    ranges, so a large group is spread over tasks.
+    """
+    columns = list(dict.fromkeys([*keys, *order, value]))
+    numbered = ordered.numbered(rows.select(*columns), [F.col(c) for c in (*keys, *order)], "__i")
+    group = F.struct(*keys).alias("__k")
+    sizes = stage(
+        numbered.groupBy(group).agg(F.min("__i").alias("__first"), F.count(F.lit(1)).alias("n"), F.stddev_pop(value).alias("sp"), F.stddev_samp(value).alias("ss")), "halves"
     )
+    halves = numbered.withColumn("__k", F.struct(*keys)).join(sizes, "__k").withColumn("__early", F.col("__i") - F.col("__first") < F.floor(F.col("n") / 2))
+    parts = {"m": F.col(value), "a": F.when(F.col("__early"), F.col(value)), "b": F.when(~F.col("__early"), F.col(value))}
+    middle = ordered.quantiles(halves.select("__k", *[c.alias(f"__{n}") for n, c in parts.items()]), ["__k"], {n: F.col(f"__{n}") for n in parts}, {n: (n, 0.5) for n in parts})
+    out = sizes.join(middle, "__k", "left")
     difference = F.abs(F.coalesce("a", "b") - F.col("b"))
     relative = difference / F.greatest(F.abs("m"), F.col("sp"), F.lit(1e-9))
     return out.select(
-        *keys,
+        "__k.*",
         "n",
         difference.alias("difference"),
         relative.alias("relative"),

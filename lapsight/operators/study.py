@@ -102,37 +102,27 @@ def selected_gate(gates: DataFrame, chosen: Column) -> DataFrame:
     return gates.where(chosen).join(sure).drop("sure")
 
 
-#: Recommendations by urgency, the priority being the place; any other comes last, with OTHER_PRIORITY.
-RECOMMENDATIONS = ("must_fix", "recommended_review", "rejected", "accepted", "not_a_candidate")
-OTHER_PRIORITY = 9
+def reviewed(evidence: DataFrame, context: DataFrame, key: str, status: str, urgency: Sequence[str], actions: Sequence[tuple[str, str]], otherwise: str, last: int = 9) -> DataFrame:
+    """Evidence with its context's columns, ``review_priority`` (the status's place in ``urgency``, else ``last``) and ``suggested_action``.
 
+    ``actions`` are pairs of a condition, as an SQL expression over all columns,
+    and an action's name; the first condition that is true decides, one that is
+    null does not hold. Evidence without context stays, with nulls.
+    """
+    place = F.array_position(F.array(*[F.lit(r) for r in urgency]), F.col(status))
+    priority = F.when(place > 0, place - 1).otherwise(last).cast("long")
+    action = F.coalesce(*[F.when(F.expr(condition), F.lit(name)) for condition, name in actions], F.lit(otherwise))
+    return evidence.join(context, key, "left").withColumn("review_priority", priority).withColumn("suggested_action", action)
 
-def gate_review(evidence: DataFrame, events: DataFrame, event: str, least_passes: int, weak: float = 50.0) -> DataFrame:
-    """Evidence of each gate with its event's columns, a review priority and the action that its weakest point asks for.
 
-    Evidence without an event stays, with nulls; null counts and scores are
-    taken as strong enough. Actions are names: ``separates_laps``,
-    ``not_nominated``, ``review_assumptions`` (with the event's flags in
-    ``assumptions``), ``keep_entry_only``, ``keep_both``, ``verify_anchor``,
-    ``add_laps``, ``check_grouping``, ``move_entry_window``, ``add_vehicle``
-    and ``review_evidence``. The first that applies is taken.
-    """
-    is_ = lambda x: F.col("recommendation") == x
-    flags = F.filter(F.split(F.coalesce("review_flags", F.lit("")), ";"), lambda f: f != "")
-    actions = [
-        (is_("not_a_candidate") & (F.col("analysis_role") == "lap_gate"), "separates_laps"),
-        (is_("not_a_candidate"), "not_nominated"),
-        (is_("accepted") & (F.size("assumptions") > 0), "review_assumptions"),
-        (is_("accepted") & (F.col("sustained_gate_status") == "entry_only_fallback"), "keep_entry_only"),
-        (is_("accepted"), "keep_both"),
-        (is_("must_fix"), "verify_anchor"),
-        (F.col("valid_pass_count") < least_passes, "add_laps"),
-        (F.col("speed_repeatability_score") < weak, "check_grouping"),
-        (F.col("braking_evidence_score") < weak, "move_entry_window"),
-        (~F.col("cross_vehicle_status").eqNullSafe("measured"), "add_vehicle"),
-    ]
-    place = F.array_position(F.array(*[F.lit(r) for r in RECOMMENDATIONS]), F.col("recommendation"))
-    priority = F.when(place > 0, place - 1).otherwise(OTHER_PRIORITY)
-    first = F.coalesce(*[F.when(condition, F.lit(name)) for condition, name in actions], F.lit("review_evidence"))
-    out = evidence.join(events, event, "left").withColumn("assumptions", flags)
-    return out.withColumn("review_priority", priority.cast("long")).withColumn("suggested_action", first)
+def status_counts(rows: DataFrame, keys: Sequence[str], status: str, subsets: Mapping[str, Column]) -> DataFrame:
+    """Per group and status: rows, their share of the group, and how many are in each subset."""
+    n = F.count(F.lit(1))
+    out = rows.groupBy(*keys, status).agg(n.alias("n"), *[F.count_if(c).alias(name) for name, c in subsets.items()])
+    return out.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*keys)))  # a row per status
+
+
+def marker_rows(rows: DataFrame, keep: Sequence[str], markers: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """(keep, marker, place, value, at): one row per marker that has a place; ``at`` is the marker's position in the list."""
+    each = [F.struct(F.lit(i).alias("at"), F.lit(m).alias("marker"), F.col(p).cast("double").alias("place"), F.col(v).cast("double").alias("value")) for i, (m, (p, v)) in enumerate(markers.items())]
+    return rows.select(*keep, F.inline(F.array(*each))).where("place IS NOT NULL")

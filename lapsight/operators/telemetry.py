@@ -236,12 +236,13 @@ def bracketed_outliers(
 ) -> DataFrame:
     """Rows of short runs of large errors whose neighbours on both sides are near the course and, with ``time``, at most ``bridge_s`` apart."""
     w = Window.partitionBy(*keys).orderBy(order)
-    runs = series.true_runs(matched, keys, [order], F.col(error) >= far).where(F.col("n") <= most)
-    numbered = matched.withColumn("__i", F.row_number().over(w) - 1)
-    at = series.seconds(F.col(time)) if time else F.lit(0.0)
-    side = lambda place, e, t: numbered.select(*keys, place, F.col(error).alias(e), at.alias(t))
-    before = runs.join(side((F.col("__i") + 1).alias("start"), "__a", "__ta"), [*keys, "start"])
-    both = before.join(side((F.col("__i") - 1).alias("end"), "__b", "__tb"), [*keys, "end"])
-    sound = (F.col("__a") <= near) & (F.col("__b") <= near) & (F.col("__tb") - F.col("__ta") <= bridge_s)
-    bad = both.where(sound).select(*keys, F.explode(F.sequence("start", "end")).alias("__i"))
-    return numbered.join(bad, [*keys, "__i"], "left_semi").drop("__i")
+    far_off = F.coalesce(F.col(error) >= far, F.lit(False))
+    here = F.struct(F.col(error).alias("error"), (series.seconds(F.col(time)) if time else F.lit(0.0)).alias("t"), F.row_number().over(w).alias("i"))
+    numbered = matched.withColumn("__here", here).withColumn("__sound", F.when(~far_off, F.col("__here")))
+    # a run is maximal, so the nearest rows that are not far off stand right before and behind it
+    before = F.last("__sound", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("__sound", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    seen = numbered.withColumn("__a", before).withColumn("__b", after)
+    size = F.col("__b.i") - F.col("__a.i") - 1
+    close = (F.col("__a.error") <= near) & (F.col("__b.error") <= near) & (F.col("__b.t") - F.col("__a.t") <= bridge_s)
+    return seen.where(far_off & (size <= most) & close).drop("__here", "__sound", "__a", "__b")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapsight.operators import ordered
+from lapsight.operators.staging import stage
 
 #: Track variants of a crossed layout.
 MOST_VARIANTS = 10_000
@@ -163,6 +164,7 @@ def paired_bootstrap(rows: DataFrame, study: Sequence[str], scenario: str, desig
     """
     names = list(study)
     wide = rows.select(*names, F.col(scenario).alias("__s"), F.col(design).cast("string").alias("design"), F.col(regret).alias("__r"), F.col(win).alias("__w"))
+    wide = stage(wide, "paired")
     sizes = wide.groupBy(*names, "design").agg(F.count_distinct("__s").alias("m"))
     whole = sizes.groupBy(F.struct(*names).alias("__k")).agg(F.min("m").alias("a"), F.max("m").alias("b"))
     whole = whole.where(F.when(F.col("a") == F.col("b"), F.lit(True)).otherwise(F.raise_error(F.lit("every design needs every scenario")).cast("boolean")))

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from lapsight.operators import gate_draws as gates
 from lapsight.operators import robustness
-from lapsight.operators.staging import shared_dir
+from lapsight.operators.staging import shared_dir, stage
 from lapsight.plans.registry import query, rounded, table
-from lapsight.sources import fit, publish
+from lapsight.sources import fit, publish, tracks
 
 
 @query(
@@ -104,7 +104,7 @@ def gate_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line numbers as gates, suppliers as laps, customers as draws; once with laps that have all gates, once with none that has."""
     c = F.col
     item = table(spark, sf_dir, "lineitem").groupBy(c("l_linenumber").alias("gate"), c("l_suppkey").alias("lap")).agg(F.avg("l_quantity").alias("v"))
-    draws = table(spark, sf_dir, "customer").select(c("c_custkey").alias("replicate"))
+    draws = stage(table(spark, sf_dir, "customer").select(c("c_custkey").alias("replicate")), "draws")
     u_lap = (c("replicate") * 7919 + 13) % 1009 / 1009.0
     u_gate = (c("replicate") * 10473 + c("gate") * 31) % 2003 / 2003.0
     found = []
@@ -112,3 +112,31 @@ def gate_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
         one = gates.gate_draws(samples, draws, "gate", "v", ["lap"], u_lap=u_lap, u_gate=u_gate)
         found.append(one.withColumn("layout", F.lit(layout)))
     return rounded(found[0].unionByName(found[1]))
+
+
+@query(
+    "clean_fixes",
+    """
+WITH k AS (SELECT user_id, date_trunc('day', ts) AS t, value, coalesce(value BETWEEN 5 AND 450, false) AS ok FROM events)
+SELECT user_id, CAST(epoch(t) AS BIGINT) AS second, count(*) AS fixes, round(median(value), 6) + 0.0 AS value FROM k WHERE ok GROUP BY user_id, t""",
+)
+def clean_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("user_id", F.date_trunc("day", "ts").alias("t"), "value")
+    kept, _ = tracks.clean_fixes(rows, ["user_id"], "t", ["value"], F.col("value").between(5, 450))
+    second = F.floor(F.unix_micros(F.col("t").cast("timestamp")) / 1e6)
+    return rounded(kept.select("user_id", second.alias("second"), "fixes", "value"))
+
+
+@query(
+    "extension_values",
+    """
+SELECT c_custkey, c_mktsegment AS segment, CAST(c_acctbal AS VARCHAR) AS balance, CASE WHEN c_custkey % 2 = 0 THEN CAST(c_nationkey AS VARCHAR) END AS nation FROM customer""",
+)
+def extension_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' columns as elements of two makers, nested and repeated, read back by name."""
+    c = F.col
+    inner = F.concat(F.lit("<a:box><a:v unit='x'> "), c("c_acctbal").cast("string"), F.lit(" </a:v></a:box><a:v>second</a:v>"))
+    nation = F.when(c("c_custkey") % 2 == 0, F.concat(F.lit("<b:v>"), c("c_nationkey").cast("string"), F.lit("</b:v>"))).otherwise("<b:v/>")
+    xml = F.concat(F.lit("<seg>"), c("c_mktsegment"), F.lit("</seg>"), inner, nation)
+    found = table(spark, sf_dir, "customer").select("c_custkey", tracks.extension_values(xml).alias("m"))
+    return found.select("c_custkey", c("m")["seg"].alias("segment"), c("m")["a:v"].alias("balance"), c("m")["b:v"].alias("nation"))

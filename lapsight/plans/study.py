@@ -269,6 +269,23 @@ def interval_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("p_partkey", "share", has("empty_interval").alias("empty"), has("near_full_lap").alias("near_full")))
 
 
+# Recommendations by urgency, and which action is suggested for which evidence; the first that holds.
+# Scores of the test tables are near 43 and passes near 550, so that is where weak and few begin.
+URGENCY = ("must_fix", "recommended_review", "rejected", "accepted", "not_a_candidate")
+GATE_ACTIONS = (
+    ("recommendation = 'not_a_candidate' AND analysis_role = 'lap_gate'", "separates_laps"),
+    ("recommendation = 'not_a_candidate'", "not_nominated"),
+    ("recommendation = 'accepted' AND size(assumptions) > 0", "review_assumptions"),
+    ("recommendation = 'accepted' AND sustained_gate_status = 'entry_only_fallback'", "keep_entry_only"),
+    ("recommendation = 'accepted'", "keep_both"),
+    ("recommendation = 'must_fix'", "verify_anchor"),
+    ("valid_pass_count < 550", "add_laps"),
+    ("speed_repeatability_score < 43", "check_grouping"),
+    ("braking_evidence_score < 43", "move_entry_window"),
+    ("NOT cross_vehicle_status <=> 'measured'", "add_vehicle"),
+)
+
+
 @query(
     "gate_review",
     """
@@ -307,6 +324,30 @@ def gate_review(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(debt, F.concat(F.lit("in_debt;"), F.when(near, "near").otherwise(""))).otherwise("").alias("review_flags"),
         F.when(F.col("s_nationkey") < 8, "lap_gate").otherwise("speed_gate").alias("analysis_role"),
     )
-    # scores of these tables are near 43, so that is where weak begins
-    out = study.gate_review(evidence, places, "gate", 550, 43.0)
+    split = F.filter(F.split(F.coalesce("review_flags", F.lit("")), ";"), lambda f: f != "")
+    out = study.reviewed(evidence, places.withColumn("assumptions", split), "gate", "recommendation", URGENCY, GATE_ACTIONS, "review_evidence")
     return out.select("gate", "recommendation", "review_priority", "suggested_action", F.size("assumptions").cast("long").alias("assumptions"))
+
+
+@query(
+    "status_counts",
+    """
+WITH s AS (SELECT o_orderpriority AS k, o_orderstatus AS status, count(*) AS n, count(*) FILTER (o_totalprice > 200000) AS dear, count(*) FILTER (o_custkey % 2 = 0 AND o_totalprice > 100000) AS even FROM orders GROUP BY ALL)
+SELECT *, round(n / sum(n) OVER (PARTITION BY k), 6) + 0.0 AS share FROM s""",
+)
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").withColumnsRenamed({"o_orderpriority": "k", "o_orderstatus": "status"})
+    subsets = {"dear": F.col("o_totalprice") > 200000, "even": (F.col("o_custkey") % 2 == 0) & (F.col("o_totalprice") > 100000)}
+    return rounded(study.status_counts(orders, ["k"], "status", subsets))
+
+
+@query(
+    "marker_rows",
+    """
+SELECT o_orderkey, 'ordered' AS marker, 0 AS at, CAST(o_custkey AS DOUBLE) AS place, o_totalprice AS value FROM orders
+UNION ALL SELECT o_orderkey, 'paid', 1, CASE WHEN o_custkey % 3 > 0 THEN CAST(o_custkey AS DOUBLE) / 2 END, o_totalprice / 4 FROM orders WHERE o_custkey % 3 > 0""",
+)
+def marker_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").withColumn("half", F.when(F.col("o_custkey") % 3 > 0, F.col("o_custkey") / 2)).withColumn("quarter", F.col("o_totalprice") / 4)
+    out = study.marker_rows(orders, ["o_orderkey"], {"ordered": ("o_custkey", "o_totalprice"), "paid": ("half", "quarter")})
+    return out.withColumn("at", F.col("at").cast("int"))

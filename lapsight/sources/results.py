@@ -94,3 +94,46 @@ def flatten(rows: DataFrame, separator: str = ".") -> DataFrame:
                 yield name
 
     return rows.select(*[F.col(n).alias(n.replace(".", separator if separator != "." else "_")) for n in leaves(rows.schema)])
+
+
+def _toml_text(text: str) -> str:
+    return json.dumps(text, ensure_ascii=False).replace("\x7f", "\\u007f")
+
+
+def _toml_value(value: Any) -> str:
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    if isinstance(value, float):
+        return "nan" if value != value else ("inf" if value > 0 else "-inf") if value in (float("inf"), float("-inf")) else repr(value)
+    if isinstance(value, int):
+        return str(value)
+    if isinstance(value, str):
+        return _toml_text(value)
+    if hasattr(value, "isoformat"):
+        return value.isoformat()
+    if isinstance(value, Mapping):
+        return "{" + ", ".join(f"{_toml_key(k)} = {_toml_value(v)}" for k, v in value.items()) + "}"
+    if isinstance(value, list | tuple):
+        return "[" + ", ".join(map(_toml_value, value)) + "]"
+    raise TypeError(f"TOML has no value for {type(value).__name__}")
+
+
+def _toml_key(key: str) -> str:
+    return key if key and all(c.isascii() and (c.isalnum() or c in "-_") for c in key) else _toml_text(key)
+
+
+def toml_text(document: Mapping[str, Any]) -> str:
+    """A TOML document: values of a table first, then its tables; tables within arrays are written inline. None is an error."""
+    out: list[str] = []
+
+    def table(node: Mapping[str, Any], path: tuple[str, ...]) -> None:
+        plain = {k: v for k, v in node.items() if not isinstance(v, Mapping)}
+        if path and (plain or not node):
+            out.append(f"[{'.'.join(map(_toml_key, path))}]")
+        out.extend(f"{_toml_key(k)} = {_toml_value(v)}" for k, v in plain.items())
+        for k, v in node.items():
+            if isinstance(v, Mapping):
+                table(v, (*path, k))
+
+    table(document, ())
+    return "\n".join(out) + "\n"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Explicit, so that a document with entities fails instead of being inferred.
@@ -99,3 +99,59 @@ def optional_channels(rows: DataFrame, aliases: dict[str, list[str]]) -> DataFra
             text = F.lower(F.trim(F.col(there[0]).cast("string")))
             out = out.withColumn(name, F.when(text.isin(*yes), 1.0).when(text.isin(*no), 0.0).otherwise(text.try_cast("double")))
     return out
+
+
+def clean_fixes(points: DataFrame, keys: list[str], ts: str, values: list[str], valid: Column) -> tuple[DataFrame, DataFrame]:
+    """Valid rows with one row per time of a key, the medians of its values; and per key the counts of what was left out.
+
+    A row that is not valid, or has no time, is left out; ``repeated`` counts the
+    rows that were joined to another of the same time.
+    """
+    marked = points.withColumn("__ok", F.coalesce(valid, F.lit(False)) & F.col(ts).isNotNull())
+    kept = marked.where("__ok").groupBy(*keys, ts).agg(F.count(F.lit(1)).alias("fixes"), *[F.median(v).alias(v) for v in values])
+    all_rows = marked.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("__ok")).alias("invalid"))
+    joined = kept.groupBy(F.struct(*keys).alias("__k")).agg(F.sum(F.col("fixes") - 1).alias("repeated"))
+    counts = all_rows.withColumn("__k", F.struct(*keys)).join(joined, "__k", "left").drop("__k").withColumn("repeated", F.coalesce("repeated", F.lit(0)))
+    return kept, counts
+
+
+def migrated_anchors(rows: DataFrame, aliases: dict[str, list[str]], needed: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Anchors from a table with other headers, and the rows that cannot be taken, with the reason.
+
+    A header counts whatever its case and with spaces or dashes for underscores;
+    the first alias that is there is taken. Rows that lack a needed value, or
+    whose position is no position, are rejected with the missing column's name
+    or ``invalid_position``. A needed column without any alias is an error.
+    """
+    plain = {c.strip().lower().replace(" ", "_").replace("-", "_"): c for c in reversed(rows.columns)}
+    out = {}
+    for name, others in aliases.items():
+        there = [plain[a] for a in [name, *others] if a in plain]
+        if there:
+            text = F.trim(F.col(f"`{there[0]}`").cast("string"))
+            out[name] = F.when(text != "", text)
+        elif name in needed:
+            raise ValueError(f"no column for {name}; there are {', '.join(rows.columns)}")
+    named = rows.select(*[c.alias(n) for n, c in out.items()])
+    lat, lon = (F.col(c).try_cast("double") if c in out else F.lit(None).cast("double") for c in ("latitude_deg", "longitude_deg"))
+    sound = F.coalesce(lat.between(-90, 90) & lon.between(-180, 180), F.lit(False))
+    reason = F.coalesce(*[F.when(F.col(n).isNull(), F.lit(f"no {n}")) for n in needed], F.when(~sound, F.lit("invalid_position")))
+    judged = named.withColumn("reason", reason)
+    typed = judged.where("reason IS NULL").drop("reason").withColumn("latitude_deg", lat).withColumn("longitude_deg", lon)
+    return typed, judged.where("reason IS NOT NULL")
+
+
+def extension_values(xml: Column) -> Column:
+    """The leaf elements of an extensions text as a map from prefixed names to their texts, in order; of a repeated name the first counts.
+
+    Attributes and elements that hold others are not leaves, and a name keeps
+    its prefix, so equal names of two makers stay apart.
+    """
+    pattern = r"<([A-Za-z_][\w.:-]*)(?:\s[^<>]*)?>\s*([^<>]+?)\s*</\1\s*>"
+    names, texts = F.regexp_extract_all(xml, F.lit(pattern), 1), F.regexp_extract_all(xml, F.lit(pattern), 2)
+    pairs = F.zip_with(names, texts, lambda k, v: F.struct(k.alias("key"), v.alias("value")))
+    return F.aggregate(
+        pairs,
+        F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")),
+        lambda m, p: F.when(F.map_contains_key(m, p["key"]), m).otherwise(F.map_concat(m, F.map_from_arrays(F.array(p["key"]), F.array(p["value"])))),
+    )

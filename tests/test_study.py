@@ -1,8 +1,10 @@
 """Study tables on small frames."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from lapsight.operators import relations, study, uncertainty
+from lapsight.plans import study as plans
 
 
 def test_line_distance(spark):
@@ -65,7 +67,10 @@ def test_gate_review_takes_the_first_action(spark):
         (7, "accepted", 9, 90.0, 90.0, "measured", "entry_only_fallback"),
     ]
     places = spark.createDataFrame([(1, None, "speed_gate"), (2, "", "speed_gate"), (6, "", "lap_gate"), (7, "a;;b", "speed_gate")], "gate long, review_flags string, analysis_role string")
-    out = {r["gate"]: r for r in study.gate_review(spark.createDataFrame(rows, columns), places, "gate", 3).collect()}
+    split = F.filter(F.split(F.coalesce("review_flags", F.lit("")), ";"), lambda f: f != "")
+    actions = [(c.replace("550", "3").replace("43", "50"), a) for c, a in plans.GATE_ACTIONS]
+    found = study.reviewed(spark.createDataFrame(rows, columns), places.withColumn("assumptions", split), "gate", "recommendation", plans.URGENCY, actions, "review_evidence")
+    out = {r["gate"]: r for r in found.collect()}
     want = ["keep_both", "keep_entry_only", "add_laps", "move_entry_window", "add_vehicle", "separates_laps", "review_assumptions"]
     assert [out[i]["suggested_action"] for i in range(1, 8)] == want
     assert [out[i]["review_priority"] for i in range(1, 8)] == [3, 3, 2, 2, 9, 4, 3] and out[7]["assumptions"] == ["a", "b"]
