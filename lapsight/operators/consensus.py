@@ -42,7 +42,7 @@ class Rules:
     rounds: int = 6
     tolerance_m: float = 0.1
     spacing_m: float = 3.0
-    smooth: tuple[int, int] = (5, 3)
+    smooth: tuple[int, int] = (5, 5)
 
 
 @dataclass(frozen=True)

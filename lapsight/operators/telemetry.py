@@ -73,19 +73,28 @@ def excursions(points: DataFrame, most_points: int = 3, leg_m: float = 35.0, top
     for k in range(most_points + 1):
         rows = rows.withColumn(f"n{k}", F.lead("p", k).over(w))
 
-    def leg(a: Column, b: Column) -> Column:
-        return haversine_m(a["lat"], a["lon"], b["lat"], b["lon"])
+    def leg(a: str, b: str) -> Column:
+        return haversine_m(F.col(a)["lat"], F.col(a)["lon"], F.col(b)["lat"], F.col(b)["lon"])
 
-    def speed(a: Column, b: Column) -> Column:
-        return F.when(b["t"] > a["t"], leg(a, b) / (b["t"] - a["t"]))
+    # each leg is a column of its own, so that its distance is computed once
+    legs = {"out": leg("before", "n0")} | {f"back{k}": leg(f"n{k - 1}", f"n{k}") for k in range(1, most_points + 1)} | {f"bridge{k}": leg("before", f"n{k}") for k in range(1, most_points + 1)}
+    rows = rows.withColumns(legs)
+
+    def speed(way: str, a: str, b: str) -> Column:
+        return F.when(F.col(b)["t"] > F.col(a)["t"], F.col(way) / (F.col(b)["t"] - F.col(a)["t"]))
+
+    rows = rows.withColumns(
+        {"v_out": speed("out", "before", "n0")}
+        | {f"v_back{k}": speed(f"back{k}", f"n{k - 1}", f"n{k}") for k in range(1, most_points + 1)}
+        | {f"v_bridge{k}": speed(f"bridge{k}", "before", f"n{k}") for k in range(1, most_points + 1)}
+    )
 
     def burst(k: int) -> Column:
-        before, last, after = F.col("before"), F.col(f"n{k - 1}"), F.col(f"n{k}")
-        out, back, bridge = leg(before, F.col("p")), leg(last, after), leg(before, after)
-        speeds = [speed(before, F.col("p")), speed(last, after), speed(before, after)]
+        out, back, bridge = F.col("out"), F.col(f"back{k}"), F.col(f"bridge{k}")
+        speeds = [F.col("v_out"), F.col(f"v_back{k}"), F.col(f"v_bridge{k}")]
         timed = speeds[0].isNotNull() & speeds[1].isNotNull() & speeds[2].isNotNull()
         fast = (out >= leg_m) & (back >= leg_m) & (speeds[0] > speed_factor * top_speed) & (speeds[1] > speed_factor * top_speed)
-        plain = (speeds[2] <= top_speed) & (after["t"] - before["t"] <= bridge_s)
+        plain = (speeds[2] <= top_speed) & (F.col(f"n{k}")["t"] - F.col("before")["t"] <= bridge_s)
         untimed = max(100.0, 3 * leg_m)
         return F.when(timed, fast & plain).otherwise((out >= untimed) & (back >= untimed) & (bridge <= leg_m))
 
