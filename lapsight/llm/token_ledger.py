@@ -1,14 +1,15 @@
 """Token counts by source, language and tokenizer version, maintained by deltas.
 
 A batch of changes becomes signed counts: an insert adds a document and its
-tokens, a delete takes them away, a revision adds the difference. A batch is
-summed and written under its id; totals are sums over all committed batches. A
-batch that is delivered again is not written again, and one that broke off
-before its commit is written anew, so every batch counts once.
+tokens, a delete takes them away, a revision adds the difference. A commit adds
+a batch's sums to the last totals and publishes both the new totals and the
+batch's id as one version, so a reader sees a batch whole or not at all, and
+reading costs the same after any number of batches.
 """
 
 from __future__ import annotations
 
+import atexit
 import base64
 import uuid
 
@@ -17,13 +18,15 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapsight.llm.staging import documents, map_rows, shared_dir, shuffles_removed, spread_join, stage
+from lapsight.llm.staging import _remove, documents, drop, map_rows, shared_dir, shuffles_removed, spread_join, stage
+from lapsight.sources.publish import Conflict, clean, publish, read_table, versions
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WORD = r"[^\x20\x09-\x0D]+"
 KEYS = ("source", "lang", "tokenizer")
 SCHEMA = "source string, lang string, tokenizer string, docs long, tokens long"
+APPLIED = "batch_id string, content string"
 
 
 def signed(changes: DataFrame) -> DataFrame:
@@ -44,39 +47,76 @@ def signed(changes: DataFrame) -> DataFrame:
     )
 
 
+def summed(counts: DataFrame) -> DataFrame:
+    """One row per key that has documents or tokens; sums are taken before the shuffle."""
+    sums = counts.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+    return sums.where((F.col("docs") != 0) | (F.col("tokens") != 0))
+
+
+def content_hash(sums: DataFrame) -> str:
+    """A hash of the rows as a set; nulls are told from other columns' values."""
+    row = F.to_json(F.struct(*KEYS, "docs", "tokens"))
+    total = F.coalesce(F.sum(F.xxhash64(row).cast("decimal(38,0)")), F.lit(0))
+    return sums.select(F.format_string("%d:%s", F.count(F.lit(1)), total.cast("string"))).first()[0]
+
+
 class Ledger:
-    """Totals kept as one small table per committed batch below ``path``."""
+    """Totals and the ids of the batches in them, published together as versions below ``path``.
+
+    Of two writers that start from one version the second is told so by the log
+    and adds its batch to the other's totals instead. The last two versions
+    stay for readers; older ones are removed once they are a day old.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _exists(self, path: str) -> bool:
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(target)
+    def _at(self, name: str, schema: str, version: int) -> DataFrame:
+        return read_table(self.spark, self.path, name, version) if version else self.spark.createDataFrame([], schema)
 
-    def commit(self, batch_id: str, changes: DataFrame) -> bool:
-        """Add a batch; False if it was committed before. Sums are taken before the shuffle."""
-        folder = f"{self.path}/batch={batch_id}"
-        if self._exists(f"{folder}/_SUCCESS"):
-            return False
-        sums = signed(changes).groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+    def _last(self) -> int:
+        return max(versions(self.spark, self.path), default=0)
+
+    def _add(self, version: int, batch_id: str, content: str, sums: DataFrame) -> None:
+        """Publish the totals of ``version`` with ``sums``, if no other version has come since."""
+        ids = self._at("applied", APPLIED, version).unionByName(self.spark.createDataFrame([(batch_id, content)], APPLIED))
+        totals = summed(self._at("totals", SCHEMA, version).unionByName(sums))
         with shuffles_removed(self.spark):
-            sums.write.mode("overwrite").parquet(folder)
-        return True
+            number = publish(self.spark, self.path, {"totals": totals, "applied": ids.coalesce(1)}, expected=version)
+        if number > 1 and number - 1 not in versions(self.spark, self.path):  # an entry that old writers took after it was cleaned away
+            raise Conflict(f"{self.path}: version {version} is long past")
 
-    def batches(self) -> DataFrame:
-        """All committed sums; a folder without its commit mark does not count."""
-        if not self._exists(self.path):
-            return self.spark.createDataFrame([], SCHEMA)
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        found = root.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(root)
-        done = sorted(str(f.getPath()) for f in found if self._exists(f"{f.getPath()}/_SUCCESS"))
-        return self.spark.read.schema(SCHEMA).parquet(*done) if done else self.spark.createDataFrame([], SCHEMA)
+    def commit(self, batch_id: str, changes: DataFrame) -> bool:
+        """Add a batch; False if it was committed before.
+
+        A batch counts once however often it comes. One that comes again with
+        other sums is an error, as is an id that is null or empty.
+        """
+        if not batch_id:
+            raise ValueError("a batch needs an id")
+        sums = stage(summed(signed(changes)), "ledger-batch")
+        try:
+            content = content_hash(sums)
+            while True:
+                version = self._last()
+                known = self._at("applied", APPLIED, version).where(F.col("batch_id") == batch_id).first()
+                if known and known["content"] != content:
+                    raise ValueError(f"batch {batch_id} was committed with other content")
+                if known:
+                    return False
+                try:
+                    self._add(version, batch_id, content, sums)
+                    break
+                except Conflict:
+                    continue
+        finally:
+            drop(sums)
+        clean(self.spark, self.path)
+        return True
 
     def totals(self) -> DataFrame:
-        """One row per key that still has documents or tokens."""
-        sums = self.batches().groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        return sums.where((F.col("docs") != 0) | (F.col("tokens") != 0))
+        """One row per key that still has documents or tokens, as of the last version."""
+        return self._at("totals", SCHEMA, self._last())
 
 
 def word_tokens(text: Column) -> Column:
@@ -119,6 +159,7 @@ def op4_token_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         return rows.select("source", "lang", F.inline(both)).withColumns({"op": F.lit(op), "old_tokens": F.lit(0)})
 
     ledger = Ledger(spark, f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex[:12]}")
+    atexit.register(_remove, spark, ledger.path)
     gone = versions(marked.where("gone"), "delete")
     ledger.commit("1-insert", versions(counted, "insert"))
     ledger.commit("2-delete", gone)

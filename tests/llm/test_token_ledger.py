@@ -22,7 +22,7 @@ def test_broken_commit_is_written_anew(spark, tmp_path):
     ledger = t.Ledger(spark, str(tmp_path / "ledger"))
     rows = spark.createDataFrame([("insert", "a", "en", "v1", 10, None)], CHANGE)
     ledger.commit("1", rows)
-    (tmp_path / "ledger/batch=1/_SUCCESS").unlink()
+    [f.unlink() for f in (tmp_path / "ledger/_log").iterdir()]
     assert totals(ledger) == {}
     assert ledger.commit("1", rows) and totals(ledger) == {("a", "en", "v1"): (1, 10)}
 
@@ -87,3 +87,93 @@ def test_bpe_totals_equal_brute_force(spark):
             want[d["source"], d["lang"]] = (n + 1, k + 1 + len(plain.encode_ordinary(d["text"] or "")))
     out = t.op4_token_ledger(spark, "/root/testdata/sf0.001").where("tokenizer = 'bpe-50k'").collect()
     assert {(r["source"], r["lang"]): (r["docs"], r["tokens"]) for r in out} == want
+
+
+def one(spark, tokens, source="a", op="insert"):
+    return spark.createDataFrame([(op, source, "en", "v1", tokens, None)], CHANGE)
+
+
+def test_a_batch_with_other_content_is_an_error(spark, tmp_path):
+    import pytest
+
+    ledger = t.Ledger(spark, str(tmp_path / "ledger"))
+    rows = spark.createDataFrame([("insert", "a", None, "v1", 3, None), ("insert", None, "a", "v1", 4, None)], CHANGE)
+    assert ledger.commit("1", rows) and not ledger.commit("1", rows.orderBy("tokens").repartition(3))
+    with pytest.raises(ValueError, match="other content"):
+        ledger.commit("1", rows.withColumns({"source": rows["lang"], "lang": rows["source"]}))
+    for none in (None, ""):
+        with pytest.raises(ValueError, match="an id"):
+            ledger.commit(none, rows)
+    assert totals(ledger) == {("a", None, "v1"): (1, 3), (None, "a", "v1"): (1, 4)}
+
+
+def test_the_second_writer_adds_to_the_first(spark, tmp_path, monkeypatch):
+    """Another writer publishes, the same batch or another, after this one has read the version."""
+    for other, want in (("theirs", {("a", "en", "v1"): (2, 12)}), ("mine", {("a", "en", "v1"): (1, 5)})):
+        ledger = t.Ledger(spark, str(tmp_path / other))
+        plain = t.publish
+
+        def late(*args, **options):
+            monkeypatch.setattr(t, "publish", plain)
+            assert t.Ledger(spark, ledger.path).commit(other, one(spark, 7 if other == "theirs" else 5))
+            return plain(*args, **options)
+
+        monkeypatch.setattr(t, "publish", late)
+        assert ledger.commit("mine", one(spark, 5)) == (other == "theirs")
+        assert totals(ledger) == want
+
+
+def test_a_writer_of_long_ago_is_told(spark, tmp_path, monkeypatch):
+    """Its number was taken and cleaned away since, so the log lets it in; it must start again."""
+    ledger = t.Ledger(spark, str(tmp_path / "ledger"))
+    ledger.commit("0", one(spark, 1))
+    plain, steps = t.publish, []
+
+    def late(*args, **options):
+        if not steps:
+            steps.append(1)
+            for i in range(4):
+                ledger.commit(f"theirs-{i}", one(spark, 10))
+            options.pop("expected")
+            log = tmp_path / "ledger/_log"
+            held = {f: f.read_bytes() for f in log.glob("0*.json")}
+            [f.unlink() for f in log.iterdir()]
+            (log / "000000000001.json").write_text("{}")
+            number = plain(*args, **options)
+            [f.unlink() for f in log.iterdir()]
+            [f.write_bytes(b) for f, b in held.items()]
+            return number
+        return plain(*args, **options)
+
+    monkeypatch.setattr(t, "publish", late)
+    assert ledger.commit("mine", one(spark, 100))
+    assert totals(ledger) == {("a", "en", "v1"): (6, 141)}
+
+
+def test_a_failed_publication_leaves_the_totals(spark, tmp_path, monkeypatch):
+    import pytest
+
+    ledger = t.Ledger(spark, str(tmp_path / "ledger"))
+    ledger.commit("1", one(spark, 1))
+
+    def broken(*args, **options):
+        raise OSError("disk")
+
+    with monkeypatch.context() as m:
+        m.setattr(t, "publish", broken)
+        with pytest.raises(OSError):
+            ledger.commit("2", one(spark, 2))
+    assert totals(ledger) == {("a", "en", "v1"): (1, 1)}
+    assert ledger.commit("2", one(spark, 2)) and totals(ledger) == {("a", "en", "v1"): (2, 3)}
+
+
+def test_reading_does_not_grow_with_batches(spark, tmp_path):
+    ledger = t.Ledger(spark, str(tmp_path / "ledger"))
+    files = []
+    for i in range(10):
+        ledger.commit(str(i), one(spark, i))
+        files.append(len(ledger.totals().inputFiles()))
+        assert len(list((tmp_path / "ledger/_log").glob("0*.json"))) <= 2
+    assert files[1:] == files[:-1] and totals(ledger) == {("a", "en", "v1"): (10, 45)}
+    assert ledger.commit("last", spark.createDataFrame([("delete", "a", "en", "v1", 45, None)] + [("delete", "a", "en", "v1", 0, None)] * 9, CHANGE))
+    assert totals(ledger) == {}
