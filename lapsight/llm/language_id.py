@@ -22,6 +22,9 @@ from lapsight.llm.staging import documents, map_rows
 #: Bound of what is fitted: different training texts per language, whole; those of up to USUAL_CHARS characters go first.
 SAMPLE_DOCS = 100
 USUAL_CHARS = 20_000
+#: Characters that a language's texts may have together, its shortest apart, and those of all languages together.
+SAMPLE_CHARS = SAMPLE_DOCS * USUAL_CHARS
+ALL_CHARS = 200_000_000
 LEVEL = 6
 #: Bytes that are compressed at once; all blocks of a text count.
 BLOCK = 1000
@@ -47,8 +50,11 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, tu
     ``docs`` are training documents only. The dictionary is the SAMPLE_DOCS
     different texts of a language with the smallest hashes, whole, or all where
     there are fewer; longer texts than USUAL_CHARS are drawn only where others
-    are too few. Counts cover all documents. A language whose texts have no
-    letters gets blanks; its name is never part of the dictionary.
+    are too few, the shortest first, and none that would bring the language
+    over SAMPLE_CHARS or its equal share of ALL_CHARS; one text always stays.
+    So what reaches the driver is bounded by drawing texts, not by cutting
+    them. Counts cover all documents. A language whose texts have no letters
+    gets blanks; its name is never part of the dictionary.
     """
     labelled = docs.where(F.col(lang).isNotNull() & (F.length(text) > 0))
     drawn = F.xxhash64(F.lit(7), text)
@@ -61,12 +67,15 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, tu
     share = F.create_map(*[F.lit(x) for k, (_, n) in sums.items() for x in (k, min(1.0, 2 * SAMPLE_DOCS / n))])  # twice as many, so that none is short
     draw = (drawn / F.lit(2.0**64)) + 0.5
     usual = F.length(text) <= USUAL_CHARS
+    longer = F.when(usual, 0).otherwise(F.length(text))  # usual ones by hash alone
+    w = Window.partitionBy("lang").orderBy("longer", "drawn")
+    most = min(SAMPLE_CHARS, ALL_CHARS // len(counts))
     sample = (
         labelled.where(draw <= F.element_at(share, F.col(lang)))
-        .select(F.col(lang).alias("lang"), drawn.alias("drawn"), usual.alias("usual"), F.col(text).alias("part"))
+        .select(F.col(lang).alias("lang"), drawn.alias("drawn"), longer.alias("longer"), F.col(text).alias("part"))
         .dropDuplicates(["lang", "drawn"])
-        .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("usual"), "drawn")))
-        .where(F.col("rank") <= SAMPLE_DOCS)
+        .withColumns({"rank": F.row_number().over(w), "chars": F.sum(F.length("part")).over(w.rowsBetween(Window.unboundedPreceding, 0))})
+        .where((F.col("rank") == 1) | ((F.col("rank") <= SAMPLE_DOCS) & (F.col("chars") <= most)))
         .orderBy("lang", "rank")
         .collect()
     )

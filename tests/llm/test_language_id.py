@@ -68,3 +68,14 @@ def test_prediction_equals_plain_compression(spark, docs, rows):
             z = zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
             sizes[k] = sum(len(z.compress(data[i : i + l.BLOCK])) for i in range(0, len(data), l.BLOCK))
         assert r["lang_pred"] == min(order, key=lambda k: sizes[k])
+
+
+def test_the_driver_gets_a_bounded_sample(spark, monkeypatch):
+    """Few usual texts and many long ones: whole texts, shortest first, up to the bound; one of each language stays."""
+    monkeypatch.setattr(l, "ALL_CHARS", 30_000)
+    monkeypatch.setattr(l, "USUAL_CHARS", 1_000)
+    texts = {"aa": ["ab " * 300] + [f"{'xyzuvw'[i]} " * (2_000 + 500 * i) for i in range(6)], "bb": ["q " * 40_000, "r " * 50_000], "cc": ["c d"]}
+    model = l.fit(spark.createDataFrame([(k, v) for k, x in texts.items() for v in x], "lang string, text string"))
+    assert {k: n for k, (_, n) in model.items()} == {"aa": 7, "bb": 2, "cc": 1}
+    assert model["aa"][0] == b"\n".join(l.plain(x) for x in texts["aa"][:3]).strip()  # 900, 4000 and 5000 of 10,000 characters
+    assert model["bb"][0] == texts["bb"][0].strip().encode() and model["cc"][0].strip() == b"c d"
