@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -98,3 +100,53 @@ def interval_audit(features: DataFrame, length: float, near_full: float = 0.9) -
         F.array(F.when(F.col("i.wraps"), "interval_wraps_start_finish"), F.when(span <= 0, "empty_interval"), F.when(span >= near_full * length, "near_full_lap"))
     )
     return features.withColumn("i", at).select("*", F.col("i.start").alias("start_s"), F.col("i.end").alias("end_s"), (span / length).alias("share"), flags.alias("interval_flags")).drop("i")
+
+
+def event_windows(events: DataFrame, course: str, sequence: str, group: str, length: float, windows: Mapping[str, tuple[str, float, float]], most_error: float, apart: float = 3.0) -> DataFrame:
+    """Extent of each placed event relative to its anchor, windows around it, errors and flags for review.
+
+    An event has its place ``anchor_s`` with ``error_m``, the next best
+    place's ``other_error_m``, ``is_interval`` and, for start and end,
+    a place ``<end>_s`` with ``<end>_error_m`` and ``<end>_uncertainty_m`` or,
+    where that place is null, the extent ``before_m`` or ``after_m`` with its
+    uncertainty, to which the anchor's is added. ``windows`` names intervals as
+    (start or end, first offset, last offset). An end that is not after the
+    start is a course further on. Neighbours in the order of ``sequence``, the
+    last and the first included, that overlap are both marked unless they
+    share a ``group``; null groups are one. Null errors raise no flag.
+    """
+    out = events
+    for end, extent, sign in (("start", "before", -1.0), ("end", "after", 1.0)):
+        placed = F.col(f"{end}_s").isNotNull()
+        assumed = F.hypot("anchor_uncertainty_m", f"{extent}_uncertainty_m")
+        out = out.withColumns(
+            {
+                f"{end}_rel": F.when(placed, circular.signed(F.col("anchor_s"), F.col(f"{end}_s"), length)).otherwise(F.col(f"{extent}_m") * sign),
+                f"{end}_source": F.when(placed, "placed").otherwise("assumed"),
+                f"{end}_error_m": F.when(placed, F.col(f"{end}_error_m")).otherwise(F.col("error_m")),
+                f"{end}_uncertainty_m": F.when(placed, F.col(f"{end}_uncertainty_m")).otherwise(assumed),
+            }
+        ).withColumn(f"{end}_effective_m", F.hypot(f"{end}_error_m", f"{end}_uncertainty_m"))
+    out = out.withColumn("end_rel", F.when(F.col("end_rel") <= F.col("start_rel"), F.col("end_rel") + length).otherwise(F.col("end_rel")))
+    for name, (end, first, last) in windows.items():
+        out = out.withColumns({f"{name}_from": F.col(f"{end}_rel") + first, f"{name}_to": F.col(f"{end}_rel") + last})
+
+    around = Window.partitionBy(course).orderBy(sequence, "anchor_s", group)  # a course has tens of events
+    whole = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    own = F.struct((F.col("anchor_s") + F.col("start_rel")).alias("a"), (F.col("anchor_s") + F.col("end_rel")).alias("b"), F.col(group).alias("g"))
+    out = out.withColumn("__own", own).withColumns({"__next": F.lead("__own").over(around), "__first": F.first("__own").over(whole), "__n": F.count(F.lit(1)).over(whole)})
+    starts = F.when(F.col("__next").isNotNull(), F.col("__next.a")).otherwise(F.col("__first.a") + length)
+    same = F.col("__own.g").eqNullSafe(F.when(F.col("__next").isNotNull(), F.col("__next.g")).otherwise(F.col("__first.g")))
+    out = out.withColumn("__hits", F.coalesce((F.col("__n") > 1) & (starts < F.col("__own.b")) & ~same, F.lit(False)))
+    out = out.withColumn("__hit", F.coalesce(F.lag("__hits").over(around), F.last("__hits").over(whole)))
+    far = lambda c: F.col(c) > most_error
+    flags = {
+        "anchor_far": far("error_m"),
+        "other_branch_near": F.col("other_error_m") - F.col("error_m") < apart,
+        "extent_assumed": F.col("is_interval") & (F.col("start_source") == "assumed") & (F.col("end_source") == "assumed"),
+        "start_far": far("start_error_m"),
+        "end_far": far("end_error_m"),
+        "overlaps_neighbour": F.col("__hits") | F.col("__hit"),
+    }
+    listed = F.array_join(F.array_compact(F.array(*[F.when(c, n) for n, c in flags.items()])), ";")
+    return out.withColumn("flags", listed).drop("__own", "__next", "__first", "__n", "__hits", "__hit")

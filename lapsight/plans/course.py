@@ -299,3 +299,44 @@ def consensus_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = consensus.Rules(p95_limit_m=2.0, sustained_error_m=2.0, minimum_sustained=0.3, strong_sustained=0.85, shift_limit_m=0.05, deviations=1.5)
     measures = consensus.node_measures(consensus.left_out(_lap_nodes(spark, sf_dir), "lap"), "lap", rules)
     return rounded(consensus.outlying_laps(measures, "lap", rules))
+
+
+#: Name: end of the feature, first and last offset.
+WINDOWS = {"approach": ("start", -60.0, -20.0), "entry": ("start", -8.0, -1.0), "exit": ("end", 2.0, 14.0)}
+
+
+@query(
+    "event_windows",
+    """
+WITH e AS (SELECT c_nationkey AS course, c_custkey AS seq, c_custkey // 2 AS grp, c_custkey % 2 = 0 AS iv, CAST(c_custkey % 1000 AS DOUBLE) AS s, abs(c_acctbal) / 500 AS er,
+                  CASE WHEN c_custkey % 5 <> 0 THEN abs(c_acctbal) / 500 + c_custkey % 7 END AS alt, c_custkey % 3 = 0 AS hs, c_custkey % 4 = 0 AS he,
+                  (c_custkey + 988) % 1000 AS ss, (c_custkey + c_custkey % 40 - 20) % 1000 AS es, 5.0 + c_custkey % 4 AS bf, 6.0 + c_custkey % 6 AS af FROM customer),
+r AS (SELECT *, CASE WHEN hs THEN -12.0 ELSE -bf END AS sr,
+             CASE WHEN NOT he THEN af WHEN seq % 40 - 20 > 500 THEN seq % 40 - 1020 ELSE seq % 40 - 20 END AS er0,
+             CASE WHEN hs THEN seq % 25 ELSE er END AS se, CASE WHEN he THEN seq % 23 ELSE er END AS ee,
+             CASE WHEN hs THEN 1.5 ELSE sqrt(4 + 1) END AS su, CASE WHEN he THEN 2.5 ELSE sqrt(4 + 9) END AS eu FROM e),
+t AS (SELECT *, CASE WHEN er0 <= sr THEN er0 + 1000 ELSE er0 END AS nr FROM r),
+o AS (SELECT *, lead(s + sr) OVER w AS nx, lead(grp) OVER w AS ng, first(s + sr) OVER v AS fx, first(grp) OVER v AS fg, count(*) OVER (PARTITION BY course) AS n,
+             row_number() OVER w AS i FROM t WINDOW w AS (PARTITION BY course ORDER BY seq), v AS (PARTITION BY course ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+h AS (SELECT *, n > 1 AND CASE WHEN i < n THEN nx < s + nr AND ng <> grp ELSE fx + 1000 < s + nr AND fg <> grp END AS hits FROM o),
+g AS (SELECT *, coalesce(lag(hits) OVER (PARTITION BY course ORDER BY seq), last(hits) OVER (PARTITION BY course ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS hit FROM h)
+SELECT course, seq, sr + 0.0::DOUBLE AS start_rel, nr + 0.0::DOUBLE AS end_rel, CASE WHEN hs THEN 'placed' ELSE 'assumed' END AS start_source, CASE WHEN he THEN 'placed' ELSE 'assumed' END AS end_source,
+       round(sqrt(se ** 2 + su ** 2)::DOUBLE, 6) + 0.0 AS start_effective_m, round(sqrt(ee ** 2 + eu ** 2)::DOUBLE, 6) + 0.0 AS end_effective_m,
+       sr - 60 + 0.0::DOUBLE AS approach_from, sr - 20 + 0.0::DOUBLE AS approach_to, sr - 8 + 0.0::DOUBLE AS entry_from, sr - 1 + 0.0::DOUBLE AS entry_to, nr + 2 + 0.0::DOUBLE AS exit_from, nr + 14 + 0.0::DOUBLE AS exit_to,
+       concat_ws(';', CASE WHEN er > 15 THEN 'anchor_far' END, CASE WHEN alt - er < 2.5 THEN 'other_branch_near' END, CASE WHEN iv AND NOT hs AND NOT he THEN 'extent_assumed' END,
+                 CASE WHEN se > 15 THEN 'start_far' END, CASE WHEN ee > 15 THEN 'end_far' END, CASE WHEN hits OR hit THEN 'overlaps_neighbour' END) AS flags FROM g""",
+)
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as events of their nation's course of 1000 m; a third of the starts and a quarter of the ends are placed."""
+    c, key = F.col, F.col("c_custkey")
+    error = F.abs("c_acctbal") / 500
+    placed = table(spark, sf_dir, "customer").select(
+        c("c_nationkey").alias("course"), key.alias("seq"), F.floor(key / 2).alias("grp"), (key % 2 == 0).alias("is_interval"), (key % 1000).cast("double").alias("anchor_s"),
+        error.alias("error_m"), F.when(key % 5 != 0, error + key % 7).alias("other_error_m"), F.lit(2.0).alias("anchor_uncertainty_m"),
+        F.when(key % 3 == 0, ((key + 988) % 1000).cast("double")).alias("start_s"), (key % 25).cast("double").alias("start_error_m"), F.lit(1.5).alias("start_uncertainty_m"),
+        F.when(key % 4 == 0, F.pmod(key + key % 40 - 20, F.lit(1000)).cast("double")).alias("end_s"), (key % 23).cast("double").alias("end_error_m"), F.lit(2.5).alias("end_uncertainty_m"),
+        (5.0 + key % 4).alias("before_m"), F.lit(1.0).alias("before_uncertainty_m"), (6.0 + key % 6).alias("after_m"), F.lit(3.0).alias("after_uncertainty_m"),
+    )
+    found = events.event_windows(placed, "course", "seq", "grp", 1000.0, WINDOWS, most_error=15.0, apart=2.5)
+    ends = [f"{name}_{side}" for name in WINDOWS for side in ("from", "to")]
+    return rounded(found.select("course", "seq", "start_rel", "end_rel", "start_source", "end_source", "start_effective_m", "end_effective_m", *ends, "flags"))
