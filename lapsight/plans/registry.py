@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("series", "ranking", "evidence", "relations", "reports", "simulations", "study", "course", "sources", "zones", "nested", "arriving", "gates")
+MODULES = ("series", "ranking", "evidence", "relations", "reports", "simulations", "study", "course", "sources", "zones", "nested", "arriving", "gates", "comparison")
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
