@@ -130,10 +130,12 @@ def interpolate(samples: DataFrame, grid: DataFrame, keys: Sequence[str], axis:
     """``grid`` rows with ``value`` by linear interpolation between samples; the end values beyond them.
 
     Samples and grid meet in one ordered union, where each grid row sees the
-    sample before and after it; no row is compared with more than two.
+    sample before and after it; no row is compared with more than two. Both
+    look back, in one order and in the other, as Spark reads a frame that
+    starts at each row again for each row.
     """
-    w = Window.partitionBy(*keys).orderBy(axis, "__grid")
-    before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    w = Window.partitionBy(*keys)
+    before, after = (o.rowsBetween(Window.unboundedPreceding, 0) for o in (w.orderBy(axis, "__grid"), w.orderBy(F.desc(axis), F.desc("__grid"))))
     point = F.when(F.col("__grid") == 0, F.struct(F.col(axis).alias("x"), F.col(value).alias("y")))
     both = samples.where(F.col(value).isNotNull()).select(*keys, axis, value, F.lit(0).alias("__grid")).unionByName(
         grid.select(*keys, axis, F.lit(None).cast("double").alias(value), F.lit(1).alias("__grid"))
@@ -141,7 +143,7 @@ def interpolate(samples: DataFrame, grid: DataFrame, keys: Sequence[str], axis:
     seen = (
         both.withColumn("__p", point)
         .withColumn("__a", F.last("__p", ignorenulls=True).over(before))
-        .withColumn("__b", F.first("__p", ignorenulls=True).over(after))
+        .withColumn("__b", F.last("__p", ignorenulls=True).over(after))
         .where("__grid = 1")
     )
     share = (F.col(axis) - F.col("__a.x")) / (F.col("__b.x") - F.col("__a.x"))

@@ -250,7 +250,8 @@ def bracketed_outliers(
     numbered = matched.withColumn("__here", here).withColumn("__sound", F.when(~far_off, F.col("__here")))
     # a run is maximal, so the nearest rows that are not far off stand right before and behind it
     before = F.last("__sound", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first("__sound", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    behind = Window.partitionBy(*keys).orderBy(F.desc("__here.i")).rowsBetween(Window.unboundedPreceding, -1)  # a frame to the end is read again for each row
+    after = F.last("__sound", ignorenulls=True).over(behind)
     seen = numbered.withColumn("__a", before).withColumn("__b", after)
     size = F.col("__b.i") - F.col("__a.i") - 1
     close = (F.col("__a.error") <= near) & (F.col("__b.error") <= near) & (F.col("__b.t") - F.col("__a.t") <= bridge_s)

@@ -9,6 +9,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from lapsight.operators import comparison as cmp
+from lapsight.operators import series
 
 
 def near(a, b):
@@ -81,3 +82,12 @@ def test_summaries(spark):
     assert [tuple(r) for r in d] == [("a", 3, 2, 0.25, pytest.approx(0.3), 0.5, 0.5, 0.5)]
     c = {r.m: r for r in cmp.case_summary(t, "m", "f", "path", {"s": F.col("s")}).collect()}
     assert (c["a"].scenarios, c["a"].draws, c["a"].f, c["a"].s_median) == (4, 3, "f", 0.5) and (c["b"].scenarios, c["b"].s_median) == (1, None)
+
+
+def test_one_long_group_is_interpolated_in_one_pass(spark):
+    n = 60_000
+    s = spark.range(n).select((F.col("id") * 2).cast("double").alias("x"), (F.col("id") * 3).cast("double").alias("y"))
+    g = spark.range(n).select((F.col("id") * 2 + 0.5).alias("x"))
+    for found in (series.interpolate(s, g, [], "x", "y"), cmp.along(s, g, [], "x", ["y"])):
+        wrong = F.abs(F.col("y") - F.least(F.col("x"), F.lit(2.0 * n - 2)) * 1.5) > 1e-6
+        assert found.agg(F.count(F.lit(1)), F.count_if(wrong)).first() == (n, 0)
