@@ -4,7 +4,8 @@ Candidates are runs of 20 or more characters of the usual encodings. Each gets
 an inferred encoding and three tests against the hypothesis that its characters
 are drawn uniformly from that encoding's alphabet: chi-squared uniformity, runs
 about the middle of the alphabet, and correlation of neighbours. The p-values,
-combined by Fisher's method, are near 0 for words and uniform for keys. Over
+each fitted to short tokens and the last freed of what it shares with the
+second, are combined by Fisher's method: near 0 for words, uniform for keys. Over
 all candidates of one encoding and length class, the count above 0.5 and the
 count near 0 tell how many are random; from that, and from classes of similar
 length where there are few, follows the lowest p-value at which at most
@@ -37,6 +38,8 @@ ALPHABETS = {
 BINS = 20
 MAX_FALSE = 0.05
 SPAN = "array<struct<s:int,e:int>>"
+#: Matches whose places are added up in one fold.
+CHUNK = 256
 #: Length classes are half octaves; everything from 2^12 characters on is one class, so strata are few.
 TOP_CLASS = 24
 #: Length classes on each side that help to estimate, with the weight of so many words; deviations that count as shown.
@@ -56,21 +59,33 @@ def spans(text: Column, pattern: str) -> Column:
 
 
 def _positions(parts: Column) -> Column:
-    lengths = F.arrays_zip(
-        F.transform(parts["between"], lambda x: F.length(x)).alias("b"),
-        F.transform(parts["found"], lambda x: F.length(x)).alias("m"),
+    """Spans of what spans() found. Sums run within CHUNK matches and then over chunks, as each step of a fold copies what it has so far."""
+    lengths = F.filter(
+        F.arrays_zip(F.transform(parts["between"], lambda x: F.length(x)).alias("b"), F.transform(parts["found"], lambda x: F.length(x)).alias("m")),
+        lambda x: x["m"].isNotNull(),
     )
-    return F.aggregate(
-        F.filter(lengths, lambda x: x["m"].isNotNull()),
-        F.struct(F.lit(0).alias("p"), F.array().cast(SPAN).alias("out")),
+
+    def within(chunk: Column) -> Column:
+        return F.aggregate(
+            chunk,
+            F.struct(F.lit(0).alias("p"), F.array().cast(SPAN).alias("out")),
+            lambda a, x: F.struct(
+                (a["p"] + x["b"] + x["m"]).alias("p"),
+                F.concat(a["out"], F.array(F.struct((a["p"] + x["b"]).alias("s"), (a["p"] + x["b"] + x["m"]).alias("e")))).alias("out"),
+            ),
+        )
+
+    firsts = F.when(F.size(lengths) > 0, F.sequence(F.lit(1), F.size(lengths), F.lit(CHUNK)))
+    chunks = F.transform(firsts, lambda i: within(F.slice(lengths, i, F.lit(CHUNK))))
+    placed = F.aggregate(
+        chunks,
+        F.struct(F.lit(0).alias("p"), F.array().cast(f"array<{SPAN}>").alias("out")),
         lambda a, x: F.struct(
-            (a["p"] + x["b"] + x["m"]).alias("p"),
-            F.concat(
-                a["out"], F.array(F.struct((a["p"] + x["b"]).alias("s"), (a["p"] + x["b"] + x["m"]).alias("e")))
-            ).alias("out"),
+            (a["p"] + x["p"]).alias("p"),
+            F.concat(a["out"], F.array(F.transform(x["out"], lambda y: F.struct((y["s"] + a["p"]).alias("s"), (y["e"] + a["p"]).alias("e"))))).alias("out"),
         ),
-        lambda a: a["out"],
     )
+    return F.flatten(placed["out"])
 
 
 def _normal_tail(z: Column) -> Column:
@@ -82,6 +97,39 @@ def _normal_tail(z: Column) -> Column:
     return F.when(z >= 0, half).otherwise(1 - half)
 
 
+def _uneven_tail(chi: Column, k: Column, n: Column) -> Column:
+    """P of a chi-squared statistic of n characters of k at least this large, half of its own weight counted.
+
+    Its mean is k - 1 and its variance 2 (k - 1) (n - 1) / n, so it stands for a
+    scaled chi-squared of somewhat more degrees; it moves in steps of 2 k / n.
+    """
+    free, scale = (k - 1) * n / (n - 1), n / (n - 1)
+
+    def tail(x: Column) -> Column:
+        wide = 2 / (9 * free)
+        return _normal_tail((F.pow(F.greatest(x * scale, F.lit(1e-9)) / free, F.lit(1 / 3)) - (1 - wide)) / F.sqrt(wide))
+
+    return (tail(chi - k / n) + tail(chi + k / n)) / 2
+
+
+def _changes_tail(changes: Column, n: Column) -> Column:
+    """P, both sides, of a number of changes between halves of the alphabet as far from half of n - 1, half of its own weight counted."""
+    off, deviation = F.abs(changes - (n - 1) / 2), F.sqrt((n - 1) / 4)
+    return F.least(_normal_tail(F.greatest(off - 0.5, F.lit(0.0)) / deviation) + _normal_tail((off + 0.5) / deviation), F.lit(1.0))
+
+
+def _own_correlation(changes: Column, products: Column, k: Column, n: Column) -> Column:
+    """The normal value of the neighbours' correlation without what the changes already say.
+
+    Each change makes a product negative: over uniform characters the two
+    values correlate at -(mean distance from the middle) squared over the
+    variance, -3/4 k^2 / (k^2 - 1). Two tests that say the same would count twice.
+    """
+    serial = products / (((k * k - 1) / 12) * F.sqrt(n - 1))
+    common = 0.75 * k * k / (k * k - 1)
+    return (serial + common * (changes - (n - 1) / 2) / F.sqrt((n - 1) / 4)) / F.sqrt(1 - common * common)
+
+
 def encoding(token: Column) -> Column:
     """The narrowest alphabet that spells the token; null where it is only digits."""
     return (
@@ -131,16 +179,11 @@ def battery(tokens: DataFrame, token: str = "token") -> DataFrame:
         ),
     )
     step3 = step2.withColumn("__fold", fold)
-    free = k - 1
-    chi = c("__squares") * k / n - n
-    z_chi = (F.pow(F.greatest(chi, F.lit(1e-9)) / free, F.lit(1 / 3)) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free))
-    z_runs = (c("__fold.runs") - 1 - (n - 1) / 2) / F.sqrt((n - 1) / 4)
-    z_serial = c("__fold.products") / (((k * k - 1) / 12) * F.sqrt(n - 1))
     floor = F.lit(1e-300)
     fisher = -(
-        F.ln(F.greatest(_normal_tail(z_chi), floor))
-        + F.ln(F.greatest(F.least(2 * _normal_tail(F.abs(z_runs)), F.lit(1.0)), floor))
-        + F.ln(F.greatest(F.least(2 * _normal_tail(F.abs(z_serial)), F.lit(1.0)), floor))
+        F.ln(F.greatest(_uneven_tail(c("__squares") * k / n - n, k, n), floor))
+        + F.ln(F.greatest(_changes_tail(c("__fold.runs") - 1, n), floor))
+        + F.ln(F.greatest(F.least(2 * _normal_tail(F.abs(_own_correlation(c("__fold.runs") - 1, c("__fold.products"), k, n))), F.lit(1.0)), floor))
     )
     usable = c("encoding").isNotNull() & (c("__n") >= 2)
     return (
