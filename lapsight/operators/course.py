@@ -69,6 +69,48 @@ def share_above(samples: DataFrame, grid: DataFrame, keys: Sequence[str], axis:
     return at.groupBy(*keys).agg(F.count(F.lit(1)).alias("nodes"), F.avg((F.col(value) > limit).cast("double")).alias("share"))
 
 
+def uniform_share_above(samples: DataFrame, keys: Sequence[str], axis: str, value: str, step: float, limit: float) -> DataFrame:
+    """Per key, ``share_above`` of the nodes that lie ``step`` apart from the first to the last place.
+
+    Nodes before the first sample with a value do not count, those after the
+    last one have its value. No node is written out: between two samples the
+    interpolated value moves one way only, rounding included, so the first and
+    the last node tell which side of the limit they are on, and bisection finds
+    where the side changes. The work grows with the samples, however long the
+    course is.
+    """
+    group = Window.partitionBy(*keys)
+    placed = samples.select(*keys, F.col(axis).cast("double").alias("__x"), F.col(value).alias("__y"))
+    placed = placed.withColumns({"__lo": F.min("__x").over(group), "__hi": F.max("__x").over(group)}).where("__x is not null and __y is not null")
+    after = F.lead(F.struct(F.col("__x").alias("x"), F.col("__y").alias("y"))).over(group.orderBy("__x"))
+    node = lambda k: F.col("__lo") + step * k
+
+    def first_from(x: Column) -> Column:
+        """Number of the first node that does not lie before x."""
+        k = F.ceil((x - F.col("__lo")) / step)
+        return F.when(node(k) < x, k + 1).when(node(k - 1) >= x, k - 1).otherwise(k)
+
+    def above(k: Column) -> Column:
+        share = (node(k) - F.col("__x")) / (F.col("__b.x") - F.col("__x"))
+        between = F.col("__y") + share * (F.col("__b.y") - F.col("__y"))
+        return F.when(F.col("__b").isNull() | (node(k) == F.col("__x")), F.col("__y")).otherwise(between) > limit
+
+    last = F.floor((F.col("__hi") - F.col("__lo")) / step) + 1
+    parts = placed.withColumn("__b", after).withColumn("__from", first_from(F.col("__x")))
+    parts = parts.withColumn("__to", F.when(F.col("__b").isNull(), last).otherwise(first_from(F.col("__b.x")))).where("__to > __from")
+    parts = parts.withColumns({"__n": F.col("__to") - F.col("__from"), "__a": above(F.col("__from")), "__z": above(F.col("__to") - 1)})
+
+    def halved(s: Column, _: Column) -> Column:
+        middle = F.floor((s["low"] + s["high"]) / 2)
+        same = above(middle) == F.col("__a")
+        return F.struct(F.when(same, middle).otherwise(s["low"]).alias("low"), F.when(same, s["high"]).otherwise(middle).alias("high"))
+
+    ends = F.struct(F.col("__from").alias("low"), (F.col("__to") - 1).alias("high"))
+    alike = F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2("__n")).cast("int")), ends, halved, lambda s: s["low"] - F.col("__from") + 1)
+    counted = F.when(F.col("__a") == F.col("__z"), F.when(F.col("__a"), F.col("__n")).otherwise(0)).when(F.col("__a"), alike).otherwise(F.col("__n") - alike)
+    return parts.withColumn("__above", counted).groupBy(*keys).agg(F.sum("__n").alias("nodes"), (F.sum("__above") / F.sum("__n")).alias("share"))
+
+
 def close_candidates(candidates: DataFrame, keys: Sequence[str], error: str, uncertainty: str, least: float = 3.0) -> DataFrame:
     """Candidates whose error is at most the smallest of their keys plus the larger of ``least`` and their uncertainty."""
     smallest = F.min(error).over(Window.partitionBy(*keys))

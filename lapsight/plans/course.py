@@ -174,10 +174,8 @@ c AS (SELECT b.*, e.event_id AS x1, e.value AS y1 FROM b ASOF LEFT JOIN (SELECT
 SELECT user_id, count(*) AS nodes, round(avg((CASE WHEN x1 IS NULL OR x0 = pos THEN y0 ELSE y0 + (pos - x0)::DOUBLE / (x1 - x0) * (y1 - y0) END > 30)::INT), 6) AS share FROM c GROUP BY 1""",
 )
 def uniform_error_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples = table(spark, sf_dir, "events").select("user_id", F.col("event_id").cast("double").alias("at"), "value")
-    extent = samples.groupBy("user_id").agg(F.min("at").cast("long").alias("lo"), F.max("at").cast("long").alias("hi"))
-    grid = extent.select("user_id", F.explode(F.sequence("lo", "hi", F.lit(25).cast("long")).cast("array<double>")).alias("at"))
-    return rounded(course.share_above(samples, grid, ["user_id"], "at", "value", 30.0))
+    samples = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("at"), "value")
+    return rounded(course.uniform_share_above(samples, ["user_id"], "at", "value", 25.0, 30.0))
 
 
 @query(

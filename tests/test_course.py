@@ -74,3 +74,22 @@ def test_normalised_events(spark):
     assert got == [
         ("a", 1, "log_pit", "Log  Pit", "hill", 3.0, ["x", "y"]), ("a", 2, "log_pit_2", "log pit", "unknown", None, ["no_place"]), ("a", 3, "event_3", "event_3", "unknown", 1.0, ["p", "q"]),
     ]
+
+
+def test_share_of_uniform_nodes_equals_interpolation_and_needs_no_nodes(spark):
+    r = random.Random(5)
+    rows = [(k, float(at), None if r.random() < 0.1 else r.choice([30.0, 30.0 + 4e-15, r.uniform(0, 60)])) for k in range(4) for at in sorted(r.sample(range(5000), 60))]
+    samples = spark.createDataFrame(rows, "k int, at double, v double")
+    got = {x.k: (x.nodes, x.share) for x in course.uniform_share_above(samples, ["k"], "at", "v", 7.0, 30.0).collect()}
+    for k in range(4):
+        own = [(at, v) for key, at, v in rows if key == k]
+        known = [p for p in own if p[1] is not None]
+        nodes = [p for p in np.arange(own[0][0], own[-1][0] + 1, 7.0) if p >= known[0][0]]
+        high = 0
+        for p in nodes:
+            (x0, y0), after = [q for q in known if q[0] <= p][-1], [q for q in known if q[0] > p]
+            high += (y0 if not after or x0 == p else y0 + (p - x0) / (after[0][0] - x0) * (after[0][1] - y0)) > 30
+        assert got[k] == (len(nodes), high / len(nodes))
+    long = spark.createDataFrame([(0, 0.0, 0.0), (0, 1e12, 60.0), (1, 5.0, 31.0)], "k int, at double, v double")
+    found = {x.k: (x.nodes, x.share) for x in course.uniform_share_above(long, ["k"], "at", "v", 25.0, 30.0).collect()}
+    assert found == {0: (40_000_000_001, 20_000_000_000 / 40_000_000_001), 1: (1, 1.0)}
