@@ -7,7 +7,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lapsight.operators.statistics import binomial_upper_tail, leave_one_out_shift
+from lapsight.operators import ordered
+from lapsight.operators.staging import drop, stage
+from lapsight.operators.statistics import binomial_upper_tail, leave_one_out_shifts
 
 
 def spread_between_groups(passes: DataFrame, event: str, group: str, value: str) -> DataFrame:
@@ -84,14 +86,18 @@ def sustained_response(passes: DataFrame, event: str, entry: str, least: str, pl
     medians must move little when one pass is left out.
     """
     complete = passes.where(F.col(entry).isNotNull() & F.col(least).isNotNull() & F.col(place).isNotNull())
-    out = complete.groupBy(event).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col(entry) - F.col(least) >= settings["slowdown_threshold"]).alias("successes"),
-        (F.percentile(least, 0.75) - F.percentile(least, 0.25)).alias("speed_iqr"),
-        (F.percentile(place, 0.75) - F.percentile(place, 0.25)).alias("place_iqr"),
-        leave_one_out_shift(F.collect_list(least)).alias("speed_shift"),
-        leave_one_out_shift(F.collect_list(place)).alias("place_shift"),
+    sums = complete.groupBy(F.struct(event).alias("__k")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col(entry) - F.col(least) >= settings["slowdown_threshold"]).alias("successes")
     )
+    counts = ordered.counted(complete, [event], {"speed": F.col(least).cast("double"), "place": F.col(place).cast("double")})
+    quarters = ordered.quantiles_of(counts, [event], {f"__{of}{p}": (of, p / 100) for of in ("speed", "place") for p in (25, 75)})
+    iqr = {f"{of}_iqr": F.col(f"__{of}75") - F.col(f"__{of}25") for of in ("speed", "place")}
+    shifts = leave_one_out_shifts(counts, [event], {of: f"{of}_shift" for of in ("speed", "place")})
+    out = sums
+    for part in (quarters.select(event, *[c.alias(n) for n, c in iqr.items()]), shifts):
+        out = out.join(part.withColumn("__k", F.struct(event)).drop(event), "__k", "left")
+    out = stage(out.select(f"__k.{event}", *[c for c in out.columns if c != "__k"]), "responses")
+    drop(counts)
     p = binomial_upper_tail(F.col("successes"), F.col("n").cast("double"))
     checks: list[Column] = [
         (F.col("successes") / F.col("n") >= 0.8) & (F.col("p_value") <= 0.05),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -119,17 +119,29 @@ def outliers(rows: DataFrame, key: str, value: str, floor: float, k: float, shar
 def leave_one_out_shift(values: Column) -> Column:
     """Largest change of an array's median when one value is left out; null for fewer than two."""
     n = F.size(values)
-    s = F.array_sort(values)
-    at = lambda i: F.get(s, i.cast("int"))
-    middle = (at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2
-    # without place i, the middle of n - 1 values is one of these
-    low, high = F.floor((n - 2) / 2), F.floor((n - 1) / 2)
+    h = F.floor(n / 2)
+    sorted_once = F.transform(F.array(F.array_sort(values)), lambda s: _median_shift(*[F.get(s, (h + d).cast("int")) for d in (-1, 0, 1)], n))
+    return sorted_once[0]
 
-    def left_out(i: Column) -> Column:
-        return (at(low + (i <= low).cast("int")) + at(high + (i <= high).cast("int"))) / 2
 
-    shifts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.abs(left_out(i) - middle))
-    return F.when(n >= 2, F.array_max(shifts))
+def _median_shift(before: Column, middle: Column, after: Column, n: Column) -> Column:
+    """The same from the values at places n / 2 - 1, n / 2 and n / 2 + 1 of the order.
+
+    Only three ways to leave one out differ: before the middle, the middle, after it.
+    """
+    of_even = F.greatest(F.abs(middle - (before + middle) / 2), F.abs(before - (before + middle) / 2))
+    of_odd = F.greatest(*[F.abs((a + b) / 2 - middle) for a, b in ((middle, after), (before, after), (before, middle))])
+    return F.when(n >= 2, F.when(n % 2 == 0, of_even).otherwise(of_odd))
+
+
+def leave_one_out_shifts(counts: DataFrame, keys: Sequence[str], named: Mapping[str, str]) -> DataFrame:
+    """(keys, one column per entry (value, name)): leave_one_out_shift() of groups of any size, from a table of ``ordered.counted``."""
+    placed = ordered.running_counts(counts)
+    h = F.floor(F.col("total") / 2)
+    at = [F.max(F.when((F.col("below") <= h + d) & (h + d < F.col("below") + F.col("n")), F.col("__v"))) for d in (-1, 0, 1)]
+    near = placed.where((F.col("below") <= h + 1) & (h - 1 < F.col("below") + F.col("n")))
+    each = near.groupBy("__k").agg(_median_shift(*at, F.max("total")).alias("__shift")).select("__k.*", "__shift")
+    return each.groupBy(*keys).agg(*[F.max(F.when(F.col("__of") == value, F.col("__shift"))).alias(name) for value, name in named.items()])
 
 
 def wilson(successes: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapsight.operators import ranking, statistics
+from lapsight.operators import ordered, ranking, statistics
 from lapsight.plans.registry import query, rounded, table
 
 _FACT = """
@@ -194,9 +194,12 @@ o AS (SELECT a.k, a.id, median(b.v) AS m FROM s a JOIN s b ON a.k = b.k AND a.id
 SELECT m.k::BIGINT AS s_nationkey, any_value(n) AS n, round(max(abs(o.m - m.m)), 6) + 0.0 AS shift FROM m JOIN o ON o.k = m.k GROUP BY m.k""",
 )
 def loo_median_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arrays = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n"), F.collect_list("s_acctbal").alias("v"))
-    out = arrays.where("n >= 2").select("s_nationkey", "n", statistics.leave_one_out_shift(F.col("v")).alias("shift"))
-    return rounded(out)
+    suppliers = table(spark, sf_dir, "supplier").where("s_nationkey is not null")
+    shifts = statistics.leave_one_out_shifts(ordered.counted(suppliers, ["s_nationkey"], {"v": F.col("s_acctbal")}), ["s_nationkey"], {"v": "shift"})
+    sizes = suppliers.groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n"), F.count("s_acctbal").alias("__m")).where("n >= 2")
+    # without a supplier that has no balance the median stays
+    out = sizes.join(shifts, "s_nationkey", "left").withColumn("shift", F.when(F.col("__m") == 1, F.lit(0.0)).otherwise(F.col("shift")))
+    return rounded(out.drop("__m"))
 
 
 @query(

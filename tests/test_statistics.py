@@ -1,4 +1,5 @@
 import math
+import random
 from statistics import NormalDist, median
 
 import numpy as np
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lapsight.functions import circular, distributions, text, units
-from lapsight.operators import profiles, ranking, relations, statistics, uncertainty
+from lapsight.operators import ordered, profiles, ranking, relations, statistics, uncertainty
 
 
 def test_tied_wins_are_shared(spark):
@@ -95,3 +96,18 @@ def test_rules(spark):
     parents = spark.createDataFrame([("a",)], "name string")
     found = relations.Rules().unique(rows, "t", "id").not_null(rows, "t", "id", "ref").refers_to(rows, "t", "id", "ref", parents, "name").increasing(rows, "t", "id", "v", "v").violations()
     assert sorted((r["code"], r["path"]) for r in found.collect()) == [("id_repeated", "t/1"), ("ref_missing", "t/1"), ("ref_unknown", "t/2")]
+
+
+def test_leave_one_out_shifts_of_large_groups_look_at_the_middle_only(spark):
+    r = random.Random(8)
+    rows = [(k, float(r.choice([r.randint(0, 9), r.uniform(0, 9)]))) for k, n in (("a", 2), ("b", 3), ("c", 40), (None, 41), ("d", 1)) for _ in range(n)]
+    want = {}
+    for k in {k for k, _ in rows}:
+        v = [x for key, x in rows if key == k]
+        want[k] = max(abs(np.median(v[:i] + v[i + 1 :]) - np.median(v)) for i in range(len(v))) if len(v) > 1 else None
+    t = spark.createDataFrame(rows, "k string, v double")
+    got = {x.k: x.s for x in statistics.leave_one_out_shifts(ordered.counted(t, ["k"], {"v": F.col("v")}), ["k"], {"v": "s"}).collect()}
+    assert got.keys() == want.keys() and all((got[k] is None) if w is None else abs(got[k] - w) < 1e-12 for k, w in want.items())
+    arrays = spark.range(1).select(statistics.leave_one_out_shift(F.transform(F.sequence(F.lit(1), F.lit(300_000)), lambda x: (x * 7 % 300_007).cast("double"))).alias("x"))
+    v = np.sort(np.arange(1, 300_001) * 7 % 300_007)
+    assert arrays.first()["x"] == max(v[150_000] - (v[149_999] + v[150_000]) / 2, (v[149_999] + v[150_000]) / 2 - v[149_999])
