@@ -74,3 +74,17 @@ def test_gate_review_takes_the_first_action(spark):
     want = ["keep_both", "keep_entry_only", "add_laps", "move_entry_window", "add_vehicle", "separates_laps", "review_assumptions"]
     assert [out[i]["suggested_action"] for i in range(1, 8)] == want
     assert [out[i]["review_priority"] for i in range(1, 8)] == [3, 3, 2, 2, 9, 4, 3] and out[7]["assumptions"] == ["a", "b"]
+
+
+def test_a_mean_of_the_limit_itself_is_eligible_in_any_order(spark, tmp_path):
+    import random
+
+    from lapsight.plans import registry
+
+    rows = []
+    for supplier in range(30):
+        off = [0.01 * i for i in range(11)] * 60
+        random.Random(supplier).shuffle(off)
+        rows += [(supplier, d, 60000.0) for d in [round(d, 2) for d in off]]
+    spark.createDataFrame(rows, "l_suppkey long, l_discount double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert all(r["eligible"] and not r["reasons"] for r in registry.queries()["eligible_cases"](spark, str(tmp_path)).collect())
