@@ -9,6 +9,8 @@ later step reads the same ranges, whatever is computed again.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -83,15 +85,67 @@ def quantiles_of(counts: DataFrame, keys: Sequence[str], points: Mapping[str, tu
     return one.groupBy(*keys).agg(*[F.max(F.when(F.col("__point") == n, F.col("__q"))).alias(n) for n in points])
 
 
+#: A sketch's places are exact to 1 / SKETCH of a group's rows; what lies within this share of a group's rows around a wanted place counts by value.
+SKETCH = 1_000
+NEAR = 5e-3
+#: Groups of up to so many values count by value whole.
+SMALL = 5_000
+
+
 def quantiles(rows: DataFrame, keys: Sequence[str], values: Mapping[str, Column], points: Mapping[str, tuple[str, float]]) -> DataFrame:
     """(keys, one column per point): exact quantiles, interpolated between neighbours; a point names one of ``values`` and a share.
 
-    ``rows`` are read once. A group without any value has no row, a point
-    without values is null. The result is a written table.
+    ``rows`` are read again and again: a sketch of each group tells two values between
+    which a wanted place lies, then the rows below them are counted and those
+    between them counted by value, so that few rows are shuffled. Rows that are
+    costly to compute are best written before. Should a
+    sketch be too far off, all rows are counted by value. A group without any
+    value has no row, a point without values is null. The result is a written
+    table.
     """
-    counts = counted(rows, keys, {n: c.cast("double") for n, c in values.items()})
-    found = stage(quantiles_of(counts, keys, points), "quantiles")
-    drop(counts)
+    named = list(values)
+    given = rows.select(F.struct(*keys).alias("__k") if keys else F.struct(F.lit(0).alias("__one")).alias("__k"), *[c.cast("double").alias(f"__v{i}") for i, c in enumerate(values.values())])
+    asked = {n: (named.index(of), float(p)) for n, (of, p) in points.items()}
+    shares = {i: sorted({p for j, p in asked.values() if j == i}) for i in range(len(named))}
+    ends = {i: [min(1.0, max(0.0, p + d)) for p in ps for d in (-NEAR, NEAR)] for i, ps in shares.items() if ps}
+    sketches = [F.percentile_approx(f"__v{i}", F.array(*map(F.lit, e)), F.lit(SKETCH)).alias(f"__e{i}") for i, e in ends.items()]
+    around = stage(given.groupBy("__k").agg(*[F.count(f"__v{i}").alias(f"__n{i}") for i in range(len(named))], *sketches), "around")
+
+    def bounds(i: int, p: float) -> Column:
+        """Values around a place; null on a side that the group's end is near to."""
+        at, small = 2 * shares[i].index(p), F.col(f"__n{i}") <= SMALL
+        low = F.when(~small & F.lit(p > NEAR), F.col(f"__e{i}")[at])
+        high = F.when(~small & F.lit(p < 1 - NEAR), F.col(f"__e{i}")[at + 1])
+        return F.struct(low.alias("low"), high.alias("high"))
+
+    wide = given.join(around.select("__k", *[bounds(i, p).alias(f"__b_{n}") for n, (i, p) in asked.items()]), "__k")
+    less = wide.groupBy("__k").agg(*[F.count_if(F.col(f"__v{i}") < F.col(f"__b_{n}.low")).alias(f"__l_{n}") for n, (i, _) in asked.items()])
+    inside = {n: F.coalesce(F.col(f"__v{i}") >= F.col(f"__b_{n}.low"), F.lit(True)) & F.coalesce(F.col(f"__v{i}") <= F.col(f"__b_{n}.high"), F.lit(True)) for n, (i, _) in asked.items()}
+    entries = [F.struct(F.lit(n).alias("__point"), F.when(inside[n], F.col(f"__v{i}")).alias("__v")) for n, (i, _) in asked.items()]
+    met = wide.where(reduce(or_, inside.values())).select("__k", F.inline(F.array(*entries))).where("__v is not null")
+    near = met.groupBy("__k", "__point", "__v").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("__k", "__point").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)  # few values, in order
+    counted_near = near.withColumn("__less", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    below = less.select("__k", F.inline(F.array(*[F.struct(F.lit(n).alias("__point"), F.col(f"__l_{n}").alias("__below")) for n in asked])))
+    sizes = F.inline(F.array(*[F.struct(F.lit(n).alias("__point"), F.col(f"__n{i}").alias("__n"), F.lit(p).alias("__share")) for n, (i, p) in asked.items()]))
+    joined = counted_near.join(around.select("__k", sizes), ["__k", "__point"]).join(below, ["__k", "__point"]).withColumn("__less", F.col("__below") + F.col("__less"))
+    at = F.col("__share") * (F.col("__n") - 1)
+    first, above = F.floor(at), at - F.floor(at)
+    holds = lambda k: ((F.col("__less") <= k) & (k < F.col("__less") + F.col("n"))).cast("int")
+    weight = F.when(holds(first) == 1, 1 - above).otherwise(0.0) + F.when((holds(F.ceil(at)) == 1) & (above > 0), above).otherwise(0.0)
+    hits = joined.where((holds(first) == 1) | (holds(F.ceil(at)) == 1))
+    each = hits.groupBy("__k", "__point").agg(F.sum(F.col("__v") * weight).alias("__q"), F.sum(holds(first) + holds(F.ceil(at))).alias("__hits"))
+    wanted = around.select("__k", sizes).where("__n > 0").select("__k", "__point")
+    flat = stage(wanted.join(each, ["__k", "__point"], "left"), "points")
+    if flat.where("__hits is null or __hits < 2").limit(1).count():
+        drop(around, flat)
+        counts = counted(rows, keys, {n: c.cast("double") for n, c in values.items()})
+        found = stage(quantiles_of(counts, keys, points), "quantiles")
+        drop(counts)
+        return found
+    out = flat.groupBy("__k").agg(*[F.max(F.when(F.col("__point") == n, F.col("__q"))).alias(n) for n in points])
+    found = stage(out.select(*[F.col(f"__k.{k}").alias(k) for k in keys], *points), "quantiles")
+    drop(around, flat)
     return found
 
 
