@@ -81,8 +81,10 @@ def threshold_counts(rows: DataFrame, metric: str, limits: Sequence[float]) -> D
 
 def loss_shares(rows: DataFrame, parts: Mapping[str, Column]) -> DataFrame:
     """Per part, quantiles over rows and its median's share of all parts' medians."""
-    long = rows.select(F.inline(F.array(*[F.struct(F.lit(n).alias("part"), c.alias("v")) for n, c in parts.items()])))
-    named = ordered.quantiles(long, ["part"], {"v": F.col("v")}, {"p10": ("v", 0.1), "median": ("v", 0.5), "p90": ("v", 0.9)})
+    points = {f"__{i}{q}": (n, p) for i, n in enumerate(parts) for q, p in (("p10", 0.1), ("median", 0.5), ("p90", 0.9))}
+    wide = ordered.quantiles(rows, [], parts, points)
+    each = [F.struct(F.lit(n).alias("part"), *[F.col(f"__{i}{q}").alias(q) for q in ("p10", "median", "p90")]) for i, n in enumerate(parts)]
+    named = wide.select(F.inline(F.array(*each))).where("median is not null")
     return named.withColumn("share", F.try_divide(F.col("median"), F.sum("median").over(Window.partitionBy(F.lit(1)))))  # few parts
 
 
