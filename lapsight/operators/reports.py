@@ -7,6 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lapsight.operators import ordered
+from lapsight.operators.staging import dealt, drop, stage
+
 
 def long_draws(draws: DataFrame, key: str, maps: Mapping[str, str]) -> DataFrame:
     """(key, family, path, value as text) for every entry of the map columns, one family per column."""
@@ -36,11 +39,28 @@ def share_of_row(rows: DataFrame, key: Sequence[str], parts: Mapping[str, str])
 
 
 def energy_accounting(rows: DataFrame, key: Sequence[str], design: str, parts: Mapping[str, str]) -> DataFrame:
-    """Per design and component: rows, quantiles of the value and median share."""
-    shares = share_of_row(rows, [*key, design], parts)
-    q = F.percentile("value", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    out = shares.groupBy(design, "component").agg(F.count("value").alias("n"), q.alias("q"), F.median("share").alias("share_median"))
-    return out.select(design, "component", "n", *[F.col("q")[i].alias(n) for i, n in enumerate(("p10", "median", "p90"))], "share_median")
+    """Per design and component: rows, quantiles of the value and median share of its row's sum, as in ``share_of_row``.
+
+    The components stay columns until there is a row per design; only the
+    shares need the rows of a key together, and they are written once.
+    """
+    given = {n: F.col(c).cast("double") for n, c in parts.items()}
+    own = F.when(F.coalesce(*given.values()).isNotNull(), sum((F.coalesce(c, F.lit(0.0)) for c in given.values()), F.lit(0.0)))
+    by_row = dealt(rows.select(*key, design, *[c.alias(f"__c{i}") for i, c in enumerate(given.values())], own.alias("__t")), key)
+    whole = by_row.withColumn("__t", F.sum("__t").over(Window.partitionBy(*key, design)))
+    shares = stage(whole.select(design, *[F.try_divide(f"__c{i}", "__t").alias(f"__s{i}") for i in range(len(parts))]), "shares")
+    points = {f"__{i}{n}": (of, p) for i, of in enumerate(parts) for n, p in (("p10", 0.1), ("median", 0.5), ("p90", 0.9))}
+    values = ordered.quantiles(rows, [design], given, points)
+    middle = ordered.quantiles(shares, [design], {n: F.col(f"__s{i}") for i, n in enumerate(parts)}, {f"__{i}share": (n, 0.5) for i, n in enumerate(parts)})
+    drop(shares)
+    out = rows.groupBy(F.struct(design).alias("__k")).agg(*[F.count(c).alias(f"__n{i}") for i, c in enumerate(given.values())])
+    for part in (values, middle):
+        out = out.join(part.withColumn("__k", F.struct(design)).drop(design), "__k", "left")
+    long = [
+        F.struct(F.lit(n).alias("component"), F.col(f"__n{i}").alias("n"), *[F.col(f"__{i}{q}").alias(q) for q in ("p10", "median", "p90")], F.col(f"__{i}share").alias("share_median"))
+        for i, n in enumerate(parts)
+    ]
+    return out.select("__k.*", F.inline(F.array(*long)))
 
 
 def convergence_by_metric(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, limits: tuple[float, float], least: int = 4) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Sequence
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +48,20 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Rows of a task that orders or joins them.
+ROWS = 500_000
+
+
+def dealt(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` dealt by ``keys`` to as many tasks as they need, where the session's number is too small for them.
+
+    So a task's memory does not grow with the input. The rows are counted,
+    which costs a table's files next to nothing.
+    """
+    tasks = 1 + rows.count() // ROWS
+    return rows if tasks <= int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows.repartition(tasks, *keys)
+
+
 def drop(*tables: DataFrame) -> None:
     """Remove tables of stage() that no plan reads any more."""
     for table in tables:

@@ -113,3 +113,60 @@ def test_paired_bootstrap_of_means(spark):
     assert got["A", "median_regret"]["low"] == got["A", "median_regret"]["high"] == 2.0
     with pytest.raises(Exception, match="every design needs every scenario"):
         uncertainty.paired_bootstrap(df.where("c > 0 or d = 'A'"), ["study"], "c", "d", "r", "w", 1).collect()
+
+
+def test_quantiles_of_large_groups_shuffle_few_rows(spark):
+    n = 200_000
+    x = F.when(F.col("id") % 3 == 0, F.lit(7.0)).otherwise(F.hash("id") / 1000.0)
+    rows = spark.range(n).select((F.col("id") % 2).alias("k"), x.alias("x"), F.when(F.col("id") % 2 == 0, F.col("id") * 7919 % n).cast("double").alias("y"))
+    points = {"low": ("x", 0.0), "a": ("x", 0.1), "b": ("x", 0.5), "c": ("x", 0.9995), "high": ("x", 1.0), "m": ("y", 0.25)}
+    seen = []
+    stage, usual = ordered.stage, ordered.NEAR
+    try:
+        ordered.stage = lambda df, name: seen.append(name) or stage(df, name)
+        got = {r["k"]: r for r in ordered.quantiles(rows, ["k"], {"x": F.col("x"), "y": F.col("y")}, points).collect()}
+        assert seen == ["around", "points", "quantiles"]
+        table = rows.toPandas()
+        for near in (ordered.NEAR, 1e-12):  # bounds that hold nothing: counted by value
+            ordered.NEAR = near
+            got = {r["k"]: r for r in ordered.quantiles(rows, ["k"], {"x": F.col("x"), "y": F.col("y")}, points).collect()}
+            for k, own in table.groupby("k"):
+                for point, (of, p) in points.items():
+                    v = own[of].dropna().to_numpy()
+                    assert got[k][point] is None if not len(v) else abs(got[k][point] - np.quantile(v, p)) < 1e-9 * max(1, abs(np.quantile(v, p)))
+    finally:
+        ordered.stage, ordered.NEAR = stage, usual
+
+
+def test_energy_keeps_components_as_columns_and_adds_rows_of_one_key(spark):
+    from lapsight.operators import reports
+
+    rows = [("x", 1, 1.0, 3.0), ("x", 1, None, 4.0), ("x", 2, 5.0, None), (None, 3, 2.0, 2.0), ("y", 4, 0.0, 0.0), ("y", 5, None, None)]
+    t = spark.createDataFrame(rows, "d string, id int, a double, b double")
+    out = reports.energy_accounting(t, ["id"], "d", {"heat": "a", "work": "b"})
+    got = {(r["d"], r["component"]): (r["n"], r["median"], r["share_median"]) for r in out.collect()}
+    assert got == {
+        ("x", "heat"): (2, 3.0, (1 / 8 + 1.0) / 2), ("x", "work"): (2, 3.5, (3 / 8 + 4 / 8) / 2), (None, "heat"): (1, 2.0, 0.5), (None, "work"): (1, 2.0, 0.5),
+        ("y", "heat"): (1, 0.0, None), ("y", "work"): (1, 0.0, None),
+    }
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "percentile" not in plan  # no group's values in one task
+
+
+def test_rows_of_few_large_groups_stay_where_they_are_when_slopes_are_drawn(spark, tmp_path):
+    spark.range(2000).select((F.col("id") % 2).alias("k"), "id", F.col("id").cast("double").alias("x"), (F.col("id") * 2.0).alias("y")).write.parquet(f"{tmp_path}/t")
+    out = uncertainty.slope_bootstrap(spark.read.parquet(f"{tmp_path}/t"), ["k"], ["id"], "x", "y", 3, 20)
+    assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert all(abs(r["low"] - 2) < 1e-9 and abs(r["high"] - 2) < 1e-9 for r in out.collect())
+
+
+def test_tasks_follow_the_rows(spark):
+    from lapsight.operators import staging
+
+    usual, rows = staging.ROWS, spark.range(1000).withColumn("k", F.col("id") % 300)
+    assert staging.dealt(rows, ["k"]) is rows
+    try:
+        staging.ROWS = 100
+        assert staging.dealt(rows, ["k"]).rdd.getNumPartitions() == 11
+    finally:
+        staging.ROWS = usual
