@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lapsight.functions import circular, geo
 from lapsight.operators import consensus, course, events, telemetry
+from lapsight.operators.staging import dealt
 from lapsight.plans.registry import query, rounded, table
 
 
@@ -65,7 +66,7 @@ def _ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(c("l_linenumber") % 2 == 0, "start").otherwise("end")
     place = 2 * c("l_quantity") + c("l_linenumber") % 2
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", kind.alias("endpoint"), place.alias("place"), F.round(100 * c("l_discount")).alias("error"), (c("l_orderkey") % 102).cast("double").alias("anchor"))
-    return lines.groupBy("l_orderkey", "endpoint", "place", "anchor").agg(F.min("error").alias("error"))
+    return dealt(lines, ["l_orderkey"]).groupBy("l_orderkey", "endpoint", "place", "anchor").agg(F.min("error").alias("error"))
 
 
 _ENDS = """
