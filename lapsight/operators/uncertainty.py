@@ -181,7 +181,8 @@ def slope_bootstrap(rows: DataFrame, keys: Sequence[str], unit: Sequence[str], x
     a, b = F.col(x).cast("double"), F.col(y).cast("double")
     both = rows.where(a.isNotNull() & b.isNotNull())
     # sums around each group's means, so that large offsets cost no digits
-    middle = both.groupBy(F.struct(*keys).alias("__k")).agg(F.avg(a).alias("__mx"), F.avg(b).alias("__my"))
+    # and written, so that Spark knows whether they are few enough to go to the rows instead of the rows to a few groups
+    middle = stage(both.groupBy(F.struct(*keys).alias("__k")).agg(F.avg(a).alias("__mx"), F.avg(b).alias("__my")), "middles")
     near = both.withColumn("__k", F.struct(*keys)).join(middle, "__k")
     a, b = a - F.col("__mx"), b - F.col("__my")
     sums = bootstrap_sums(near, keys, unit, {"sx": a, "sy": b, "sxx": a * a, "sxy": a * b}, seed, resamples)
