@@ -97,25 +97,25 @@ def _normal_tail(z: Column) -> Column:
     return F.when(z >= 0, half).otherwise(1 - half)
 
 
-def _uneven_tail(chi: Column, k: Column, n: Column) -> Column:
-    """P of a chi-squared statistic of n characters of k at least this large, half of its own weight counted.
+def _uneven(chi: Column, k: Column, n: Column) -> tuple[Column, Column]:
+    """Two normal values whose mean tail is P of a chi-squared statistic of n characters of k at least this large, half of its own weight counted.
 
     Its mean is k - 1 and its variance 2 (k - 1) (n - 1) / n, so it stands for a
     scaled chi-squared of somewhat more degrees; it moves in steps of 2 k / n.
     """
     free, scale = (k - 1) * n / (n - 1), n / (n - 1)
 
-    def tail(x: Column) -> Column:
+    def value(x: Column) -> Column:
         wide = 2 / (9 * free)
-        return _normal_tail((F.pow(F.greatest(x * scale, F.lit(1e-9)) / free, F.lit(1 / 3)) - (1 - wide)) / F.sqrt(wide))
+        return (F.pow(F.greatest(x * scale, F.lit(1e-9)) / free, F.lit(1 / 3)) - (1 - wide)) / F.sqrt(wide)
 
-    return (tail(chi - k / n) + tail(chi + k / n)) / 2
+    return value(chi - k / n), value(chi + k / n)
 
 
-def _changes_tail(changes: Column, n: Column) -> Column:
-    """P, both sides, of a number of changes between halves of the alphabet as far from half of n - 1, half of its own weight counted."""
+def _changed(changes: Column, n: Column) -> tuple[Column, Column]:
+    """Two normal values whose tails add up to P, both sides, of a number of changes between halves of the alphabet as far from half of n - 1, half of its own weight counted."""
     off, deviation = F.abs(changes - (n - 1) / 2), F.sqrt((n - 1) / 4)
-    return F.least(_normal_tail(F.greatest(off - 0.5, F.lit(0.0)) / deviation) + _normal_tail((off + 0.5) / deviation), F.lit(1.0))
+    return F.greatest(off - 0.5, F.lit(0.0)) / deviation, (off + 0.5) / deviation
 
 
 def _own_correlation(changes: Column, products: Column, k: Column, n: Column) -> Column:
@@ -179,18 +179,23 @@ def battery(tokens: DataFrame, token: str = "token") -> DataFrame:
         ),
     )
     step3 = step2.withColumn("__fold", fold)
-    floor = F.lit(1e-300)
-    fisher = -(
-        F.ln(F.greatest(_uneven_tail(c("__squares") * k / n - n, k, n), floor))
-        + F.ln(F.greatest(_changes_tail(c("__fold.runs") - 1, n), floor))
-        + F.ln(F.greatest(F.least(2 * _normal_tail(F.abs(_own_correlation(c("__fold.runs") - 1, c("__fold.products"), k, n))), F.lit(1.0)), floor))
+    changes = c("__fold.runs") - 1
+    values = F.array(
+        *_uneven(c("__squares") * k / n - n, k, n),
+        *_changed(changes, n),
+        F.abs(_own_correlation(changes, c("__fold.products"), k, n)),
     )
     usable = c("encoding").isNotNull() & (c("__n") >= 2)
+    # the tail stands once in the plan: spelled out for each value it made 20,000 lines of code, more than Java compiles
+    step4 = step3.withColumn("__values", F.when(usable, values)).withColumn("__tails", F.transform("__values", _normal_tail))
+    tail = lambda i: F.get(c("__tails"), F.lit(i))
+    parts = (tail(0) + tail(1)) / 2, F.least(tail(2) + tail(3), F.lit(1.0)), F.least(2 * tail(4), F.lit(1.0))
+    uneven, changed, correlated = (F.ln(F.greatest(p, F.lit(1e-300))) for p in parts)
     return (
-        step3.withColumn("__f", F.when(usable, fisher))
+        step4.withColumn("__f", F.when(usable, -(uneven + changed + correlated)))
         .withColumn("p", F.exp(-c("__f")) * (1 + c("__f") + c("__f") * c("__f") / 2))  # chi-squared, 6 degrees
         .withColumn("length_class", F.least(F.floor(2 * F.log2(n)), F.lit(TOP_CLASS)).cast("int"))
-        .drop("__plain", "__n", "__k", "__letters", "__chars", "__codes", "__squares", "__fold", "__f")
+        .drop("__plain", "__n", "__k", "__letters", "__chars", "__codes", "__squares", "__fold", "__values", "__tails", "__f")
     )
 
 

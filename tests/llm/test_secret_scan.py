@@ -167,3 +167,12 @@ def test_many_matches_in_one_text(spark):
     text = " ".join(f"token={i:06d}" for i in range(3 * s.CHUNK + 7))
     r = s.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert [f"{x['kind']}:{x['s']}:{x['e']}" for x in r["base"]] == base_spans(text)
+
+
+def test_generated_code_compiles(spark, docs):
+    """With fallback Spark would hide code that is too large for Java, after the driver has spent its memory on compiling it."""
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        assert s.redact(spark, docs, "").count() == docs.count()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
